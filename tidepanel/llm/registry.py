@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_size_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.sharding import shard_by_size
+
+    return shard_by_size(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.ngram_join import jaccard_components
 
@@ -23,6 +29,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_tokens").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.chat import format_conversations, read_loss_text, read_turns
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    says = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says.alias("text"))
+    done = format_conversations(rows.unionByName(extra))
+    done = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.substring_dedup import substring_dedup
 
@@ -30,8 +55,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.quality import quality_rules, train
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    done = quality_rules(docs, train(docs, labels))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_line_dedup, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op4_line_dedup, op6_chat_formatting, op8_substring_dedup, op9_quality_rules)}
 
 
 _LINES = """
@@ -64,5 +97,19 @@ union all select doc_id, 0, 0, sha256('') from documents where text is null
 """
 
 
+_CHAT = """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e as (select *, replace(replace(role, '\\', '\\s'), '<', '\\l') as r, replace(replace(text, '\\', '\\s'), '<', '\\l') as t,
+             lag(role) over o is distinct from role as head from c window o as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(t) + case when head then 7 + length(r) + 3 + 8 else 8 end)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING}
+    return {"op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING}
