@@ -29,6 +29,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_tokens").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_warc_range_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.store import fresh_path
+    from tidepanel.llm.warc import read_records, write_archives
+
+    index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
+    page = F.when(F.col("page_key") != "", F.col("page_key").cast("long"))
+    return read_records(index, payload=False).select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.chat import format_conversations, read_loss_text, read_turns
 
@@ -64,7 +73,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op4_line_dedup, op6_chat_formatting, op8_substring_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op8_substring_dedup, op9_quality_rules)}
 
 
 _LINES = """
