@@ -87,7 +87,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size + 1, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        if size > _SLAB:  # one giant token: not kept
+        if size > 1 << 23:  # one giant token: not kept
             return out[0], out[1]
         _POW[size] = (out[0], out[1])
     return _POW[size]
