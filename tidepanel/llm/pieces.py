@@ -48,7 +48,8 @@ class Vocabulary:
     data: np.ndarray
     at: np.ndarray
     table: np.ndarray
-    singles: np.ndarray
+    second: np.ndarray
+    single: np.ndarray
 
     @property
     def kind(self) -> np.dtype:
@@ -103,60 +104,93 @@ def load(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
         acc, down = _cumulated(c)
         hashes[j] = _between(acc, down, np.array([0]), np.array([len(c)]))[0]
     by = np.argsort(hashes)
-    table = np.zeros(1 << _TABLE, bool)
-    table[hashes >> np.uint64(64 - _TABLE)] = True
+    hashes, ids = hashes[by], np.array(normal, np.int32)[by]
+    table, second = np.full(1 << _TABLE, -1, np.int32), np.full(1 << _TABLE, -1, np.int32)
+    table[hashes >> np.uint64(64 - _TABLE)] = np.arange(len(hashes))
+    lost = np.flatnonzero(table[hashes >> np.uint64(64 - _TABLE)] != np.arange(len(hashes)))
+    slot = (hashes[lost] >> np.uint64(64 - 2 * _TABLE)) & np.uint64((1 << _TABLE) - 1)
+    second[slot] = lost
+    if len(set(slot.tolist())) < len(lost):
+        raise ValueError("two pieces share both of their slots")
     at = np.append(0, np.cumsum([len(s) for s in said]))
-    singles = np.array(sorted(ord(pieces[i]) for i in normal if len(pieces[i]) == 1), np.uint32)
-    return Vocabulary(hashes[by], np.array(normal)[by], max(len(pieces[i]) for i in normal), log_weight, byte_ids, np.frombuffer(b"".join(said), np.uint8), at, table, singles)
+    single = np.zeros(_OWN_MARK + 1, bool)
+    single[[ord(pieces[i]) for i in normal if len(pieces[i]) == 1]] = True
+    return Vocabulary(hashes, ids, max(len(pieces[i]) for i in normal), log_weight, byte_ids, np.frombuffer(b"".join(said), np.uint8), at, table, second, single)
 
 
-def _edges(v: Vocabulary, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(from, to, piece, log weight, level, unknown) of the lattices of segments laid end to end.
+def _found(v: Vocabulary, h: np.ndarray) -> np.ndarray:
+    """Index into ``ids`` of each hash, -1 where it is no piece's."""
+    i = v.table[h >> np.uint64(64 - _TABLE)]
+    wrong = np.flatnonzero(v.hashes[i] != h)
+    if len(wrong):
+        i[wrong] = v.second[(h[wrong] >> np.uint64(64 - 2 * _TABLE)) & np.uint64((1 << _TABLE) - 1)]
+        i[wrong[v.hashes[i[wrong]] != h[wrong]]] = -1
+    return i
 
-    Nodes are numbered so that segment i owns starts[i] + i .. ends[i] + i; a
-    piece id of n and more stands for ``unknown[piece - n]`` as bytes.
+
+def _edges(v: Vocabulary, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(from, to, piece, log weight, level, unknown): the lattices of segments laid end to end, by end node.
+
+    Segment i owns one node more than it has characters, numbered on from its
+    first character's place plus i.  A level counts the characters up to an
+    edge's end.  A piece id of n and more stands for ``unknown[piece - n]`` as
+    bytes.
     """
-    seg = np.repeat(np.arange(len(starts)), ends - starts)
-    room = ends[seg] - np.arange(len(points))
+    starts = np.cumsum(length) - length
+    seg = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    place = np.arange(len(points), dtype=np.int32)
+    room = np.repeat((starts + length).astype(np.int32), length) - place
     acc, down = _cumulated(points)
     n = len(v.log_weight)
     src, size, piece = [], [], []
     for k in range(1, v.longest + 1):
-        s = np.flatnonzero(room >= k)
-        if not len(s):
-            break
-        h = _between(acc, down, s, s + k)
-        near = v.table[h >> np.uint64(64 - _TABLE)]
-        s, h = s[near], h[near]
-        i = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-        good = v.hashes[i] == h
-        src.append(s[good])
-        size.append(np.full(np.count_nonzero(good), k))
+        if k < 8:  # most positions have room: whole arrays beat a selection
+            h = scan.mix((acc[k:] - acc[:-k]) * down[: len(points) - k + 1] + np.uint64(k))
+            s = np.flatnonzero((v.table[h >> np.uint64(64 - _TABLE)] >= 0) & (room[: len(h)] >= k))
+            h = h[s]
+        else:
+            s = np.flatnonzero(room >= k)
+            h = _between(acc, down, s, s + k)
+            near = v.table[h >> np.uint64(64 - _TABLE)] >= 0
+            s, h = s[near], h[near]
+        i = _found(v, h)
+        good = i >= 0
+        src.append(s[good].astype(np.int32))
+        size.append(np.full(len(src[-1]), k, np.int8))
         piece.append(v.ids[i[good]])
-    lone = np.flatnonzero(~np.isin(points, v.singles))
+    lone = np.flatnonzero(~v.single[points])
     unknown, which = np.unique(points[lone], return_inverse=True)
-    src.append(lone)
-    size.append(np.ones(len(lone), int))
-    piece.append(n + which)
+    src.append(lone.astype(np.int32))
+    size.append(np.ones(len(lone), np.int8))
+    piece.append((n + which).astype(np.int32))
     src, size, piece = np.concatenate(src), np.concatenate(size), np.concatenate(piece)
-    weight = np.append(v.log_weight, np.full(len(unknown), v.log_weight.min()))[piece]
-    level = src + size - starts[seg[src]]
     a = src + seg[src]
-    return a, a + size, piece, weight, level, unknown
+    order = np.argsort(a + size, kind="stable")  # each length's edges ascend already: a merge
+    src, size, piece, a = src[order], size[order], piece[order], a[order]
+    weight = np.append(v.log_weight, np.full(len(unknown), v.log_weight.min()))[piece]
+    return a, a + size, piece, weight, src + size - starts[seg[src]], unknown
 
 
-def _forward(n_nodes: int, heads: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Log of the summed weight of all paths to each node."""
-    total = np.full(n_nodes, -np.inf)
-    total[heads] = 0.0
-    order = np.lexsort((b, level))
-    a, b, weight, level = a[order], b[order], weight[order], level[order]
-    cut = np.append(np.flatnonzero(np.append(True, level[1:] != level[:-1])), len(level))
+def _shares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, level: np.ndarray, n_nodes: int) -> np.ndarray:
+    """End node plus the running share of each edge's weight there, so that one search draws an edge."""
+    total = np.zeros(n_nodes)  # log of the summed weight of all paths to each node
+    deepest = int(level.max())
+    order = np.argsort(level.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
+    cut = np.append(0, np.cumsum(np.bincount(level)))[1:]
     for lo, hi in zip(cut[:-1], cut[1:]):
-        to = b[lo:hi]
+        e = order[lo:hi]
+        to = b[e]
         head = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        total[to[head]] = np.logaddexp.reduceat(total[a[lo:hi]] + weight[lo:hi], head)
-    return total
+        total[to[head]] = np.logaddexp.reduceat(total[a[e]] + weight[e], head)
+    share = np.cumsum(np.exp(total[a] + weight - total[b]))
+    first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    last = np.append(first[1:], len(b)) - 1
+    reps = last - first + 1
+    share -= np.repeat(np.append(0.0, share[last[:-1]]), reps)
+    share /= np.repeat(share[last], reps)
+    share += b
+    share[last] = b[last] + 1.0
+    return share
 
 
 def sample(v: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[bytes | None]:
@@ -184,31 +218,20 @@ def sample(v: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[by
 
     # the lattice of each distinct segment
     length = (ends - starts)[one]
-    e = np.cumsum(length)
-    s = e - length
-    own = points[np.repeat(starts[one] - s, length) + np.arange(e[-1])]
-    a, b, piece, weight, level, unknown = _edges(v, own, s, e)
-    heads = s + np.arange(len(s))
-    total = _forward(len(own) + len(s), heads, a, b, weight, level)
-    order = np.argsort(b, kind="stable")
-    a, b, piece, weight = a[order], b[order], piece[order], weight[order]
-    share = np.cumsum(np.exp(total[a] + weight - total[b]))
-    first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    last = np.append(first[1:], len(b)) - 1
-    base = np.repeat(np.append(0.0, share[last[:-1]]), last - first + 1)
-    share -= base
-    share /= np.repeat(share[last], last - first + 1)
-    share += b
-    share[last] = b[last] + 1.0
+    first = np.cumsum(length) - length
+    own = points[np.repeat(starts[one] - first, length) + np.arange(length.sum())]
+    a, b, piece, weight, level, unknown = _edges(v, own, length)
+    share = _shares(a, b, weight, level, len(own) + len(length))
 
     # all occurrences step backward from their ends, those of one segment side by side
     occ = np.argsort(which, kind="stable")
     seed = scan.mix(seeds.view(np.uint64)[doc[occ]] + (starts - doc_at[doc])[occ].astype(np.uint64) * _LEVEL)
-    node, home = (e + np.arange(len(e)))[which[occ]], heads[which[occ]]
+    home = (first + np.arange(len(first)))[which[occ]]
+    node = home + length[which[occ]]
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while len(occ):
-        u = (scan.mix(seed + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        u = (scan.mix(seed + np.uint64(step * 0xD1B54A32D192ED03 & scan._M64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         pick = np.searchsorted(share, node + u, "right")
         pick = np.minimum(pick, len(share) - 1)
         taken.append((occ, piece[pick]))
@@ -277,7 +300,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for table in scan.super_batches(batches, "text", 3 << 20):
+        for table in scan.super_batches(batches, "text", 6 << 20):
             ids = sample(v, table["text"].to_pylist(), table["seed"].to_numpy())
             n = [len(x or b"") // v.kind.itemsize for x in ids]
             cols = {"key": table["key"], "n_pieces": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())}

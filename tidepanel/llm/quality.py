@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm import scan
 
 #: characters that n_symbols counts (fixed values)
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 #: a text fails when more than REPEAT_OUT of REPEAT_OF of its words lie in repeated three-word windows
 REPEAT_OUT, REPEAT_OF = 50, 100
@@ -213,8 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(list(zip(table["i"].to_pylist(), table["v"].to_pylist())), table["y"].to_numpy()) if table.num_rows else None
 
 
-def quality_rules(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, counts, base_failed, probability, kept) of every row, in the columns' order of the README.
+def quality_rules(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, probability and kept.
 
     A row fails the base rules with fewer than 50 words or with more than half
     of its words in repeated three-word windows; it is kept when it passes them
@@ -222,24 +224,31 @@ def quality_rules(docs: DataFrame, model: Model | None, key: str = "doc_id", tex
     model (no labels, or of one class only) the base rules decide alone and the
     probability is null.
 
-    A null or empty text has counts of 0 and fails; keys may be null or repeat;
-    other columns are not read.  Texts are counted and scored whole.
+    A null or empty text has counts of 0 and fails; rows may repeat; an empty
+    table gives an empty table.  Columns of ``docs`` that have one of
+    the new names give way, all others pass through.  Texts are counted and
+    scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+    own = [c for c in docs.columns if c not in COUNTS and c not in ("base_failed", "probability", "kept")]
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
+    at = f"c{own.index(text)}"
+    out = T.StructType(list(plain.schema))
+    for c in COUNTS:
+        out = out.add(c, "long")
+    out = out.add("base_failed", "boolean").add("probability", "double").add("kept", "boolean")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for table in scan.super_batches(batches, "text", 4 << 20):
-            buf, offsets = scan.text_bytes(table["text"])
-            c = base_counts(buf, offsets, np.asarray(table["text"].is_valid()))
+        for table in scan.super_batches(batches, at, 4 << 20):
+            buf, offsets = scan.text_bytes(table[at])
+            c = base_counts(buf, offsets, np.asarray(table[at].is_valid()))
             failed = (c["n_words"] < MIN_WORDS) | (REPEAT_OF * c["n_repeat_words"] > REPEAT_OUT * c["n_words"])
             p = fitted.probability(buf, offsets) if fitted is not None else None
             kept = ~failed & (p >= threshold) if p is not None else ~failed
-            cols = {"key": table["key"]} | {k: pa.array(v.astype(np.int64)) for k, v in c.items()}
-            cols |= {"base_failed": pa.array(failed), "probability": pa.array(p) if p is not None else pa.nulls(len(kept), pa.float64()), "kept": pa.array(kept)}
-            yield from pa.table(cols).to_batches()
+            for name in COUNTS:
+                table = table.append_column(name, pa.array(c[name].astype(np.int64)))
+            table = table.append_column("base_failed", pa.array(failed)).append_column("probability", pa.array(p) if p is not None else pa.nulls(len(kept), pa.float64()))
+            yield from table.append_column("kept", pa.array(kept)).to_batches()
 
-    out = f"key {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    done = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(go, out)
-    return done.withColumnRenamed("key", key)
+    return plain.mapInArrow(go, out).withColumnsRenamed({f"c{i}": c for i, c in enumerate(own)})

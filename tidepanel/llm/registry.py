@@ -22,6 +22,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each stretch of a document that leaks a benchmark item."""
+    from tidepanel.llm.decontaminate import find_leaks
+
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.line_dedup import line_dedup
 
@@ -57,6 +64,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.pieces import encode
+
+    done = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), decode=True)
+    return done.select("doc_id", "n_pieces", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.substring_dedup import substring_dedup
 
@@ -68,12 +82,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.quality import quality_rules, train
 
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    done = quality_rules(docs, train(docs, labels))
+    done = quality_rules(docs.select("doc_id", "text"), train(docs, labels))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op8_substring_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, pipeline)}
 
 
 _LINES = """
