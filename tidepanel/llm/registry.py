@@ -86,6 +86,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.pii import detect
+
+    done = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, op10_personal_data, pipeline)}
 
 
 _LINES = """
