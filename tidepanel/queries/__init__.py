@@ -6,7 +6,7 @@ import importlib
 
 from tidepanel.queries.base import ORACLES, QUERIES, Query
 
-_MODULES = ("expressions",)
+_MODULES = ("expressions", "relational")
 
 
 def queries() -> dict[str, Query]:
