@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_OWN = W.partitionBy("instrument").orderBy("date")
 #: largest exponent of 2 that a stretch of rows may reach
 _REACH = 480
 
 
+def _own():
+    """Rows of one instrument by date."""
+    return W.partitionBy("instrument").orderBy("date")
+
+
 def _numbered(panel: DataFrame, half_life: float, window: int) -> tuple[DataFrame, Column, Column]:
     """Panel with the row number, the weight, and the factor between a stretch and the one before.
 
@@ -24,14 +28,14 @@ def _numbered(panel: DataFrame, half_life: float, window: int) -> tuple[DataFram
     in its own scale and then bring the older to the younger one's.
     """
     stretch = max(window, int(_REACH * half_life))
-    rn = F.row_number().over(_OWN)
+    rn = F.row_number().over(_own())
     p = panel.withColumn("rn", rn).withColumn("pw", F.pow(F.lit(2.0), F.pmod(F.col("rn") - 1, F.lit(stretch)) / half_life)).withColumn("par", F.floor((F.col("rn") - 1) / stretch) % 2)
     return p, F.col("pw"), F.pow(F.lit(2.0), F.lit(-stretch / half_life))
 
 
 def _weighted(p: DataFrame, terms: dict[str, Column], window: int, older: Column) -> DataFrame:
     """Weighted sums of ``terms`` over the last ``window`` rows."""
-    w = _OWN.rowsBetween(-(window - 1), 0)
+    w = _own().rowsBetween(-(window - 1), 0)
     for name, term in terms.items():
         p = p.withColumn(f"{name}_0", F.sum(F.when(F.col("par") == 0, term * F.col("pw"))).over(w)).withColumn(f"{name}_1", F.sum(F.when(F.col("par") == 1, term * F.col("pw"))).over(w))
     out = []
@@ -64,7 +68,7 @@ def rolling_regression(panel: DataFrame, y: str, x: str, window: int, half_life:
     p = p.withColumn("xx", F.when(both, F.col(x))).withColumn("yy", F.when(both, F.col(y)))
     u, v = F.col("xx"), F.col("yy")
     p = _weighted(p, {"sw": F.when(both, F.lit(1.0)), "swx": u, "swy": v, "swxx": u * u, "swxy": u * v}, window, older)
-    w = _OWN.rowsBetween(-(window - 1), 0)
+    w = _own().rowsBetween(-(window - 1), 0)
     sums = {"n": F.count(v), "sx": F.sum(u), "sy": F.sum(v), "sxx": F.sum(u * u), "sxy": F.sum(u * v), "syy": F.sum(v * v)}
     p = p.select("*", *(s.over(w).alias(k) for k, s in sums.items()))
     c = F.col
@@ -79,15 +83,15 @@ def rolling_regression(panel: DataFrame, y: str, x: str, window: int, half_life:
 
 def cumulative_range(panel: DataFrame, log_return: str, periods: int = 12, rows: int = 21) -> DataFrame:
     """``panel`` with cmra: range of the cumulative log return at the ends of ``periods`` periods of ``rows`` rows."""
-    p = panel.withColumn("p", F.sum(F.coalesce(F.col(log_return), F.lit(0.0))).over(_OWN.rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(_OWN))
+    p = panel.withColumn("p", F.sum(F.coalesce(F.col(log_return), F.lit(0.0))).over(_own().rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(_own()))
     n = periods * rows
-    ends = [F.lag("p", n - rows * j).over(_OWN) if j < periods else F.col("p") for j in range(1, periods + 1)]
+    ends = [F.lag("p", n - rows * j).over(_own()) if j < periods else F.col("p") for j in range(1, periods + 1)]
     p = p.withColumn("ends", F.array(*ends))
     return p.select(*panel.columns, F.when(F.col("rn") >= n, F.array_max("ends") - F.array_min("ends")).alias("cmra"))
 
 
 def liquidity(value: str, window: int, per: int, min_valid: float = 0.8) -> Column:
     """Log of the sum per period of ``per`` rows over the last ``window`` rows; NULL below ``min_valid`` of them."""
-    w = _OWN.rowsBetween(-(window - 1), 0)
+    w = _own().rowsBetween(-(window - 1), 0)
     total, n = F.sum(value).over(w), F.count(value).over(w)
     return F.when((n >= min_valid * window) & (total > 0), F.ln(F.try_divide(total, n / per)))

@@ -40,20 +40,20 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*keys, *(F.col(f"row__.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str | list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row at or before its time (backward as-of join).
 
     Both sides are put in one sorted run per key, so the cost is one shuffle
     and one sort; no pairs are formed.  Of right rows at one time the one with the
     greatest values counts.
     """
-    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (by, left_time)]
-    r = right.groupBy(by, right_time).agg(F.max(F.struct(*values)).alias("v__"))
-    r = r.select(F.col(by), F.col(right_time).alias(left_time), *none, F.lit(0).alias("side__"), F.col("v__"))
-    shape = r.schema["v__"].dataType
-    l = left.select("*", F.lit(1).alias("side__"), F.lit(None).cast(shape).alias("v__"))  # noqa: E741
-    w = W.partitionBy(by).orderBy(left_time, "side__").rowsBetween(W.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("v__", F.last("v__", ignorenulls=True).over(w)).where("side__ = 1")
+    by = [by] if isinstance(by, str) else by
+    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*by, left_time)]
+    r = right.groupBy(*by, F.col(right_time).alias(left_time)).agg(F.max(F.struct(*values)).alias("v__"))
+    r = r.select(*by, left_time, *none, F.lit(0).alias("side__"), "v__")
+    rows = left.select("*", F.lit(1).alias("side__"), F.lit(None).cast(r.schema["v__"].dataType).alias("v__"))
+    w = W.partitionBy(*by).orderBy(left_time, "side__").rowsBetween(W.unboundedPreceding, 0)
+    both = rows.unionByName(r).withColumn("v__", F.last("v__", ignorenulls=True).over(w)).where("side__ = 1")
     return both.select(*left.columns, *(F.col(f"v__.{v}").alias(v) for v in values))
 
 

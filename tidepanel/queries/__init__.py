@@ -6,7 +6,7 @@ import importlib
 
 from tidepanel.queries.base import ORACLES, QUERIES, Query
 
-_MODULES = ("expressions", "relational")
+_MODULES = ("expressions", "relational", "analytics", "streams")
 
 
 def queries() -> dict[str, Query]:
