@@ -183,9 +183,8 @@ def keep_tokens(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[keep]
     s, e = starts[keep], ends[keep]
     step = np.zeros(len(buf) + 1, np.int8)
-    step[s] += 1
-    full = e > s  # an empty line starts and ends at one byte
-    step[s[~full]] -= 1
+    full = e > s  # an empty line has no bytes, and may share its place with the next document's first line
+    step[s[full]] += 1
     step[e[full]] -= 1
     take = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
     more = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
