@@ -82,6 +82,41 @@ def optimise(alpha: np.ndarray, v: np.ndarray, cap: np.ndarray, risk_aversion: f
     return h
 
 
+def no_trade_zone(alpha: np.ndarray, v: np.ndarray, h: np.ndarray, risk_aversion: float, buy_cost: float, sell_cost: float, cap: np.ndarray, sweeps: int = 20, tolerance: float = 1e-8) -> np.ndarray:
+    """Coordinate descent in which a holding moves only where its marginal value leaves the dead band of trading costs.
+
+    Coordinates go in their own order, so the result is reproducible.
+    """
+    h, start = h.copy(), h.copy()
+    for _ in range(sweeps):
+        before = h.copy()
+        for i in range(len(h)):
+            slope = alpha[i] - 2 * risk_aversion * float(v[i] @ h)
+            rest = slope + 2 * risk_aversion * v[i, i] * h[i]
+            stay = rest - 2 * risk_aversion * v[i, i] * start[i]
+            if stay > buy_cost:
+                h[i] = min((rest - buy_cost) / (2 * risk_aversion * v[i, i]), cap[i])
+            elif stay < -sell_cost:
+                h[i] = max((rest + sell_cost) / (2 * risk_aversion * v[i, i]), 0.0)
+            else:
+                h[i] = start[i]
+        if np.abs(h - before).max() < tolerance:
+            break
+    return h
+
+
+def minimum_variance(v: np.ndarray) -> np.ndarray:
+    """Fully invested weights of least variance."""
+    x = np.linalg.solve(v, np.ones(len(v)))
+    return x / x.sum()
+
+
+def tangency(v: np.ndarray, excess: np.ndarray) -> np.ndarray:
+    """Fully invested weights of the highest ratio of excess return to risk."""
+    x = np.linalg.solve(v, excess)
+    return x / x.sum()
+
+
 def trades(positions: DataFrame, value: float, lot: int = 100, threshold: float = 1e-5) -> DataFrame:
     """(.., side, amount, shares) from target weight, current weight and price; whole lots, prices of 0 or less give none."""
     delta = F.col("target") - F.col("current")

@@ -384,3 +384,27 @@ def spread_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OPS18: deviation of the signal over that of the signal per volatility."""
     k = panels.classified_bars(spark, sf_dir).select("date", (F.try_divide("close", "open") - 1).alias("g"), (0.1 + F.col("volume") / 1000).alias("o"))
     return rounded(k.groupBy("date").agg(F.try_divide(F.stddev_samp("g"), F.nullif(F.stddev_samp(F.try_divide("g", "o")), F.lit(0.0))).alias("cg")))
+
+
+@query("mlb20_32_tree_scores")
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLB10-MLB11, MLB20-MLB32, MLB37: boosted trees fitted on rolling date windows."""
+    from tidepanel.operators.models import rolling_scores
+
+    exprs = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5)", "c": "Rank($close, 5)", "y": "Ref($close, -2) / Ref($close, -1) - 1"}
+    p = compile_panel(panels.daily_bars(spark, sf_dir), exprs)
+    windows = [(("2024-01-01", "2024-01-14"), ("2024-01-15", "2024-01-20")), (("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-30"))]
+    return rounded(rolling_scores(p, ["a", "b", "c"], "y", windows, trees=5, depth=3))
+
+
+_SHIFTED = f"with b as ({D}), c as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from b)), h as (select 1 as horizon union all select 5) select instrument, t.date, horizon, close as score from b join c using (date) cross join h join c t on t.idx = c.idx + horizon"
+
+
+@query("mlb38_merge_horizons", _SHIFTED)
+def merge_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLB38: scores moved on the calendar by their horizon and put together."""
+    from tidepanel.operators.models import merge_horizons as merge
+
+    p = panels.daily_bars(spark, sf_dir).select("instrument", "date", F.col("close").alias("score"))
+    days = p.select("date").distinct().withColumn("idx", F.row_number().over(W.orderBy("date")) - 1)  # one row per trading day
+    return merge({1: p, 5: p}, days)

@@ -13,8 +13,8 @@ from tidepanel.sources.files import scratch
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, under the schema of the table."""
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a pattern, as a stream's source may be a single file only by one
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def daily_bars(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -44,7 +44,8 @@ def running_mean(events: DataFrame, span: int = 10) -> DataFrame:
         state.update((num, den, n))
         yield pd.DataFrame({"instrument": [key[0]], "mean": [num / den if den else None], "n": [n]})
 
-    return events.groupBy(F.col("user_id").alias("instrument")).applyInPandasWithState(step, "instrument long, mean double, n long", "num double, den double, n long", "update", "NoTimeout")
+    named = events.withColumnRenamed("user_id", "instrument")
+    return named.groupBy("instrument").applyInPandasWithState(step, "instrument long, mean double, n long", "num double, den double, n long", "update", "NoTimeout")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
