@@ -4,9 +4,10 @@ Template, per run of adjacent turns of one role::
 
     <|role:ROLE|>\\nTEXT<|next|>TEXT...<|end|>\\n
 
-Control strings all start with "<".  In roles and texts "\\\\" is written
-"\\\\s" and "<" is written "\\\\l", so no control string can occur inside them and
-the escape is undone by two replacements.
+Control strings all start with "<", and "|" ends a role.  In roles and texts
+"\\\\" is written "\\\\s" and "<" is written "\\\\l", in roles also "|" as "\\\\p", so no
+control string can occur inside them and the escape is undone by three
+replacements.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("|"), F.lit("\\p"))
+
+
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
+    plain = F.replace(F.replace(c, F.lit("\\p"), F.lit("|")), F.lit("\\l"), F.lit("<"))
+    return F.replace(plain, F.lit("\\s"), F.lit("\\"))
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -57,7 +63,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
         ),
     )
     grouped = grouped.select("conv", runs.alias("runs"))
-    head = lambda r: F.concat(F.lit(OPEN), escape(r["role"]), F.lit(SHUT))
+    head = lambda r: F.concat(F.lit(OPEN), escape_role(r["role"]), F.lit(SHUT))
     body = lambda r: F.array_join(r["texts"], NEXT)
     formatted = F.array_join(F.transform("runs", lambda r: F.concat(head(r), body(r), F.lit(END))), "")
     bit = lambda n, yes: F.struct(n.cast("long").alias("chars"), yes.alias("in_loss"))

@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm import scan
+from tidepanel.llm.store import slim_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.8
@@ -143,7 +145,7 @@ def _edges(v: Vocabulary, points: np.ndarray, length: np.ndarray) -> tuple[np.nd
     acc, down = _cumulated(points)
     n = len(v.log_weight)
     src, size, piece = [], [], []
-    for k in range(1, v.longest + 1):
+    for k in range(1, min(v.longest, len(points)) + 1):
         if k < 8:  # most positions have room: whole arrays beat a selection
             h = scan.mix((acc[k:] - acc[:-k]) * down[: len(points) - k + 1] + np.uint64(k))
             s = np.flatnonzero((v.table[h >> np.uint64(64 - _TABLE)] >= 0) & (room[: len(h)] >= k))
@@ -197,7 +199,7 @@ def sample(v: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[by
     """Piece ids of each text, drawn under its seed."""
     plain = [t or "" for t in texts]
     points = _points("".join("▁" + t if t else "" for t in plain)).copy()
-    sizes = np.array([len(t) + 1 if t else 0 for t in plain])
+    sizes = np.array([len(t) + 1 if t else 0 for t in plain], np.int64)
     doc_at = np.append(0, np.cumsum(sizes))
     front = doc_at[:-1][sizes > 0]
     own = points == _MARK
@@ -277,7 +279,7 @@ def restore(v: Vocabulary, ids: list[bytes | None]) -> list[bytes | None]:
     lens = v.at[flat + 1] - v.at[flat]
     to = np.append(0, np.cumsum(lens))
     data = v.data[np.repeat(v.at[flat] - to[:-1], lens) + np.arange(to[-1])].tobytes()
-    bounds = to[np.append(0, np.cumsum([len(x or b"") // v.kind.itemsize for x in ids]))]
+    bounds = to[np.append(0, np.cumsum(np.array([len(x or b"") // v.kind.itemsize for x in ids], np.int64)))]
     return [None if x is None else data[min(a + 1, b) : b] for x, a, b in zip(ids, bounds[:-1], bounds[1:])]
 
 
@@ -294,6 +296,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     whatever its length; memory follows the longest text.
     """
     spark = docs.sparkSession
+    slim_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(load(model, alpha))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_pieces long, ids binary" + ", decoded string" * decode
@@ -324,5 +327,5 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str
         for table in scan.super_batches(batches, at, 5 << 19):
             yield from table.append_column("out", pa.array(restore(shared.value, table[at].to_pylist()), pa.binary()).cast(pa.string())).to_batches()
 
-    done = plain.mapInArrow(go, plain.schema.add("out", "string"))
+    done = plain.mapInArrow(go, T.StructType([*plain.schema, T.StructField("out", T.StringType())]))
     return done.toDF(*encoded.columns, text)

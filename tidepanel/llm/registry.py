@@ -138,7 +138,7 @@ union all select doc_id, 0, 0, sha256('') from documents where text is null
 _CHAT = """
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
-e as (select *, replace(replace(role, '\\', '\\s'), '<', '\\l') as r, replace(replace(text, '\\', '\\s'), '<', '\\l') as t,
+e as (select *, replace(replace(replace(role, '\\', '\\s'), '<', '\\l'), '|', '\\p') as r, replace(replace(text, '\\', '\\s'), '<', '\\l') as t,
              lag(role) over o is distinct from role as head from c window o as (partition by conv_id order by turn, role, text))
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
