@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import scan
+from tidepanel.llm.store import slim_batches
 
 Q = 8
 #: bytes of an item that must be found, and edits allowed in them
@@ -223,6 +224,7 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int,
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[Probe]]:
     """The benchmark in blocks of a bounded size, each with its index."""
+    slim_batches(benchmark.sparkSession)
     named = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
     volume = named.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     count = max(1, -(-volume // BLOCK_BYTES))

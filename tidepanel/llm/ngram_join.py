@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import scan
 from tidepanel.llm.components import connected_components
-from tidepanel.llm.store import buckets_for, text_volume, written
+from tidepanel.llm.store import buckets_for, slim_batches, text_volume, written
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -155,6 +155,7 @@ def _shared_tokens(packed: DataFrame, n_buckets: int) -> DataFrame:
         tokens, cls, grade = tokens[two], cls[two], grade[two]
         home = (names.view(np.uint64)[1::2] % np.uint64(n_buckets)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
         out = list(_pack(home[cls], cls, names, sizes, tokens, grade, n_buckets))
+        scan.release()
         return pa.Table.from_batches(out) if out else table.slice(0, 0)
 
     return packed.groupBy("bucket").applyInArrow(go, _PACK)
@@ -181,6 +182,7 @@ def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
         tokens, cls = tokens[order], cls[order]
         who = np.flatnonzero(good)
         bounds = np.append(np.searchsorted(cls, who), len(cls))
+        scan.release()
         return pa.table(
             {
                 "sig": pa.array([x.tobytes() for x in names[who]], pa.binary()),
@@ -370,6 +372,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     empty table; other columns of ``docs`` are not touched.
     """
     spark = docs.sparkSession
+    slim_batches(spark)
     volume = text_volume(docs, text)
     n_buckets = buckets_for(spark, volume)
     members = written(class_members(docs, key, text, shingle), "members")

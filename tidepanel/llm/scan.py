@@ -8,6 +8,7 @@ scanned whole, in slabs, so scratch memory does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +131,20 @@ def run_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(total) - before[doc] + first[:-1][doc], doc
 
 
-def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int = 12 << 20) -> Iterator[pa.Table]:
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: freed memory stays with the process
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system.  Python workers outlive their tasks, and what they hold counts in their executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int = 8 << 20) -> Iterator[pa.Table]:
     """Regroup incoming batches into tables of about ``target`` text bytes.
 
     A batch is cut by rows where it holds more; one longer document stands
@@ -155,6 +169,8 @@ def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int =
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    release()
 
 
 def line_spans(buf: np.ndarray, offsets: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -43,11 +43,18 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slim_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def text_volume(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return int(docs.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
 
 
-def buckets_for(spark: SparkSession, volume: int, each: int = 16 << 20, most: int = 200_000) -> int:
+def buckets_for(spark: SparkSession, volume: int, each: int = 12 << 20, most: int = 200_000) -> int:
     """Hash buckets for an exchange: about ``each`` bytes of text per bucket."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-volume // each)), 1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import scan
-from tidepanel.llm.store import text_volume
+from tidepanel.llm.store import slim_batches, text_volume
 from tidepanel.llm.windows import Filter, remove_repeats, words
 
 WINDOW = 13
@@ -113,6 +113,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     if k < SUB:
         raise ValueError(f"k must be {SUB} at least")
+    slim_batches(docs.sparkSession)
     volume = text_volume(docs, text)
     bits = sketch(docs.where(F.col(key).isNotNull()), text, k, width)
     shared = docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in bits])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidepanel.llm import scan
-from tidepanel.llm.store import buckets_for, text_volume
+from tidepanel.llm.store import buckets_for, slim_batches, text_volume
 
 _OWNERS = "bucket int, keys binary, tags binary, counts binary, h1 binary, h2 binary, pos binary"
 _COVER = "bucket int, keys binary, tags binary, counts binary, pos binary"
@@ -167,6 +167,7 @@ def _settle(owners: DataFrame, by_position: bool, n: int) -> DataFrame:
         if by_position:
             later |= (own == np.repeat(own[head], size)) & (pos > np.repeat(pos[head], size))
         doc, pos = doc[later], pos[later]
+        scan.release()
         return _packed(-1 - _home(keys, tags, n)[doc], doc, keys, tags, {"pos": pos})
 
     return owners.groupBy("bucket").applyInArrow(go, _COVER)
@@ -192,6 +193,7 @@ def remove_repeats(
     Rows with a null key are neither looked at nor changed in what they keep.
     """
     spark = docs.sparkSession
+    slim_batches(spark)
     cut, glue = (words, 0x20) if unit == "word" else (lines, 0x0A)
     n = buckets_for(spark, text_volume(docs, text) if volume is None else volume)
     keyed = _keyed(docs, key, text, n)
