@@ -346,7 +346,9 @@ def _place(cand: DataFrame, blocks: DataFrame, n_bins: int, block_tokens: int) -
     """Put each class where its block is searched: (bin, part, side, sig, n, tokens)."""
     sized = cand.select("sig", "n_tokens").join(blocks, F.col("sig") == F.col("node")).groupBy("root").agg(F.sum("n_tokens").alias("total"))
     big = sized.where(F.col("total") > block_tokens).select("root", F.ceil(F.col("total") / block_tokens).cast("int").alias("chunks"))
-    rows = cand.join(blocks, F.col("sig") == F.col("node")).join(big, "root", "left")
+    # what says where goes first, so that the shingles are joined, and shuffled for it, once
+    where = blocks.join(big, "root", "left")
+    rows = cand.join(where, F.col("sig") == F.col("node"))
     c = F.coalesce("chunks", F.lit(1))
     mine = F.pmod(F.xxhash64("sig"), c).cast("int")
     other = F.explode(F.sequence(F.lit(0), c - 1))

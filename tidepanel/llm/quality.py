@@ -162,26 +162,28 @@ def sparse(texts: pa.ChunkedArray) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def fit(feats: list[tuple[bytes, bytes]], y: np.ndarray, l2: float = 1e-4) -> Model | None:
-    """Fit and calibrate; None where a class is missing.  Every fifth row is held out for the calibration."""
+def fit(feats: list[tuple], y: np.ndarray, l2: float = 1e-4) -> Model | None:
+    """Fit and calibrate from what ``sparse`` gives; None where a class is missing.  Every fifth row is held out for the calibration."""
     y = y.astype(float)
     held = np.arange(len(y)) % 5 == 4
     if len(y) < 20 or y[~held].min() == y[~held].max():
         return None
-    cols = [np.frombuffer(i, np.int32) for i, _ in feats]
-    row, col, val = np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols), np.concatenate([np.frombuffer(v, np.float32) for _, v in feats])
-    n_rows, n_cols = len(y), 2 << _BITS
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in feats]
+    n_cols = 2 << _BITS
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * ~held  # classes weigh the same
 
     def score(x: np.ndarray) -> np.ndarray:
-        return np.bincount(row, val * x[col], n_rows) + x[-1]
+        return np.array([v @ x[i] for i, v in rows]) + x[-1]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         z = score(x)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         f = float((weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum() + l2 / 2 * (x[:-1] @ x[:-1]))
         d = weight * (p - y) / weight.sum()
-        g = np.bincount(col, val * d[row], n_cols + 1)
+        g = np.zeros(n_cols + 1)
+        for (i, v), k in zip(rows, d):
+            if k:
+                g[i] += k * v  # a row's features are distinct
         g[:-1] += l2 * x[:-1]
         g[-1] = d.sum()
         return f, g
@@ -213,7 +215,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield from pa.table({"r": t["r"], "y": t["y"], "i": pa.array([i for i, _ in f], pa.binary()), "v": pa.array([v for _, v in f], pa.binary())}).to_batches()
 
     table = rows.mapInArrow(go, "r long, y int, i binary, v binary").orderBy("r", "y", "i", "v").limit(max_train).toArrow()
-    return fit(list(zip(table["i"].to_pylist(), table["v"].to_pylist())), table["y"].to_numpy()) if table.num_rows else None
+    feats, y = [(a.as_buffer(), b.as_buffer()) for a, b in zip(table["i"], table["v"])], table["y"].to_numpy()
+    model = fit(feats, y) if len(y) else None
+    del feats, table
+    scan.release()
+    return model
 
 
 def quality_rules(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
