@@ -62,6 +62,39 @@ def test_leaks_match_brute_force():
     assert (len(docs) - 1, 0) in got
 
 
+def leaks(item, doc):
+    (p,) = dc.probes([0], pa.array([item]))
+    _, buf, offsets = dc._normal(pa.array([doc]))
+    return [row[2:] for row in dc.find(p, buf, offsets)]
+
+
+def test_stretches_beside_an_exact_run_are_reported():
+    item = prose(random.Random(8), 100)[:400]
+    head, tail = "0123456789" * 3, "9876543210" * 3
+    edited = "".join("#" if i > 130 and (i - 130) % 40 == 0 else c for i, c in enumerate(item[:300]))
+    assert leaks(item[:300], edited) == [(0, 300, 0)]
+    assert leaks(item[:300], head + edited + tail) == [(30, 330, 0)]
+    # another 100 bytes between an exact head and a tail with edits, and the other way round
+    parted = item[:130] + "#" * 100 + "".join("!" if i in (270, 310, 350) else c for i, c in enumerate(item))[230:]
+    assert leaks(item, head + parted + tail) == [(30, 160, 0), (260, 430, 1)]
+    assert leaks(item[::-1], (head + parted + tail)[::-1]) == [(30, 200, 1), (300, 430, 0)]
+    # an insertion moves the tail to another diagonal of the band
+    moved = item[:130] + "###" + "".join("!" if i % 37 == 0 else c for i, c in enumerate(item))[130:]
+    assert leaks(item, head + moved + tail) == [(30, 433, 0)]
+    # every good stretch by brute force
+    r = random.Random(9)
+    for _ in range(3):
+        part = list(item[:250])
+        for q in sorted(r.sample(range(100, 250), r.randint(3, 14)), reverse=True):
+            part[q : q + 1] = r.choice(["#", "", part[q] + "#"])
+        text = head + "".join(part) + tail
+        rows = leaks(item[:250], text)
+        for s in range(0, 171, 5):
+            least = least_edits(item[s : s + 80].encode(), text.encode())
+            inside = min((least_edits(item[s : s + 80].encode(), text[a:b].encode()) for a, b, _ in rows), default=99)
+            assert inside == least if least <= 6 else inside > 6, (s, rows)
+
+
 def test_decontaminate_drops_just_the_leaks(spark):
     docs, bench = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet")
     plain = lambda s: re.sub(r"[ \t-\r]", " ", s.lower())

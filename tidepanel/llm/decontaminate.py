@@ -11,8 +11,9 @@ q-grams, all on diagonals at most ``k`` apart.  So:
 2. hits are counted in overlapping diagonal bands of width 2k, so that
    every run of k + 1 diagonals lies whole in one band;
 3. bands in which some window of the item meets the bound are verified:
-   an unbroken diagonal is an exact match, anything else is aligned in
-   the band by dynamic programming.
+   an unbroken diagonal is an exact match, and every stretch of the item
+   that meets the bound and doesn't lie whole in one is aligned in the band
+   by dynamic programming.
 """
 
 from __future__ import annotations
@@ -133,32 +134,41 @@ def _hits(p: Probe, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.repeat(where, n_post), p.item[entry].astype(np.int64), p.pos[entry].astype(np.int64)
 
 
-def banded_edits(item: np.ndarray, starts: np.ndarray, length: int, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits to align item[s : s + length] with a stretch of text, and where the stretch ends.
+def banded_edits(item: np.ndarray, starts: np.ndarray, length: int, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits to align item[s : s + length] with a stretch of text, and where the stretch begins and ends.
 
     Diagonals (text position less item position) are kept in [low, high]; text
     before and behind the stretch is free.  All starts advance together, and
-    gaps within a row are closed by a running minimum.
+    gaps within a row are closed by a running minimum.  A cell holds the edits
+    and, in its low bits, the column the stretch began in: of equal edits the
+    latest beginning and the first end count.
     """
     width = high - low + 1
     ramp = np.arange(width)
     padded = np.concatenate([np.full(1, 300, np.int16), text.astype(np.int16), np.full(1, 300, np.int16)])
     at = starts[:, None] + low + ramp[None, :]
-    far = 10**6
-    row = np.where((at >= 0) & (at <= len(text)), 0, far)
+    bits = width.bit_length()
+    one = 1 << bits
+    far = 10**6 * one
+    row = np.where((at >= 0) & (at <= len(text)), one - 1 - ramp, far)
     for r in range(length):
         spot = at + r
         same = padded[np.clip(spot + 1, 0, len(padded) - 1)] == item[starts + r][:, None]
-        nxt = np.where((spot >= 0) & (spot < len(text)), row + ~same, far)  # diagonal step
-        nxt[:, :-1] = np.minimum(nxt[:, :-1], row[:, 1:] + 1)  # an item byte left out
-        nxt = np.minimum.accumulate(nxt - ramp, axis=1) + ramp  # text bytes put in
+        nxt = np.where((spot >= 0) & (spot < len(text)), row + ~same * one, far)  # diagonal step
+        nxt[:, :-1] = np.minimum(nxt[:, :-1], row[:, 1:] + one)  # an item byte left out
+        nxt = np.minimum.accumulate(nxt - ramp * one, axis=1) + ramp * one  # text bytes put in
         row = np.where((spot + 1 >= 0) & (spot + 1 <= len(text)), nxt, far)
-    best = row.argmin(axis=1)
-    return row[np.arange(len(starts)), best], starts + length + low + best
+    best = (row >> bits).argmin(axis=1)
+    least = row[np.arange(len(starts)), best]
+    return least >> bits, starts + low + one - 1 - (least & one - 1), starts + length + low + best
 
 
-def find(p: Probe, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, start, end, edits) of the leaks of a batch, byte positions in the document."""
+def find(p: Probe, buf: np.ndarray, offsets: np.ndarray, whole: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, start, end, edits) of the leaks of a batch, byte positions in the document.
+
+    Without ``whole``, a band with an exact match isn't searched for more:
+    the documents and items are the same, the stretches aren't all there.
+    """
     where, item, pos = _hits(p, buf, offsets)
     if not len(where):
         return []
@@ -196,16 +206,17 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int,
         runs = np.diff(cut)
         exact = np.flatnonzero(runs >= p.length - Q + 1)
         found = [(int(dd[cut[x]] + jj[cut[x]]), int(dd[cut[x]] + jj[cut[x + 1] - 1]) + Q, 0) for x in exact]
-        if not found:
+        if whole or not found:
             own = p.texts[it]
             starts = np.unique(np.concatenate([np.arange(max(0, gp[i + n - 1] - (p.length - Q)), min(gp[i], len(own) - p.length) + 1) for i in which]))
+            for x in exact:  # what lies whole in an exact match is found already
+                starts = starts[(starts < jj[cut[x]]) | (starts + p.length > jj[cut[x + 1] - 1] + Q)]
             low = int(band[a]) * step
             for lo in range(0, len(starts), 256):
                 s = starts[lo : lo + 256]
-                edits, ends = banded_edits(own, s, p.length, text, low - p.edits, low + 2 * step + p.edits)
-                good = np.flatnonzero(edits <= p.edits)
-                if len(good):
-                    found.append((int(max(0, ends[good].min() - p.length - p.edits)), int(ends[good].max()), int(edits[good].min())))
+                edits, begins, ends = banded_edits(own, s, p.length, text, low - p.edits, low + 2 * step + p.edits)
+                good = edits <= p.edits
+                found.extend(zip(begins[good].tolist(), ends[good].tolist(), edits[good].tolist()))
         if found:
             out.setdefault((d, it), []).extend(found)
     rows = []
@@ -292,7 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 _, buf, offsets = _normal(table[f"c{at}"])
                 clean = np.ones(table.num_rows, bool)
                 for p in shared.value:
-                    clean[[d for d, *_ in find(p, buf, offsets)]] = False
+                    clean[[d for d, *_ in find(p, buf, offsets, whole=False)]] = False
                 yield from table.filter(pa.array(clean)).to_batches()
 
         out = plain.mapInArrow(go, plain.schema).toDF(*docs.columns)
