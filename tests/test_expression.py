@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidepanel.functions.genes import genes
+from tidepanel.functions.genes import FAMILIES, WINDOWS, genes
 from tidepanel.functions.indicators import registry
 from tidepanel.plans.expression import ExpressionError, check, compile_panel, extent, fields, parse
 
@@ -88,3 +88,11 @@ def test_libraries_parse():
     for text in [*genes().values(), *registry().values()]:
         check(parse(text))
     assert len(genes()) == 24 + 24 * 5
+
+
+def test_family_queries_cover_every_window():
+    from tidepanel import queries as named
+
+    sql = named.oracle_sql()
+    text = " ".join(sql[q] for q in ("exp25_34_price_family", "exp35_44_position_family", "exp45_48_volume_family"))
+    assert [f"{k}{n}" for k in FAMILIES for n in WINDOWS if f"as {k.lower()}{n}," not in text and f"as {k.lower()}{n} " not in text] == []

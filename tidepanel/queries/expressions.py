@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepanel.functions import indicators
-from tidepanel.functions.genes import COMPOSITES, FAMILIES
+from tidepanel.functions.genes import COMPOSITES, FAMILIES, WINDOWS
 from tidepanel.plans.expression import compile_panel, panel_sql
 from tidepanel.queries.base import panel_query, query, rounded, rounded_sql
 from tidepanel.sources import panels
@@ -182,6 +182,6 @@ panel_query("tai12_registry", "monthly", {k: v for k, v in indicators.registry()
 panel_query("exp01_15_composites", "daily", {k.lower(): v for k, v in list(COMPOSITES.items())[:15]}, 5)
 panel_query("exp16_24_candles", "daily", {k.lower(): v for k, v in list(COMPOSITES.items())[15:]})
 _FAMILY = list(FAMILIES.items())
-panel_query("exp25_34_price_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[:10] for n in (5, 10, 20)}, 9)
-panel_query("exp35_44_position_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[10:20] for n in (5, 10)}, 5)
-panel_query("exp45_48_volume_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[20:] for n in (5, 10, 20, 30, 60)}, 5)
+panel_query("exp25_34_price_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[:10] for n in WINDOWS}, 9)
+panel_query("exp35_44_position_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[10:20] for n in WINDOWS}, 5)
+panel_query("exp45_48_volume_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[20:] for n in WINDOWS}, 5)
