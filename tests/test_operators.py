@@ -157,3 +157,34 @@ def test_search_finds_the_planted_factor(spark):
     assert best[0][1] > 0.5 and all(f <= best[0][1] for _, f in best)
     kept = uncorrelated(spark.createDataFrame(pdf), ["$a", "$a * 2", "$b"])
     assert kept == ["$a", "$b"]
+
+
+def test_volatility_of_old_and_new_names(spark):
+    from tidepanel.operators import volatility
+
+    r = np.random.default_rng(3)
+    days = pd.date_range("2020-01-01", periods=230).date
+    rows, traits = [], []
+    for i in range(70):
+        n = 230 if i < 60 else 5 + i - 60
+        rows += [(i, d, float(r.normal() * (1 + i % 5))) for d in days[-n:]]
+        if i != 69:
+            traits.append((i, days[-1], f"ind{i % 4}" if i != 68 else "unseen", float(np.exp(3 + i % 7))))
+    res, tr = spark.createDataFrame(rows, "instrument int, date date, residual double"), spark.createDataFrame(traits, "instrument int, date date, industry string, circ_mv double")
+    got = {x.instrument: x for x in volatility.residual_volatility(res, tr).collect()}
+    pdf = pd.DataFrame(rows, columns=["i", "d", "u"])
+    sd = pdf.groupby("i")["u"].apply(lambda s: s.iloc[-200:].std())
+    design = lambda ids: np.array([[1.0, *(float(traits[i][2] == f"ind{k}") for k in (1, 2, 3)), np.log(traits[i][3])] for i in ids])
+    beta = np.linalg.lstsq(design(range(60)), sd[:60].to_numpy(), rcond=None)[0]
+    assert len(got) == 70 and [got[i].method for i in (0, 60, 68, 69)] == ["history", "regression", "regression", "median"]
+    np.testing.assert_allclose([got[i].omega for i in range(60)], sd[:60])
+    np.testing.assert_allclose([got[i].omega for i in range(60, 69)], np.maximum(design(range(60, 69)) @ beta, 0.001))
+    assert got[69].omega == pytest.approx(sd[:60].median())
+    assert {x.method for x in volatility.residual_volatility(res, tr, min_old=61).collect()} == {"history", "median"}
+    with pytest.raises(ValueError):
+        volatility.residual_volatility(res, tr, as_of=str(days[100]))
+    z = pdf.assign(z=np.sin(np.arange(len(pdf)))).rename(columns={"i": "instrument", "d": "date"})
+    ahead = z.groupby("instrument")["u"].shift(-1)
+    one = volatility.pooled_ic(spark.createDataFrame(z[["instrument", "date", "z"]]), res, 229).first()
+    assert (one.dates, one.n) == (229, ahead.notna().sum()) and one.ic == pytest.approx(z["z"].corr(ahead))
+    assert volatility.pooled_ic(spark.createDataFrame(z[["instrument", "date", "z"]]), res).first().ic is None

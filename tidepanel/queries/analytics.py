@@ -294,12 +294,31 @@ def alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alp04_07_volatility", rounded_sql(f"with r as (select instrument, close / nullif(open, 0) - 1 as u, row_number() over (partition by instrument order by date desc) as k from ({K})) select instrument, count(u) as n, stddev_samp(u) as vol from r where k <= 36 group by 1", "vol", "instrument, n"))
 def residual_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ALP04, ALP06-ALP08: deviation of the last rows per instrument."""
+    """ALP07 over 36 rows: deviation of the last rows per instrument."""
     w = W.partitionBy("instrument").orderBy(F.desc("date"))
     r = panels.classified_bars(spark, sf_dir).select("instrument", (F.try_divide("close", "open") - 1).alias("u"), F.row_number().over(w).alias("k")).where("k <= 36")
     return rounded(r.groupBy("instrument").agg(F.count("u").alias("n"), F.stddev_samp("u").alias("vol")))
 
 
+@query("alp04_pooled_ic")
+def pooled_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALP04: correlation over all rows of the score with the residual ahead; the tables have some 80 dates, so 60 must do."""
+    from tidepanel.operators import volatility
+
+    k = panels.classified_bars(spark, sf_dir).select("instrument", "date", (F.try_divide("close", "open") - 1).alias("residual"), cross.zscore("volume", ["date"]).alias("z"))
+    return rounded(volatility.pooled_ic(k, k, min_dates=60))
+
+
+@query("alp06_10_residual_volatility")
+def old_and_new_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALP06-ALP11: history of 200 rows for old names, regression or median for new ones; 60 dates make a name old here."""
+    from tidepanel.operators import volatility
+
+    k = panels.classified_bars(spark, sf_dir)
+    r = k.select("instrument", "date", (F.try_divide("close", "open") - 1).alias("residual"))
+    return rounded(volatility.residual_volatility(r, k, min_days=60, min_old=20))
+
+
 @query("alp12_19_orthogonal_blend")
 def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALP12-ALP21: whitened signals weighted by their correlation with the return ahead."""
