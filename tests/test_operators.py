@@ -188,3 +188,26 @@ def test_volatility_of_old_and_new_names(spark):
     one = volatility.pooled_ic(spark.createDataFrame(z[["instrument", "date", "z"]]), res, 229).first()
     assert (one.dates, one.n) == (229, ahead.notna().sum()) and one.ic == pytest.approx(z["z"].corr(ahead))
     assert volatility.pooled_ic(spark.createDataFrame(z[["instrument", "date", "z"]]), res).first().ic is None
+
+
+@pytest.mark.parametrize(("half_corr", "half_var", "days"), [(252, 42, 90), (12, 5, 60), (30, 30, 60), (252, 42, 22)])
+def test_barra_covariance_is_the_recursion(spark, half_corr, half_var, days):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(days, 3)) @ r.normal(size=(3, 3)) * np.where(np.arange(days) < 40, 0.01, 0.05)[:, None]
+    x = np.column_stack([x, x[:, 0] + x[:, 1]])
+    lc, ld = 0.5 ** (1 / half_corr), 0.5 ** (1 / half_var)
+    f = np.cov(x[:20].T, ddof=1)
+    var = np.diag(f).copy()
+    for t in range(20, days):
+        f = lc * f + (1 - lc) * np.outer(x[t], x[t])
+        var = ld * var + (1 - ld) * np.diag(f)
+    dev = np.sqrt(var)
+    want = f / np.sqrt(np.outer(np.diag(f), np.diag(f))) * np.outer(dev, dev)
+    rows = [(day(t), "abcd"[k], float(x[t, k])) for t in range(days) for k in range(4)]
+    rows += [(day(days), "a", 9.0), (day(days), "b", None)]  # a date without every factor
+    pdf = risk.barra_covariance(spark.createDataFrame(rows, "date date, factor string, ret double"), half_corr, half_var).toPandas()
+    got = pdf.pivot(index="i", columns="j", values="v").to_numpy() / 252
+    np.testing.assert_allclose(got, want, atol=2e-10)
+    assert np.linalg.eigvalsh(got)[0] > -1e-15
+    with pytest.raises(ValueError):
+        risk.barra_covariance(spark.createDataFrame([x for x in rows if x[0] < day(20)], "date date, factor string, ret double"))

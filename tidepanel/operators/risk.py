@@ -29,6 +29,52 @@ def ewma_covariance(returns: DataFrame, half_life: float, per_year: int = 252) -
     return a.join(b, "date").groupBy("i", "j").agg((F.try_divide(F.sum(F.col("w") * F.col("x") * F.col("y")), F.sum("w")) * per_year).alias("v"))
 
 
+def barra_covariance(returns: DataFrame, half_life_corr: float = 252, half_life_var: float = 42, init_periods: int = 20, per_year: int = 252) -> DataFrame:
+    """(i, j, v) of annualised covariances with separate half-lives for correlations and variances.
+
+    F starts as the sample covariance of the first ``init_periods`` dates and takes
+    in each later date's second moments; its diagonal is smoothed once more by the
+    second half-life.  Both recursions are weighted sums over dates in closed form,
+    so only factor-by-factor sums reach the driver.  Dates on which some factor has
+    no return are left out.
+    """
+    r = returns.where("ret is not null").select("date", "factor", "ret")
+    factors = sorted(x[0] for x in r.select("factor").distinct().collect())
+    full = r.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == len(factors))
+    full = full.select("date", F.row_number().over(W.orderBy("date")).alias("k"))
+    days = full.count()
+    if days <= init_periods:
+        raise ValueError(f"returns of all factors on {days} dates; more than {init_periods} are needed")
+    c, d, n = 0.5 ** (1 / half_life_corr), 0.5 ** (1 / half_life_var), days - init_periods
+    age = F.lit(float(days)) - F.col("k")
+    if c == d:
+        twice, first = (age + 1) * F.pow(F.lit(c), age), (1 - c) * n * c**n
+    else:
+        twice = (F.pow(F.lit(c), age + 1) - F.pow(F.lit(d), age + 1)) / (c - d)
+        first = (1 - d) * c * (c**n - d**n) / (c - d)
+    r = r.join(F.broadcast(full), "date")  # one row a date
+    a = r.select("k", F.col("factor").alias("i"), F.col("ret").alias("x"))
+    b = r.select("k", F.col("factor").alias("j"), F.col("ret").alias("y"))
+    early, xy = F.col("k") <= init_periods, F.col("x") * F.col("y")
+    start = F.covar_samp(F.when(early, F.col("x")), F.when(early, F.col("y")))
+    raw = c**n * start + (1 - c) * F.sum(F.when(early, 0.0).otherwise(F.pow(F.lit(c), age) * xy))
+    smooth = (d**n + first) * start + (1 - c) * (1 - d) * F.sum(F.when(early, 0.0).otherwise(twice * xy))
+    place = {f: k for k, f in enumerate(factors)}
+    f, var = np.zeros((len(factors),) * 2), np.zeros(len(factors))
+    for x in a.join(b, "k").groupBy("i", "j").agg(raw.alias("raw"), smooth.alias("smooth")).collect():
+        f[place[x.i], place[x.j]] = x.raw
+        if x.i == x.j:
+            var[place[x.i]] = x.smooth
+    corr = f / np.maximum(np.sqrt(np.outer(np.diag(f), np.diag(f))), 1e-20)
+    dev = np.sqrt(np.maximum(var, 1e-20))
+    v = corr * np.outer(dev, dev)
+    if not (np.linalg.eigvalsh(v) > 0).all():
+        v = positive_definite(v)
+    rows = [(i, j, float(v[place[i], place[j]]) * per_year) for i in factors for j in factors]
+    kind = returns.schema["factor"].dataType.simpleString()
+    return returns.sparkSession.createDataFrame(rows, f"i {kind}, j {kind}, v double")
+
+
 def correlation(cov: DataFrame) -> DataFrame:
     """(i, j, v) of correlations: the covariance over both deviations."""
     d = cov.where("i = j").select(F.col("i").alias("k"), F.sqrt("v").alias("s"))

@@ -231,10 +231,16 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rsk21_ewma_covariance", f"with fr as ({_FR}), n as (select date, row_number() over (order by date desc) - 1 as age from (select distinct date from fr)), r as (select fr.*, power(0.5, age / 12.0) as w from fr join n using (date)) select a.factor as i, b.factor as j, round(sum(a.w * a.ret * b.ret) / sum(a.w) * 252, 4) + 0.0 as v from r a join r b using (date) group by 1, 2")
 def ewma_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RSK21: half-life weighted covariance in closed form."""
+    """One half-life weighted second moment in closed form, a simplification; RSK21 itself is ``rsk21_barra_covariance``."""
     return rounded(risk.ewma_covariance(_factor_returns(spark, sf_dir), 12.0), 4)
 
 
+@query("rsk21_barra_covariance")
+def barra_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSK21-RSK22: correlations and variances by half-lives of 252 and 42 dates after 20 initial ones (checked against the recursion in tests)."""
+    return rounded(risk.barra_covariance(_factor_returns(spark, sf_dir)), 4)
+
+
 _DAY = "select max(date) from b"
 _BOOK = f"with b as ({K}), t as (select * from b where date = (select max(date) from b)), e as (select instrument, industry as factor, 1.0 as x from t union all select instrument, 'size', ln(circ_mv) from t where circ_mv > 0), h as (select instrument, circ_mv / sum(circ_mv) over () - 1.0 / count(*) over () as h from t), d as (select instrument, 0.04 + circ_mv / 1e6 as d from t), f as (select i, j, case when i = j then 0.09 else 0.01 end as v from (select distinct factor as i from e) cross join (select distinct factor as j from e)), x as (select factor, sum(e.x * h) as x from e join h using (instrument) group by 1), fv as (select sum(a.x * v * c.x) as fv from f join x a on a.factor = i join x c on c.factor = j), sv as (select sum(h * h * d) as sv from d join h using (instrument))"
 
