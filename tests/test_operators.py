@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.functions import series
 from tidepanel.operators import cross, evaluate, pit, portfolio, risk, shaping
@@ -211,3 +212,30 @@ def test_barra_covariance_is_the_recursion(spark, half_corr, half_var, days):
     assert np.linalg.eigvalsh(got)[0] > -1e-15
     with pytest.raises(ValueError):
         risk.barra_covariance(spark.createDataFrame([x for x in rows if x[0] < day(20)], "date date, factor string, ret double"))
+
+
+def test_specific_variance_is_forecast_from_the_styles(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, day(t), float(r.normal() * (0.01 + 0.01 * i / 40)), float(i) * 1e6 + r.normal(), float(r.normal())) for t in range(140) for i in range(40)]
+    pdf = pd.DataFrame(rows, columns=["instrument", "date", "residual", "size", "beta"])
+    pdf.loc[[7, 5599], "residual"] = np.nan  # the last: no residual on the latest date
+    pdf.loc[[5597, 5598], "beta"] = [1e5, -1e5]  # one of them meets the floor
+    spark_df = spark.createDataFrame([tuple(None if x != x else x for x in row) for row in pdf.itertuples(index=False)], "instrument int, date date, residual double, size double, beta double")
+    got = risk.forecast_specific_variance(spark_df.select("instrument", "date", "residual"), spark_df.drop("residual"), ["size", "beta"])
+    p = pdf.dropna().assign(u=lambda d: d["residual"] ** 2)
+    s = series.next_level(p.groupby("date")["u"].mean().to_numpy())
+    t = p[(p["date"] >= day(20)) & (p["date"] < day(139))]
+    v = t["u"] / t.groupby("date")["u"].transform("mean") - 1
+    mid = v.groupby(t["date"]).transform("median")
+    dev = 1.4826 * (v - mid).abs().groupby(t["date"]).transform("median")
+    v = v.clip(mid - 3 * dev, mid + 3 * dev)
+    beta = np.linalg.lstsq(np.column_stack([np.ones(len(t)), t["size"] / 1e6, t["beta"]]), v, rcond=None)[0]
+    last = p[p["date"] == day(139)]
+    want = np.maximum(s * (1 + np.column_stack([np.ones(len(last)), last["size"] / 1e6, last["beta"]]) @ beta), 1e-8) * 252
+    out = got.toPandas().sort_values("instrument")
+    assert out["instrument"].tolist() == last["instrument"].tolist() == list(range(39))
+    np.testing.assert_allclose(out["specific_var"], want, rtol=1e-7)
+    assert out["specific_var"].min() == 1e-8 * 252
+    low = spark_df.select("instrument", "date", F.lit(0.0).alias("residual")).where(F.col("date") < F.lit(day(9)))
+    with pytest.raises(ValueError):
+        risk.forecast_specific_variance(low, spark_df, ["size"])

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepanel.functions.series import next_level
+from tidepanel.operators.cross import winsorize
+
 
 def sample_covariance(returns: DataFrame, per_year: int = 252) -> DataFrame:
     """(i, j, v) of annualised sample covariances of factor returns (date, factor, ret)."""
@@ -132,6 +135,43 @@ def specific_variance(residuals: DataFrame) -> DataFrame:
     return residuals.select("instrument", "date", s.alias("s"), (F.try_divide(F.col("residual") * F.col("residual"), s) - 1).alias("v"))
 
 
+def forecast_specific_variance(residuals: DataFrame, exposure: DataFrame, styles: list[str], panel_window: int = 120, per_year: int = 252) -> DataFrame:
+    """(instrument, specific_var) for the latest date, from residuals (instrument, date, residual) and exposures (instrument, date, styles).
+
+    The mean squared residual S of all common dates is forecast by one step
+    (its mean where a unit root can't be ruled out; the reference stops there).  The
+    relative squares v of the last ``panel_window`` dates but the latest are bounded
+    per date by the median deviation and regressed on the styles by sums over all
+    rows; the latest exposures predict v, and S (1 + v), 1e-8 at least, is annualised.
+    Rows without a residual, or without one of the styles, are left out.
+    """
+    x = exposure.select("instrument", "date", *(F.col(c).cast("double").alias(c) for c in styles)).dropna(subset=styles)
+    both = residuals.where("residual is not null").select("instrument", "date", "residual").join(x, ["instrument", "date"])
+    level = both.groupBy("date").agg(F.avg(F.col("residual") * F.col("residual")).alias("s")).orderBy("date").collect()  # one row a date
+    if len(level) < 2:
+        raise ValueError("two dates at least are needed")
+    latest, first = level[-1]["date"], level[-min(panel_window, len(level))]["date"]
+    s = next_level(np.array([r["s"] for r in level]))
+    v = specific_variance(both.where((F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(latest)))).select("instrument", "date", "v")
+    train = winsorize(v.where("v is not null"), "v", ["date"], "mad").join(x, ["instrument", "date"])
+    terms = [F.lit(1.0), *(F.col(f"`{c}`") for c in styles)]
+    sums = [F.sum(a * b) for k, a in enumerate(terms) for b in [*terms[k:], F.col("v")]]
+    got = train.agg(*(c.alias(f"c{k}") for k, c in enumerate(sums))).first()
+    if got[0] is None or not np.isfinite(s):
+        raise ValueError("no forecast from residuals that are constant or missing")
+    got = iter(got)
+    m, y = np.zeros((len(terms),) * 2), np.zeros(len(terms))
+    for k in range(len(terms)):
+        for j in range(k, len(terms)):
+            m[k, j] = m[j, k] = next(got)
+        y[k] = next(got)
+    # columns of one length, so that the rank doesn't hang on the units
+    size = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+    beta = np.linalg.pinv(m / np.outer(size, size), rcond=1e-13, hermitian=True) @ (y / size) / size
+    guess = sum((F.lit(float(b)) * t for b, t in zip(beta, terms)), F.lit(0.0))
+    return both.where(F.col("date") == F.lit(latest)).select("instrument", (F.greatest(F.lit(s) * (1 + guess), F.lit(1e-8)) * per_year).alias("specific_var"))
+
+
 def vif(corr: np.ndarray) -> np.ndarray:
     """Variance inflation factors: the diagonal of the inverse correlation matrix."""
     return np.diag(np.linalg.pinv(corr))

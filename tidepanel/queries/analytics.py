@@ -284,6 +284,15 @@ def specific(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.specific_variance(r))
 
 
+@query("rsk28_specific_risk")
+def specific_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSK28: specific variance per instrument ahead, from residuals and two styles (checked against least squares in tests)."""
+    k = panels.classified_bars(spark, sf_dir)
+    x = k.where("circ_mv > 0 and volume > 0").select("instrument", "date", F.ln("circ_mv").alias("size"), F.ln("volume").alias("liquidity"))
+    r = k.select("instrument", "date", (F.try_divide("close", "open") - 1).alias("residual"))
+    return rounded(risk.forecast_specific_variance(r, x, ["size", "liquidity"]))
+
+
 @query("rsk18_constrained_regression")
 def constrained_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSK17-RSK19, XSN13: factor returns per date under the industry constraint (checked by its normal equations in tests)."""
@@ -380,7 +389,7 @@ def topk_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlb62_68_linear_model", f"select round(regr_slope(close, open), 6) as slope, round(regr_intercept(close, open), 5) as intercept from ({M})")
 def linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLB62-MLB68, RSK28: normal equations from sums over all rows, solved on the driver."""
+    """One slope of the OLS in MLB68: normal equations from sums over all rows, solved on the driver; RSK28 is ``rsk28_specific_risk``."""
     p = panels.monthly_bars(spark, sf_dir)
     s = p.agg(F.count("*").alias("n"), F.sum("open").alias("sx"), F.sum("close").alias("sy"), F.sum(F.col("open") * F.col("open")).alias("sxx"), F.sum(F.col("open") * F.col("close")).alias("sxy")).first()
     b, a = np.linalg.solve([[s["sxx"], s["sx"]], [s["sx"], s["n"]]], [s["sxy"], s["sy"]])
