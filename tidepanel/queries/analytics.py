@@ -380,7 +380,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlb24_topk_dropout")
 def topk_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLB24, MLB69-MLB76: daily top-k portfolio that swaps its worst names; sequential over the dates of one portfolio."""
+    """MLB24, MLB69-MLB76: daily top-k portfolio that swaps its worst names, without costs, price limits or a least holding time; sequential over the dates of one portfolio."""
     from tidepanel.operators.backtest import topk_dropout as run
 
     p = compile_panel(panels.daily_bars(spark, sf_dir), {"score": "Mean($close, 5)", "ret": "Ref($close, -2) / Ref($close, -1) - 1"})
@@ -422,7 +422,7 @@ def spread_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlb20_32_tree_scores")
 def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLB10-MLB11, MLB20-MLB32, MLB37: boosted trees fitted on rolling date windows."""
+    """MLB10-MLB11, MLB20-MLB23, MLB25-MLB29, MLB31-MLB32, MLB37: boosted trees fitted once per rolling date window; no finetune."""
     from tidepanel.operators.models import rolling_scores
 
     exprs = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5)", "c": "Rank($close, 5)", "y": "Ref($close, -2) / Ref($close, -1) - 1"}
