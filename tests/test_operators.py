@@ -239,3 +239,16 @@ def test_specific_variance_is_forecast_from_the_styles(spark):
     low = spark_df.select("instrument", "date", F.lit(0.0).alias("residual")).where(F.col("date") < F.lit(day(9)))
     with pytest.raises(ValueError):
         risk.forecast_specific_variance(low, spark_df, ["size"])
+
+
+def test_statement_ratios_are_the_formulas(spark):
+    from tidepanel import queries as named
+    from tidepanel.sources import panels
+
+    sf = "/root/testdata/sf0.001"
+    got = named.queries()["cne35_37_statement_ratios"](spark, sf).toPandas()
+    p = panels.classified_bars(spark, sf).toPandas().merge(got, on=["instrument", "date"])
+    p = p[p["amount"] != 0]
+    assert len(p)
+    np.testing.assert_allclose(p["acf"].astype(float), -(p["close"] - p["open"] + p["volume"]) / p["amount"], atol=1e-5)
+    np.testing.assert_allclose(p["gp"].astype(float), (p["circ_mv"] - p["volume"]) / p["amount"], atol=1e-5)

@@ -169,8 +169,11 @@ def paused_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # CNE01, CNE07, CNE17-CNE19: style factors that are plain expressions
 panel_query("cne01_19_price_styles", "classified", {"lncap": "Log($circ_mv)", "volatility": "Std($close / Ref($close, 1) - 1, 20) * 15.874507866387544", "mom10": "($close / Ref($close, 10) - 1) * 100", "reversal5": "0 - ($close / Ref($close, 5) - 1) * 100", "mom_vol": "($close / Ref($close, 10) - 1) / Std($close / Ref($close, 1) - 1, 10)"}, 5)
-# CNE20-CNE25, CNE28-CNE30, CNE34-CNE39: ratios; the fixture's columns stand in for statement fields
+# CNE20, CNE23-CNE25, CNE28-CNE30, CNE34, CNE38: ratios; the fixture's columns stand in for statement fields.
+# etop and roa are ratios of one row's fields: CNE21 and CNE39, as CNE22 and CNE36, need TTM values and are open
 panel_query("cne20_39_ratio_styles", "classified", {"btop": "($amount - $volume) / $circ_mv", "etop": "$open / $circ_mv", "em": "$amount / ($circ_mv + $high - $low)", "mlev": "(Ref($circ_mv, 1) + $volume + $high) / $circ_mv", "blev": "($amount + $volume + $high) / $amount", "dtoa": "$volume / $amount", "gpm": "($amount - $volume) / $amount", "roa": "$close / $amount", "accruals": "0 - (Delta($amount, 4) - $volume) / $amount"}, 5)
+# CNE35 -(net income - operating cash flow + depreciation) / assets, CNE37 (sales - cost) / assets
+panel_query("cne35_37_statement_ratios", "classified", {"acf": "0 - ($close - $open + $volume) / $amount", "gp": "($circ_mv - $volume) / $amount"}, 5)
 
 _MIDCAP = """
 with c as (select instrument, date, ln(circ_mv) as x from (%s) where circ_mv > 0), r as (select *, x * x * x as y from c),
