@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -98,6 +99,28 @@ def test_block_search_finds_every_link():
         assert forest.roots().tolist() == want
 
 
+def test_block_search_grows_with_its_sets():
+    """Pairs of sets that share one shingle with all others: time in proportion to sets; near copies melt away."""
+    r = np.random.default_rng(4)
+
+    def pairs(n):
+        own = r.integers(1, 1 << 60, (n // 2, 10), dtype=np.uint64)
+        return [np.append(own[i // 2], np.uint64(0)) for i in range(n)]
+
+    took = []
+    for n in (4000, 16_000):
+        sets = pairs(n)
+        start = time.perf_counter()
+        links = search_block(sets, np.full(n, 11))
+        took.append(time.perf_counter() - start)
+        assert links.parts == n // 2 and links.roots().tolist() == [i // 2 * 2 for i in range(n)]
+    assert took[1] < 8 * took[0] + 1
+    base = r.integers(1, 1 << 60, 60, dtype=np.uint64)
+    near = [np.unique(np.append(np.delete(base, i % 60), np.uint64(i + 1))) for i in range(5000)]
+    start = time.perf_counter()
+    assert search_block(near, np.full(5000, 60)).parts == 1 and time.perf_counter() - start < 10
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}

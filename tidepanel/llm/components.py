@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import written
+from tidepanel.llm.store import dropped, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Edges are undirected, nodes of any orderable type.  Each round links every
     node's neighbours to the smallest of them (large star, then small star), so
     the depth falls by about half per round.  Rounds are written to the shared
-    folder; only one row count per round reaches the driver.  Minima are
+    folder, the last one stays there; only one row count per round reaches the driver.  Minima are
     combined before the shuffle and a hub's edges may be split by adaptive
     execution, so a component of any size is no single task's work.
     """
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
         nxt = written(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct(), "edges")
         state = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        dropped(cur)
+        dropped(large)
         cur = nxt
         if (state["n"], state["h"]) == before:
             break

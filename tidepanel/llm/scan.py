@@ -144,14 +144,14 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int = 8 << 20) -> Iterator[pa.Table]:
-    """Regroup incoming batches into tables of about ``target`` text bytes.
+def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int = 8 << 20, most_rows: int = 1 << 31) -> Iterator[pa.Table]:
+    """Regroup incoming batches into tables of about ``target`` text bytes and at most ``most_rows`` rows.
 
     A batch is cut by rows where it holds more; one longer document stands
     alone, so that memory follows the longest document and not the batch.
     """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -160,13 +160,14 @@ def super_batches(batches: Iterator[pa.RecordBatch], column: str, target: int =
         while at < batch.num_rows:
             room = np.cumsum(lengths[at:])
             take = int(np.searchsorted(room, max(1, target - size), "left")) + 1
-            take = min(take, batch.num_rows - at)
+            take = min(take, batch.num_rows - at, most_rows - rows)
             held.append(batch.slice(at, take))
             size += int(room[take - 1])
+            rows += take
             at += take
-            if size >= target:
+            if size >= target or rows >= most_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
     held = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is made and set; on a cluster that is an error, as no
+    executor would see what another one wrote.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -43,6 +47,18 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files behind a table that ``written`` gave, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; it looks for them when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slim_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: texts are long rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,6 +71,6 @@ def text_volume(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
 
 
-def buckets_for(spark: SparkSession, volume: int, each: int = 12 << 20, most: int = 200_000) -> int:
-    """Hash buckets for an exchange: about ``each`` bytes of text per bucket."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-volume // each)), 1)
+def buckets_for(spark: SparkSession, volume: int, each: int = 12 << 20) -> int:
+    """Hash buckets for an exchange: about ``each`` bytes of text per bucket, however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // each), 1)
