@@ -147,7 +147,7 @@ def _exchange_tokens(docs: DataFrame, text: str, shingle: int, n_buckets: int) -
     """Rows of _WIRE.  Those of a bucket below zero go on to their batch as they are: its classes, and who holds the shingles that several of them hold."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in scan.super_batches(batches, "text", most_rows=_MANY - 1):
+        for table in scan.super_batches(batches, "text", 6 << 20, _MANY - 1):
             hashes, first = _sets(table, shingle)
             ns = np.diff(first)
             sigs = np.array([_signature(hashes[a:b]).ljust(16, b"\0") for a, b in zip(first[:-1], first[1:])], "S16").view("V16")

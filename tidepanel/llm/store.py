@@ -71,6 +71,6 @@ def text_volume(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
 
 
-def buckets_for(spark: SparkSession, volume: int, each: int = 12 << 20) -> int:
+def buckets_for(spark: SparkSession, volume: int, each: int = 8 << 20) -> int:
     """Hash buckets for an exchange: about ``each`` bytes of text per bucket, however many there are."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // each), 1)
