@@ -37,12 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: the one of the smallest doc_id.
 
     Of rows that share both doc_id and text one stays; of rows that share the
-    smallest doc_id of a group with different texts all stay.
+    smallest doc_id of a group with different texts all stay.  Texts meet the ids
+    that go, which are the fewer.
     """
-    groups = written(jaccard_components(docs), "groups")
-    ids = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = written(ids, "kept-ids")
-    kept = docs.join(ids.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = jaccard_components(docs).groupBy("doc_id").agg(F.count(F.when(stays, 1)).alias("n"))
+    ids = written(ids.where("n <> 1"), "ids")
+    gone = ids.where("n = 0").select(F.col("doc_id").alias("id"))
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").limit(1).count() else kept
 
 
