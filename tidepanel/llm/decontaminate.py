@@ -35,6 +35,8 @@ LENGTH, EDITS = 80, 6
 #: items are broadcast in blocks of at most so many bytes; each block is one pass over the documents
 BLOCK_BYTES = 16 << 20
 _TABLE = 22
+#: items under so many bytes can't be told from chance within a text
+SHORT = 16
 
 
 def _normal(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,15 +63,21 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE)
 
 
+def _bound(size: int, length: int = LENGTH, edits: int = EDITS) -> tuple[int, int]:
+    """(edits allowed, q-grams needed) for a stretch of ``size`` bytes."""
+    k = min(size * edits // length, (size - Q) // Q)
+    return k, size + 1 - Q - k * Q
+
+
 @dataclass(frozen=True)
 class Probe:
-    """The items of one length class, indexed by q-gram."""
+    """Items indexed by q-gram; ``size`` is the length of the stretch looked for in each, ``edits`` and ``need`` its bounds."""
 
-    length: int
-    edits: int
-    need: int
     items: list
     texts: list[np.ndarray]
+    size: np.ndarray
+    edits: np.ndarray
+    need: np.ndarray
     grams: np.ndarray
     first: np.ndarray
     item: np.ndarray
@@ -77,21 +85,33 @@ class Probe:
     table: np.ndarray
 
 
-def probes(items: list, texts: pa.ChunkedArray | pa.Array, length: int = LENGTH, edits: int = EDITS) -> list[Probe]:
-    """Items of ``length`` bytes or more form one class; shorter ones are taken by whole lengths in steps of 8 bytes.
+@dataclass(frozen=True)
+class Index:
+    """A block of the benchmark: probes for items of SHORT bytes or more, whole lines for shorter ones."""
 
-    Items under 16 bytes can't be told from chance and are left out.
-    """
+    probes: list[Probe]
+    lines: dict[bytes, list]
+    hashes: np.ndarray
+
+
+def index(items: list, texts: pa.ChunkedArray | pa.Array, length: int = LENGTH, edits: int = EDITS) -> Index:
+    """Items of ``length`` bytes or more are looked for by stretches of that many; those of SHORT or more
+    by all they have; shorter ones, which chance would find anywhere, where a line of the document says just them."""
     _, buf, offsets = _normal(texts)
     parts = [buf[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    classes: dict[int, list[int]] = {}
+    lines: dict[bytes, list] = {}
     for i, t in enumerate(parts):
-        size = min(length, len(t) // 8 * 8)
-        if size >= 16:
-            classes.setdefault(size, []).append(i)
+        if len(t) < SHORT and (said := t.tobytes().strip()):
+            lines.setdefault(said, []).append(items[i])
+    joined = np.frombuffer(b"".join(lines), np.uint8)
+    ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
+    hashes = np.sort(scan.token_hash(joined, np.append(0, ends)[:-1], ends)) if lines else np.zeros(0, np.uint64)
     out = []
-    for size, own in classes.items():
-        k = min(size * edits // length, (size - Q) // Q)
+    for own in ([i for i, t in enumerate(parts) if len(t) >= length], [i for i, t in enumerate(parts) if SHORT <= len(t) < length]):
+        if not own:
+            continue
+        size = np.array([min(length, len(parts[i])) for i in own])
+        bounds = np.array([_bound(int(n), length, edits) for n in size])
         code = [_codes(parts[i]) for i in own]
         item = np.repeat(np.arange(len(own)), [len(c) for c in code])
         pos = np.concatenate([np.arange(len(c)) for c in code])
@@ -100,7 +120,27 @@ def probes(items: list, texts: pa.ChunkedArray | pa.Array, length: int = LENGTH,
         grams, first = np.unique(code[order], return_index=True)
         table = np.zeros(1 << _TABLE, bool)
         table[_slot(grams)] = True
-        out.append(Probe(size, k, size + 1 - Q - k * Q, [items[i] for i in own], [parts[i] for i in own], grams, np.append(first, len(code)), item[order].astype(np.int32), pos[order].astype(np.int32), table))
+        out.append(Probe([items[i] for i in own], [parts[i] for i in own], size, bounds[:, 0], bounds[:, 1], grams, np.append(first, len(code)), item[order].astype(np.int32), pos[order].astype(np.int32), table))
+    return Index(out, lines, hashes)
+
+
+def whole_lines(ix: Index, buf: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int, int, int]]:
+    """(document, item, start, end, 0) where a line, blanks around it aside, is one of the short items."""
+    if not ix.lines:
+        return []
+    starts, ends, first = scan.line_spans(raw, offsets, np.ones(len(offsets) - 1, bool))
+    solid = np.flatnonzero(~scan.SPACE[raw])
+    some = np.searchsorted(solid, ends) > np.searchsorted(solid, starts)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[some]
+    s, e = solid[np.searchsorted(solid, starts[some])], solid[np.searchsorted(solid, ends[some]) - 1] + 1
+    few = e - s < SHORT
+    doc, s, e = doc[few], s[few], e[few]
+    h = scan.token_hash(buf, s, e)
+    at = np.minimum(np.searchsorted(ix.hashes, h), len(ix.hashes) - 1)
+    out = []
+    for i in np.flatnonzero(ix.hashes[at] == h).tolist():
+        base = int(offsets[doc[i]])
+        out += [(int(doc[i]), item, int(s[i]) - base, int(e[i]) - base, 0) for item in ix.lines.get(buf[s[i] : e[i]].tobytes(), ())]
     return out
 
 
@@ -123,7 +163,7 @@ def _hits(p: Probe, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     inside = where + Q <= offsets[doc + 1]
     where, gram, doc = where[inside], gram[inside], doc[inside]
     # a hit can count only where ``need`` hits lie within length + edits bytes of one document
-    reach, n = p.length + p.edits - Q, p.need
+    reach, n = int((p.size + p.edits).max()) - Q, int(p.need.min())
     if len(where) < n:
         return none, none, none
     dense = (where[n - 1 :] - where[: len(where) - n + 1] <= reach) & (doc[n - 1 :] == doc[: len(doc) - n + 1])
@@ -170,12 +210,22 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray, whole: bool = True) ->
     the documents and items are the same, the stretches aren't all there.
     """
     where, item, pos = _hits(p, buf, offsets)
-    if not len(where):
-        return []
+    size = p.size[item]
+    out = []
+    for n in np.unique(size).tolist():
+        own = size == n
+        out += _stretches(p, n, buf, offsets, where[own], item[own], pos[own], whole)
+    return out
+
+
+def _stretches(p: Probe, size: int, buf: np.ndarray, offsets: np.ndarray, where: np.ndarray, item: np.ndarray, pos: np.ndarray, whole: bool) -> list[tuple[int, int, int, int, int]]:
+    """The leaks of the items that are looked for by stretches of ``size`` bytes."""
+    one = int(item[0])
+    most, n = int(p.edits[one]), int(p.need[one])
     doc = np.searchsorted(offsets, where, "right") - 1
     here = where - offsets[doc]
     diagonal = here - pos
-    step = max(1, p.edits)
+    step = max(1, most)
     band = diagonal // step
     doc, item, pos, here, diagonal = (np.tile(x, 2) for x in (doc, item, pos, here, diagonal))
     band = np.concatenate([band, band - 1])
@@ -185,11 +235,10 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray, whole: bool = True) ->
     group = np.cumsum(new) - 1
     distinct = new | np.append(True, pos[1:] != pos[:-1])
     gp, gg = pos[distinct], group[distinct]
-    n = p.need
     if len(gp) < n:
         return []
     tail, lead = slice(n - 1, None), slice(0, len(gp) - n + 1)
-    meets = (gg[tail] == gg[lead]) & (gp[tail] - gp[lead] <= p.length - Q)
+    meets = (gg[tail] == gg[lead]) & (gp[tail] - gp[lead] <= size - Q)
     bounds = np.append(np.flatnonzero(new), len(doc))
     out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     todo: dict[int, list[int]] = {}
@@ -204,18 +253,18 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray, whole: bool = True) ->
         dd, jj = diagonal[a:b][by], pos[a:b][by]
         cut = np.append(np.flatnonzero(np.append(True, (dd[1:] != dd[:-1]) | (jj[1:] != jj[:-1] + 1))), len(dd))
         runs = np.diff(cut)
-        exact = np.flatnonzero(runs >= p.length - Q + 1)
+        exact = np.flatnonzero(runs >= size - Q + 1)
         found = [(int(dd[cut[x]] + jj[cut[x]]), int(dd[cut[x]] + jj[cut[x + 1] - 1]) + Q, 0) for x in exact]
         if whole or not found:
             own = p.texts[it]
-            starts = np.unique(np.concatenate([np.arange(max(0, gp[i + n - 1] - (p.length - Q)), min(gp[i], len(own) - p.length) + 1) for i in which]))
+            starts = np.unique(np.concatenate([np.arange(max(0, gp[i + n - 1] - (size - Q)), min(gp[i], len(own) - size) + 1) for i in which]))
             for x in exact:  # what lies whole in an exact match is found already
-                starts = starts[(starts < jj[cut[x]]) | (starts + p.length > jj[cut[x + 1] - 1] + Q)]
+                starts = starts[(starts < jj[cut[x]]) | (starts + size > jj[cut[x + 1] - 1] + Q)]
             low = int(band[a]) * step
             for lo in range(0, len(starts), 256):
                 s = starts[lo : lo + 256]
-                edits, begins, ends = banded_edits(own, s, p.length, text, low - p.edits, low + 2 * step + p.edits)
-                good = edits <= p.edits
+                edits, begins, ends = banded_edits(own, s, size, text, low - most, low + 2 * step + most)
+                good = edits <= most
                 found.extend(zip(begins[good].tolist(), ends[good].tolist(), edits[good].tolist()))
         if found:
             out.setdefault((d, it), []).extend(found)
@@ -233,26 +282,26 @@ def find(p: Probe, buf: np.ndarray, offsets: np.ndarray, whole: bool = True) ->
     return rows
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[Probe]]:
-    """The benchmark in blocks of a bounded size, each with its index."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
+    """The benchmark in blocks of a bounded size, each with its index; one at a time is on the driver."""
     slim_batches(benchmark.sparkSession)
     named = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
     volume = named.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     count = max(1, -(-volume // BLOCK_BYTES))
-    out = []
     for b in range(count):
         rows = named.where(F.pmod(F.xxhash64("t"), F.lit(count)) == b).orderBy("i", "t").collect()
         if rows:
-            out.append(probes([r["i"] for r in rows], pa.array([r["t"] for r in rows], pa.string())))
-    return out
+            yield index([r["i"] for r in rows], pa.array([r["t"] for r in rows], pa.string()))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, start, end, edits): every stretch of a document that leaks a benchmark item.
 
     ``start`` and ``end`` count code points, end exclusive; ``edits`` is the
-    least number found in one stretch of ``LENGTH`` bytes (0: exact).  Stretches
-    of one item that overlap are one row.
+    least number found in one stretch of ``LENGTH`` bytes (0: exact); shorter
+    items are looked for whole, with as many edits in proportion.  An item of under
+    ``SHORT`` bytes is leaked by a line that says just it.  Stretches of one item
+    that overlap are one row.
 
     Null and empty texts leak nothing; null items are skipped; equal items each
     report; a null key is reported as it is, repeated rows each on their own;
@@ -268,7 +317,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for table in scan.super_batches(batches, "text", 4 << 20):
                 raw, buf, offsets = _normal(table["text"])
-                rows = [(d, p.items[i], *_points(raw, offsets[d], s, e), x) for p in shared.value for d, i, s, e, x in find(p, buf, offsets)]
+                ix = shared.value
+                found = [(d, p.items[i], s, e, x) for p in ix.probes for d, i, s, e, x in find(p, buf, offsets)] + whole_lines(ix, buf, raw, offsets)
+                rows = [(d, i, *_points(raw, offsets[d], s, e), x) for d, i, s, e, x in found]
                 if rows:
                     d, i, s, e, x = zip(*rows)
                     keys = table["key"].take(pa.array(d)).combine_chunks()
@@ -300,10 +351,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         def go(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for table in scan.super_batches(batches, f"c{at}", 4 << 20):
-                _, buf, offsets = _normal(table[f"c{at}"])
+                raw, buf, offsets = _normal(table[f"c{at}"])
+                ix = shared.value
                 clean = np.ones(table.num_rows, bool)
-                for p in shared.value:
+                for p in ix.probes:
                     clean[[d for d, *_ in find(p, buf, offsets, whole=False)]] = False
+                clean[[d for d, *_ in whole_lines(ix, buf, raw, offsets)]] = False
                 yield from table.filter(pa.array(clean)).to_batches()
 
         out = plain.mapInArrow(go, plain.schema).toDF(*docs.columns)
