@@ -13,6 +13,7 @@ leaves a file that no index row names.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -124,7 +125,10 @@ def write_archives(pages: DataFrame, directory: str, key: str = "page_id", url:
 
 
 def parse(data: bytes) -> dict:
-    """One record: type, page, digest, payload length, payload (None in a revisit) and the page it refers to."""
+    """One record: type, page, digest, payload length, payload (None in a revisit) and the page it refers to.
+
+    A response's digest and length are checked against its payload.
+    """
     raw = zlib.decompress(data, 31)
     cut = raw.index(b"\r\n\r\n") + 4
     head = dict(x.split(": ", 1) for x in raw[: cut - 4].decode().split("\r\n")[1:])
@@ -135,7 +139,10 @@ def parse(data: bytes) -> dict:
     body = block[http:] if head["WARC-Type"] == "response" else None
     if body is not None and len(body) != size:
         raise ValueError(f"a payload of {len(body)} bytes where {size} were announced")
-    return {"page_key": page("WARC-Record-ID"), "record_type": head["WARC-Type"], "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": size, "payload": body, "refers_to": page("WARC-Refers-To")}
+    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if body is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+        raise ValueError(f"the payload's digest isn't {digest}")
+    return {"page_key": page("WARC-Record-ID"), "record_type": head["WARC-Type"], "payload_digest": digest, "payload_bytes": size, "payload": body, "refers_to": page("WARC-Refers-To")}
 
 
 def coalesced(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
