@@ -73,7 +73,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             "runs",
             lambda r: F.concat(
                 F.array(bit(F.length(head(r)), no)),
-                F.flatten(F.transform(r["texts"], lambda t, i: F.array(bit(F.when(i > 0, len(NEXT)).otherwise(0), no), bit(F.length(t), r["role"] == loss_role)))),
+                F.flatten(F.transform(r["texts"], lambda t, i: F.when(i > 0, F.array(bit(F.lit(len(NEXT)), no), bit(F.length(t), r["role"] == loss_role))).otherwise(F.array(bit(F.length(t), r["role"] == loss_role))))),
                 F.array(bit(F.lit(len(END)), no)),
             ),
         )
@@ -95,14 +95,20 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:long,chars:long>>").alias("spans"))
-    found = F.aggregate(
-        mask,
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["chars"]).alias("at"),
-            F.when(m["in_loss"], F.array_append(acc["spans"], F.struct(acc["at"].alias("at"), m["chars"].alias("chars")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    return F.array_join(F.transform(found, lambda s: unescape(F.substring(formatted, s["at"].cast("int"), s["chars"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between; an error where mask and text don't fit.
+
+    Every "<" opens a control string, so one split cuts the text where the mask
+    has its entries: a control string, then what it introduces (the end of a
+    run introduces nothing).  Work grows with the text's length.
+    """
+    chunks = F.filter(F.split(formatted, "(?=<)", -1), lambda c: c != "")
+
+    def cut(c: Column) -> Column:
+        n = F.when(F.startswith(c, F.lit(NEXT)), F.lit(len(NEXT))).otherwise(F.instr(c, F.lit(SHUT)) + F.lit(len(SHUT) - 1))
+        both = F.array(F.substring(c, F.lit(1), n), F.substring(c, n + 1, F.length(c)))
+        return F.when(F.startswith(c, F.lit(END)), F.array(c)).otherwise(both)
+
+    pieces = F.flatten(F.transform(chunks, cut))
+    fits = lambda p, m: F.coalesce(F.length(p).cast("long") == m["chars"], F.lit(False))
+    said = F.zip_with(pieces, mask, lambda p, m: F.when(~fits(p, m), F.raise_error(F.lit("mask and text differ")).cast("string")).when(m["in_loss"], unescape(p)))
+    return F.array_join(said, "")
