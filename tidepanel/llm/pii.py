@@ -31,11 +31,11 @@ BASE = {
 MORE = {
     "secret": [
         r"(?<=(?i:password|passwd|pwd|token|secret|key)[ ]{0,3}[=:][ ]{0,3}[\x22\x27]?)[^\s\x22\x27=]{6,}+",
-        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,400}[0-9])[A-Za-z0-9+/_-]{16,}+",
+        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+",
     ],
     "contact": [
         r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-        r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,40} ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,10}",
+        r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++ ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,}+",
     ],
     "identity": [
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
