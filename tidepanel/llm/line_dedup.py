@@ -20,7 +20,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     are added.
 
     A null text stays null (0 lines), an empty one is one blank line.  Texts of
-    fewer than ``k`` lines lose nothing.  Rows that share key and position tie:
+    fewer than ``k`` lines lose nothing.  Keys are integers.  Rows that share key and position tie:
     none of them is later.  A row whose key is null covers nothing and loses
     nothing.  Other columns pass through.
     """

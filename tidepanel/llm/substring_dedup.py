@@ -6,11 +6,12 @@ count of the minimiser is never below that of the window, and neighbouring
 windows mostly share one, which makes the sketch several times smaller.
 
 Pass 1 sketches every batch (each row of the sketch is cut into slices and
-sent as sparse offsets), the slices are merged by bucket with saturating
+sent as sparse offsets), the slices are merged in a tree with saturating
 counts, and one bit per cell, "two or more", is what pass 2 is given.
-Its size is fixed by ``width`` and ``DEPTH``, not by the data: a fuller sketch
-lets more unique windows through to the exact grouping but never holds back a
-repeated one.  Pass 2 groups the windows let through exactly (windows.py).
+Rows have a cell for each eight bytes of text, up to ``MOST_CELLS``, which bounds
+what is broadcast: a fuller sketch lets more unique windows through to the
+exact grouping but never holds back a repeated one.  Pass 2 groups the windows
+let through exactly (windows.py).
 """
 
 from __future__ import annotations
@@ -29,9 +30,16 @@ from tidepanel.llm.windows import Filter, remove_repeats, words
 WINDOW = 13
 SUB = 7
 DEPTH = 2
-#: cells per row; two rows of 2**27 bits are 32 MB, the whole of what is broadcast
-WIDTH = 1 << 27
+#: cells of a row at most; two rows of 2**28 bits are 64 MB, the whole of what is broadcast
+MOST_CELLS = 1 << 28
 _SLICE = 1 << 16
+#: slices that are merged as one group, bytes of offsets that a group takes, partial sketches that meet in one
+_GROUPED, _GROUP_BYTES, _FAN_IN = 16, 32 << 20, 64
+
+
+def cells_for(volume: int) -> int:
+    """Cells of a row for so many bytes of text."""
+    return min(MOST_CELLS, max(1 << 20, 1 << (volume // 8).bit_length()))
 
 
 def _minimisers(hashes: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
@@ -49,8 +57,47 @@ def _cells(m: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((m if row == 0 else scan.mix(m ^ np.uint64(row))) % np.uint64(width)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, text: str, k: int, width: int) -> list[np.ndarray]:
+def _batches_merged(table: pa.Table) -> pa.Table:
+    return _merged(table, False)
+
+
+def _sketches_merged(table: pa.Table) -> pa.Table:
+    return _merged(table, True)
+
+
+def _merged(table: pa.Table, dense: bool) -> pa.Table:
+    """Per slice, the bits "counted" and "counted twice or more" of what batches sent, or of partial sketches."""
+    of = table["slice"].to_numpy()
+    order = np.argsort(of, kind="stable")
+    once, twice = table["once"].to_pylist(), table["twice"].to_pylist()
+    out: dict[str, list] = {"slice": [], "once": [], "twice": []}
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), len(of))
+    for a, b in zip(cut[:-1], cut[1:]):
+        rows = order[a:b]
+        if dense:
+            one, two = np.zeros(_SLICE // 8, np.uint8), np.zeros(_SLICE // 8, np.uint8)
+            for i in rows:
+                more = np.frombuffer(once[i], np.uint8)
+                two |= (one & more) | np.frombuffer(twice[i], np.uint8)
+                one |= more
+        else:
+            n = np.bincount(np.frombuffer(b"".join(once[i] for i in rows), np.uint16), minlength=_SLICE)
+            n += np.bincount(np.frombuffer(b"".join(twice[i] for i in rows), np.uint16), minlength=_SLICE)
+            one, two = np.packbits(n > 0), np.packbits(n > 1)
+        out["slice"].append(int(of[rows[0]]))
+        out["once"].append(one.tobytes())
+        out["twice"].append(two.tobytes())
+    salt = pa.array(np.full(len(out["slice"]), table["salt"][0].as_py(), np.int32))
+    return pa.table({"slice": pa.array(out["slice"], pa.int32()), "salt": salt, "once": pa.array(out["once"], pa.binary()), "twice": pa.array(out["twice"], pa.binary())})
+
+
+_PARTIAL = "slice int, salt int, once binary, twice binary"
+
+
+def sketch(docs: DataFrame, text: str, k: int, width: int, volume: int) -> list[np.ndarray]:
     """Per row of the sketch, the bits "counted twice or more"."""
+    groups = max(1, DEPTH * width // _SLICE // _GROUPED)
+    salts = max(1, -(-volume // (4 * groups * _GROUP_BYTES)))  # a row sends about a byte for eight of text
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in scan.super_batches(batches, "text"):
@@ -62,6 +109,7 @@ def sketch(docs: DataFrame, text: str, k: int, width: int) -> list[np.ndarray]:
                 continue
             head = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))
             m = m[head]
+            salt = int(m.sum(dtype=np.uint64) % np.uint64(salts))
             for row in range(DEPTH):
                 cell, n = np.unique(_cells(m, row, width), return_counts=True)
                 piece = cell // _SLICE
@@ -70,36 +118,29 @@ def sketch(docs: DataFrame, text: str, k: int, width: int) -> list[np.ndarray]:
                 yield from pa.table(
                     {
                         "slice": pa.array((row * (width // _SLICE) + piece[cut[:-1]]).astype(np.int32)),
-                        "cells": pa.array([off[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                        "salt": pa.array(np.full(len(cut) - 1, salt, np.int32)),
+                        "once": pa.array([off[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                         "twice": pa.array([off[a:b][n[a:b] > 1].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                     }
                 ).to_batches(max_chunksize=4096)
 
-    def merge(table: pa.Table) -> pa.Table:
-        of = table["slice"].to_numpy()
-        order = np.argsort(of, kind="stable")
-        cells, twice = table["cells"].to_pylist(), table["twice"].to_pylist()
-        out: dict[str, list] = {"slice": [], "bits": []}
-        cut = np.append(np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), len(of))
-        for a, b in zip(cut[:-1], cut[1:]):
-            rows = order[a:b]
-            n = np.bincount(np.frombuffer(b"".join(cells[i] for i in rows), np.uint16), minlength=_SLICE)
-            n += np.bincount(np.frombuffer(b"".join(twice[i] for i in rows), np.uint16), minlength=_SLICE)
-            out["slice"].append(int(of[rows[0]]))
-            out["bits"].append(np.packbits(n > 1).tobytes())
-        return pa.table({"slice": pa.array(out["slice"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
-
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(build, "slice int, cells binary, twice binary")
-    merged = sent.withColumn("part", F.floor(F.col("slice") / 16)).groupBy("part").applyInArrow(lambda t: merge(t.drop(["part"])), "slice int, bits binary")
+    merged, meet = docs.select(F.col(text).alias("text")).mapInArrow(build, _PARTIAL), _batches_merged
+    while True:
+        part = F.floor(F.col("slice") / _GROUPED).alias("part")
+        merged = merged.groupBy(part, F.col("salt").alias("by")).applyInArrow(meet, _PARTIAL)
+        if salts == 1:
+            break
+        salts, meet = -(-salts // _FAN_IN), _sketches_merged
+        merged = merged.withColumn("salt", (F.col("salt") % salts).cast("int"))
     per = width // _SLICE
     rows = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():
+    for r in merged.select("slice", "twice").toLocalIterator():
         at = r["slice"] % per * (_SLICE // 8)
-        rows[r["slice"] // per][at : at + _SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
+        rows[r["slice"] // per][at : at + _SLICE // 8] = np.frombuffer(r["twice"], np.uint8)
     return rows
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, width: int = WIDTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, width: int | None = None) -> DataFrame:
     """``docs`` without the words of passages that a smaller key holds.
 
     Words are maximal runs of bytes other than space and \\t..\\r, unchanged.
@@ -108,14 +149,15 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     words are joined by one space; n_tokens and n_removed (long) are added.
 
     A null text stays null (0 words); an empty or shorter text loses nothing.
-    Rows that share a key don't cover each other; a row whose key is null
+    Keys are integers.  Rows that share a key don't cover each other; a row whose key is null
     covers nothing and loses nothing.  Other columns pass through.
     """
     if k < SUB:
         raise ValueError(f"k must be {SUB} at least")
     slim_batches(docs.sparkSession)
     volume = text_volume(docs, text)
-    bits = sketch(docs.where(F.col(key).isNotNull()), text, k, width)
+    width = width or cells_for(volume)
+    bits = sketch(docs.where(F.col(key).isNotNull()), text, k, width, volume)
     shared = docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in bits])
 
     def choose() -> Filter:

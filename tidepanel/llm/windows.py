@@ -1,7 +1,8 @@
 """Removal of repeated windows of k consecutive tokens (words or lines).
 
 Used by substring dedup and line dedup.  A window is named by a 96-bit hash of
-its k tokens.  Occurrences are settled in two levels:
+its k tokens, which are themselves compared by 64-bit hashes; "equal" is as sure as
+these are.  Occurrences are settled in two levels:
 
 * within a batch of documents the first occurrence owns the window and those
   behind it are covered at once; only owners go on, so a window that
@@ -193,6 +194,8 @@ def remove_repeats(
     Rows with a null key are neither looked at nor changed in what they keep.
     """
     spark = docs.sparkSession
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be of an integer type: which copy stays is a matter of the keys' order")
     slim_batches(spark)
     cut, glue = (words, 0x20) if unit == "word" else (lines, 0x0A)
     n = buckets_for(spark, text_volume(docs, text) if volume is None else volume)
