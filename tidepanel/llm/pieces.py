@@ -303,7 +303,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for table in scan.super_batches(batches, "text", 3 << 19):
+        for table in scan.super_batches(batches, "text", 1 << 20):
             ids = sample(v, table["text"].to_pylist(), table["seed"].to_numpy())
             n = [len(x or b"") // v.kind.itemsize for x in ids]
             cols = {"key": table["key"], "n_pieces": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())}
@@ -324,7 +324,7 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str
     at = names[encoded.columns.index(ids)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in scan.super_batches(batches, at, 3 << 19):
+        for table in scan.super_batches(batches, at, 1 << 20):
             yield from table.append_column("out", pa.array(restore(shared.value, table[at].to_pylist()), pa.binary()).cast(pa.string())).to_batches()
 
     done = plain.mapInArrow(go, T.StructType([*plain.schema, T.StructField("out", T.StringType())]))
