@@ -10,7 +10,7 @@ import pytest
 from tidepanel.llm.components import connected_components
 from tidepanel.llm.line_dedup import line_dedup
 from tidepanel.llm.ngram_join import jaccard_components, search_block
-from tidepanel.llm.substring_dedup import substring_dedup
+from tidepanel.llm.substring_dedup import sketch, substring_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -172,6 +172,22 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_keys_are_integers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (line_dedup, substring_dedup):
+        with pytest.raises(TypeError, match="integer"):
+            f(df)
+    # the join takes any key
+    assert [tuple(r) for r in jaccard_components(df).collect()] == [("a", 1, "a")]
+
+
+def test_a_sketch_in_many_parts_is_the_same(spark):
+    df = spark.createDataFrame([(i, " ".join("w%d" % (j * j % (40 + i % 3)) for j in range(60 + i))) for i in range(40)], "doc_id long, text string").repartition(8)
+    one = sketch(df, "text", 13, 1 << 20, 0)
+    parts = sketch(df, "text", 13, 1 << 20, 4 * 100 * 2 * (1 << 20) // (1 << 16) // 16 * (32 << 20))
+    assert all((a == b).all() for a, b in zip(one, parts)) and any(a.any() for a in one)
+
+
 def test_repeated_rows_stay(spark):
     t = " ".join("a%d" % i for i in range(20))
     df = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")

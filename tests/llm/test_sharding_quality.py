@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import quality
-from tidepanel.llm.sharding import shard_by_size
+from tidepanel.llm.sharding import pack, shard_by_size
 
 DATA = "/root/testdata"
 
@@ -44,7 +45,34 @@ def test_a_group_that_holds_most_rows_is_cut(spark):
     mean = sum(sizes.values()) / 10
     assert len(got) == len(rows) and len(sizes) == 10 and max(sizes.values()) < 1.03 * mean and min(sizes.values()) > 0.97 * mean
     assert shards(df.limit(0)) == []
-    assert [r["shard"] for r in shards(df.limit(1))] == [20]
+    assert len(shards(df.limit(1))) == 1
+    named = df.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text")
+    assert len(shards(named, 10)) == len(rows)
+
+
+def test_groups_of_equal_texts_stay_whole(spark):
+    """Groups on both sides of the packing bound and up to a shard are in one shard, against a plain packing."""
+    r = random.Random(3)
+    rows, n = [], 0
+    for size, copies in ((400, 60), (300, 40), (500, 20), (90, 3), (80, 2), (700, 1), (100, 30), (2000, 11)):
+        text = f"{size} {copies} " + "x" * size
+        rows += [(n + i, text) for i in range(copies)]
+        n += copies
+    rows += [(n + i, f"{i} " + "y" * r.randint(1, 200)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shards(df, 8)
+    by, sizes, slots = {}, Counter(), {}
+    for x in got:
+        by.setdefault(rows[x["doc_id"]][1], set()).add(x["shard"])
+        sizes[x["shard"]] += x["size"]
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    mean = sum(len(t.encode()) + 16 for _, t in rows) / 8
+    assert sum(sizes.values()) == 8 * mean and len(got) == len(rows)
+    assert all(len(s) == 1 for s in by.values())
+    assert all(abs(v - mean) <= 0.02 * mean + 220 for v in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    home, load = pack([(1, 60, 2), (2, 50, 2), (3, 45, 3), (4, 40, 2), (5, 300, 9)], 2, 100)
+    assert home == {1: 0, 2: 1, 3: 1, 4: 0} and load == [100, 95]
 
 
 def test_counts_match_plain_python():
@@ -72,10 +100,26 @@ def test_counts_match_plain_python():
 def test_the_model_holds_on_unseen_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
     model = quality.train(docs, labels, max_train=1500)
-    got = quality.quality_rules(docs.select("doc_id", "text"), model).join(labels, "doc_id").select("quality", "probability").collect()
-    right = sum((r.probability >= 0.5) == (r.quality == 1) for r in got) / len(got)
-    good = [r for r in got if r.quality == 1]
-    assert len(got) > 3000 and right > 0.98 and sum(r.probability >= 0.5 for r in good) / len(good) > 0.98
+    seen = labels.where("quality is not null").withColumn("r", F.xxhash64("doc_id")).orderBy("r", "doc_id", "quality").limit(1500).select("doc_id")
+    unseen = labels.join(seen, "doc_id", "left_anti")
+    got = quality.quality_rules(docs.select("doc_id", "text"), model).join(unseen, "doc_id").select("quality", "probability", "base_failed", "kept").collect()
+    assert 2000 < len(got) <= 3980 - 1500
+    # rows that the base rules leave to the model
+    left = [r for r in got if not r.base_failed]
+    good = [r for r in left if r.quality == 1]
+    assert sum((r.probability >= 0.5) == (r.quality == 1) for r in left) / len(left) > 0.98 and sum(r.kept for r in good) / len(good) > 0.98
+    bad = [r for r in got if r.quality == 0]
+    assert len(bad) > 300 and sum(not r.kept for r in bad) / len(bad) > 0.98
+    # probabilities are calibrated: they sum to what was found
+    assert abs(sum(r.probability for r in left) - len(good)) / len(left) < 0.02
+
+
+def test_labels_that_disagree_or_repeat(spark):
+    df = spark.createDataFrame([(i, ("good words %d " if i % 2 else "junk #### %d ") % i * 30) for i in range(60)], "doc_id long, text string")
+    told = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(4)] + [(5, 1)] * 3 + [(None, 1), (7, None), (999, 1)], "doc_id long, quality int")
+    model = quality.train(df, told)
+    got = {r.doc_id: r.probability for r in quality.quality_rules(df, model).collect()}
+    assert len(got) == 60 and min(got[i] for i in range(5, 60, 2)) > max(got[i] for i in range(4, 60, 2))
 
 
 def test_without_labels_the_rules_decide(spark):

@@ -204,7 +204,13 @@ def fit(feats: list[tuple], y: np.ndarray, l2: float = 1e-4) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Model | None:
-    """Fit on at most ``max_train`` labelled rows, those whose key hashes lowest."""
+    """Fit on at most ``max_train`` labelled rows, those whose key hashes lowest.
+
+    Rows that share a key with a label each count under it, a key with several
+    labels under each; labels without a row, and null keys or labels, are left out.
+    Classes weigh the same in the fit; the calibration is by the rows as they
+    are, so that probabilities are those of the labelled table.
+    """
     named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     pick = named.withColumn("r", F.xxhash64("k")).orderBy("r", "k", "y").limit(max_train)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(pick), "k").select("r", "y", "text")
