@@ -9,7 +9,7 @@ import pytest
 
 from tidepanel.llm.components import connected_components
 from tidepanel.llm.line_dedup import line_dedup
-from tidepanel.llm.ngram_join import jaccard_components, search_block
+from tidepanel.llm.ngram_join import jaccard_components, merged, search_block
 from tidepanel.llm.substring_dedup import sketch, substring_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -121,6 +121,18 @@ def test_block_search_grows_with_its_sets():
     assert search_block(near, np.full(5000, 60)).parts == 1 and time.perf_counter() - start < 10
 
 
+def test_lists_merge_alike_in_slabs():
+    r = np.random.default_rng(7)
+    lists = [np.unique(r.integers(0, 300, r.integers(1, 200))) for _ in range(40)]
+    ends = np.cumsum([len(x) for x in lists])
+    starts = np.append(0, ends[:-1])
+    posting = np.concatenate(lists)
+    want = merged(posting, starts, ends, 300)
+    for slab in (1, 350, 800):
+        got = merged(posting, starts, ends, 300, slab)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}

@@ -24,13 +24,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "edges")
+        large = large.distinct().persist()  # read twice within the round; worked out again where an executor is lost
         low = large.groupBy("u").agg(F.min("v").alias("m"))  # here v < u throughout
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
         nxt = written(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct(), "edges")
+        large.unpersist()
         state = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         dropped(cur)
-        dropped(large)
         cur = nxt
         if (state["n"], state["h"]) == before:
             break

@@ -43,7 +43,6 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: passes over the chunks of large blocks before pairs of chunks are searched
 TURNS = 2
-_SALT = 16
 
 
 def _sets(table: pa.Table, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +293,26 @@ def _needed(n: np.ndarray | int, m: np.ndarray, num: int, den: int) -> np.ndarra
     return -(-num * (n + m) // (num + den))
 
 
+def merged(posting: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, slab: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, in how many of the lists each is) of ascending lists.
+
+    A stable sort merges ascending runs; many entries are counted slab by slab
+    instead, so that what is held at a time is bounded by the sets and not by the lists.
+    """
+    upto = np.cumsum(ends - starts)
+    if upto[-1] <= max(slab, n):
+        runs = np.sort(np.concatenate([posting[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), kind="stable")
+        cut = np.append(_heads(runs), len(runs))
+        return runs[cut[:-1]], np.diff(cut)
+    count, at = np.zeros(n, np.int64), 0
+    while at < len(starts):
+        nxt = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + slab, "right")))
+        count += np.bincount(np.concatenate([posting[a:b] for a, b in zip(starts[at:nxt].tolist(), ends[at:nxt].tolist())]), minlength=n)
+        at = nxt
+    found = np.flatnonzero(count)
+    return found, count[found]
+
+
 def search_block(sets: list[np.ndarray], sizes: np.ndarray, num: int = NUM, den: int = DEN, half: int | None = None, group: np.ndarray | None = None) -> Links:
     """T-occurrence search among sets of shared shingles.
 
@@ -352,10 +371,7 @@ def search_block(sets: list[np.ndarray], sizes: np.ndarray, num: int = NUM, den:
         lists, lo = lists[by], lo[by]
         n_long = min(least - 1, int(least / (0.0085 * np.log2(int(width[by[-1]]) + 1) + 1)))
         n_short = len(lists) - n_long
-        # merge of the short lists: a stable sort merges ascending runs
-        merged = np.sort(np.concatenate([posting[a:b] for a, b in zip(lo[:n_short].tolist(), end[lists[:n_short]].tolist())]), kind="stable")
-        cut = np.append(_heads(merged), len(merged))
-        found, count = merged[cut[:-1]], np.diff(cut)
+        found, count = merged(posting, lo[:n_short], end[lists[:n_short]], len(sets))
         need = _needed(int(sizes[x]), sizes[found], num, den)
         live = (count + n_long >= need) & (links.label[found] != links.label[x])
         found, count, need = found[live], count[live], need[live]
@@ -441,6 +457,9 @@ def _block_links(placed: DataFrame, num: int, den: int) -> DataFrame:
         a, b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             rows = order[lo:hi]
+            names = [sigs[i] for i in rows]
+            first = dict(zip(reversed(names), range(len(rows) - 1, -1, -1)))  # a class that came from several batches counts once
+            rows = rows[sorted(first.values())]
             half = int(np.count_nonzero(side[rows] == 0)) if side[rows[-1]] else None
             group = np.frombuffer(b"".join(comps[i] for i in rows), "V16")
             links = search_block([np.frombuffer(raw[i], np.uint64) for i in rows], sizes[rows], num, den, half, group)
@@ -469,7 +488,7 @@ def _place(todo: DataFrame, blocks: DataFrame, sized: DataFrame, n_bins: int, bl
 
 def _still_open(todo: DataFrame, blocks: DataFrame, sized: DataFrame, found: DataFrame, block_tokens: int) -> tuple[DataFrame, DataFrame]:
     """(classes of large blocks that may still have a partner in another component, the blocks these components form)."""
-    roots = written(connected_components(found), "roots").withColumnsRenamed({"node": "sig", "root": "now"})
+    roots = connected_components(found).withColumnsRenamed({"node": "sig", "root": "now"})
     large = blocks.join(sized.where(F.col("total") > block_tokens), "root", "left_semi").select(F.col("node").alias("comp"))
     rest = todo.join(large, "comp", "left_semi").drop("comp").join(roots, "sig", "left").withColumn("comp", F.coalesce("now", "sig")).drop("now")
 
@@ -484,15 +503,15 @@ def _still_open(todo: DataFrame, blocks: DataFrame, sized: DataFrame, found: Dat
     held = rest.select("sig", "comp", "prefix", "tokens").mapInArrow(spread, "token long, sig binary, comp binary")
     ends = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "low")
     hit = written(held.join(ends, "token").select("sig", "comp", "low").distinct(), "open")
-    blocks = written(connected_components(hit.select(F.col("comp").alias("a"), F.col("low").alias("b"))), "blocks")
+    blocks = connected_components(hit.select(F.col("comp").alias("a"), F.col("low").alias("b")))
     return written(rest.join(hit.select("sig").distinct(), "sig", "left_semi"), "open-classes"), blocks
 
 
 def _links(cand: DataFrame, n_buckets: int, num: int, den: int, block_tokens: int) -> DataFrame:
-    blocks = written(connected_components(_prefix_edges(cand, n_buckets)), "blocks")
+    blocks = connected_components(_prefix_edges(cand, n_buckets))
     todo, found = cand.withColumn("comp", F.col("sig")), cand.sparkSession.createDataFrame([], "a binary, b binary")
     for turn in range(TURNS + 1):
-        sized = written(todo.select("comp", "n_tokens").join(blocks, F.col("comp") == F.col("node")).groupBy("root").agg(F.sum("n_tokens").alias("total")), "sized")
+        sized = todo.select("comp", "n_tokens").join(blocks, F.col("comp") == F.col("node")).groupBy("root").agg(F.sum("n_tokens").alias("total"))
         state = sized.agg(F.max("total").alias("most"), F.sum("total").alias("all")).first()
         if state["most"] is None:
             break
@@ -526,16 +545,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = written(class_members(docs, key, text, shingle), "members")
     cand = written(_candidates(_shared_tokens(_exchange_tokens(docs, text, shingle, n_buckets)), num, den), "candidates")
     free(spark)
-    roots = connected_components(_links(cand, n_buckets, num, den, block_tokens))
+    links = _links(cand, n_buckets, num, den, block_tokens)
+    # classes by name and smallest key, null keys last: a component's root has its smallest key
+    classes = members.where(F.length("sig") > 0).groupBy("sig").agg(F.min("key").alias("low"))
+    name = classes.select("sig", F.struct(F.col("low").isNull().alias("none"), "low", "sig").alias("name"))
+    edges = links.join(name.withColumnsRenamed({"sig": "a", "name": "u"}), "a").join(name.withColumnsRenamed({"sig": "b", "name": "v"}), "b")
+    roots = connected_components(edges, "u", "v").select(F.col("node.sig").alias("sig"), F.col("root.low").alias("root"), F.lit(True).alias("linked"))
     dropped(cand)
-    # the rows of one class or component may be any share of all: both joins are salted
-    salt = F.pmod(F.xxhash64("key"), F.lit(_SALT))
-    every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALT - 1).cast("long"))))
-    filled = members.where(F.length("sig") > 0).withColumn("salt", salt)
-    named = filled.join(every(roots.withColumnRenamed("node", "sig")), ["sig", "salt"], "left").select("key", "n_shingles", "salt", F.coalesce("root", "sig").alias("root"))
-    named = written(named, "named")
     free(spark)
-    least = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    out = named.join(every(least), ["root", "salt"]).select("key", "n_shingles", "component_id")
-    alone = members.where(F.length("sig") == 0).select("key", "n_shingles", F.col("key").alias("component_id"))
-    return out.unionAll(alone).withColumnRenamed("key", key)
+    named = classes.join(roots, "sig", "left").select("sig", F.when(F.col("linked"), F.col("root")).otherwise(F.col("low")).alias("component_id"))
+    out = members.join(named, "sig", "left").select("key", "n_shingles", F.when(F.length("sig") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    return out.withColumnRenamed("key", key)
