@@ -37,6 +37,42 @@ def winsorize(df: DataFrame, column: str, by: list[str], method: str = "std", k:
     return out.withColumn(column, clipped).select(*df.columns)
 
 
+def fitted(df: DataFrame, columns: list[str], train: Column, method: str = "std", k: float = 3.0) -> DataFrame:
+    """``df`` with ``columns`` treated by figures of the rows that ``train`` holds for.
+
+    "std": bounded at mean and ``k`` deviations.  "zscore": less the mean, over the deviation.
+    "robust": less the median, over 1.4826 times the median deviation, bounded at ``k``.
+    The figures of all columns are one or two one-row aggregates.
+    """
+    base = df.where(train)
+    if method == "robust":
+        mid = base.agg(*(F.median(c).alias(f"m|{c}") for c in columns)).first()
+        wide = base.agg(*((1.4826 * F.median(F.abs(F.col(c) - F.lit(mid[f"m|{c}"])))).alias(f"s|{c}") for c in columns)).first()
+        got = {c: (mid[f"m|{c}"], wide[f"s|{c}"]) for c in columns}
+    else:
+        row = base.agg(*(f(c).alias(f"{n}|{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+        got = {c: (row[f"m|{c}"], row[f"s|{c}"]) for c in columns}
+
+    def treat(c: str) -> Column:
+        m, s = got[c]
+        if m is None or s is None:
+            return F.col(c)
+        bound = lambda x, lo, hi: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+        if method == "std":
+            return bound(F.col(c), m - k * s, m + k * s)
+        z = F.try_divide(F.col(c) - F.lit(m), F.lit(s))
+        return z if method == "zscore" else bound(z, -k, k)
+
+    return df.select(*(treat(c).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def finite_by_mean(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``df`` with infinities of ``columns`` replaced by the mean of the group's finite values."""
+    bad = lambda c: F.abs(F.col(c)) == float("inf")
+    mean = lambda c: F.avg(F.when(~bad(c), F.col(c))).over(_group(by))
+    return df.select(*(F.when(bad(c), mean(c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def zscore(column: str, by: list[str]) -> Column:
     """(x - mean) / sample deviation within the group; NULL where that is zero."""
     w = _group(by)

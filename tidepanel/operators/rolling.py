@@ -81,13 +81,24 @@ def rolling_regression(panel: DataFrame, y: str, x: str, window: int, half_life:
     return p.select(*panel.columns, F.when(ok, c("b")).alias("beta"), F.when(ok, c("a")).alias("alpha"), F.when(ok & c("b").isNotNull(), sigma).alias("sigma"))
 
 
-def cumulative_range(panel: DataFrame, log_return: str, periods: int = 12, rows: int = 21) -> DataFrame:
-    """``panel`` with cmra: range of the cumulative log return at the ends of ``periods`` periods of ``rows`` rows."""
+def cumulative_range(panel: DataFrame, log_return: str, periods: int = 12, rows: int = 21, min_valid: int | None = None) -> DataFrame:
+    """``panel`` with cmra: range of the cumulative log return at the ends of ``periods`` periods of ``rows`` rows.
+
+    The window has ``periods * rows`` rows.  With ``min_valid`` so many returns
+    in it are enough, and a shorter window starts at the instrument's first row;
+    without, it must be full.
+    """
     p = panel.withColumn("p", F.sum(F.coalesce(F.col(log_return), F.lit(0.0))).over(_own().rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(_own()))
     n = periods * rows
-    ends = [F.lag("p", n - rows * j).over(_own()) if j < periods else F.col("p") for j in range(1, periods + 1)]
-    p = p.withColumn("ends", F.array(*ends))
-    return p.select(*panel.columns, F.when(F.col("rn") >= n, F.array_max("ends") - F.array_min("ends")).alias("cmra"))
+    upto = _own().rowsBetween(W.unboundedPreceding, 0)
+    ends = []
+    for j in range(1, periods + 1):
+        full = F.lag("p", n - rows * j).over(_own()) if j < periods else F.col("p")
+        short = F.coalesce(F.max(F.when(F.col("rn") == rows * j, F.col("p"))).over(upto), F.col("p"))
+        ends.append(full if min_valid is None else F.when(F.col("rn") >= n, full).otherwise(short))
+    enough = F.col("rn") >= n if min_valid is None else F.count(log_return).over(_own().rowsBetween(-(n - 1), 0)) >= min_valid
+    p = p.withColumn("ends", F.array(*ends)).withColumn("enough", enough)
+    return p.select(*panel.columns, F.when(F.col("enough"), F.array_max("ends") - F.array_min("ends")).alias("cmra"))
 
 
 def liquidity(value: str, window: int, per: int, min_valid: float = 0.8) -> Column:

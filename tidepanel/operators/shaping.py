@@ -92,6 +92,19 @@ def reconcile(target: DataFrame, test: DataFrame, keys: list[str], values: list[
     return j.select(*keys, status.alias("status"))
 
 
+def repaired(table: DataFrame, vendor: DataFrame, keys: list[str], values: list[str], epsilon: float = 1e-4) -> DataFrame:
+    """``table`` with its values replaced by ``vendor``'s where both have the key and differ by more than ``epsilon``, and nothing else touched."""
+    theirs = vendor.select(*keys, *(F.col(v).alias(f"{v}__v") for v in values), F.lit(True).alias("told__"))
+    out = table.join(theirs, keys, "left")
+
+    def value(v: str) -> Column:
+        x, y = F.col(v), F.col(f"{v}__v")
+        same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= epsilon * F.greatest(F.abs(x), F.abs(y)), F.lit(False))
+        return F.when(F.col("told__") & ~same, y).otherwise(x).alias(v)
+
+    return out.select(*(value(c) if c in values else F.col(c) for c in table.columns))
+
+
 def run_length(flag: Column, by: list[str], order: str, island: str = "island__") -> tuple[Column, Column]:
     """Two steps of gaps and islands: the island's number, then the row's place in it (0 where ``flag`` fails)."""
     w = W.partitionBy(*by).orderBy(order)

@@ -114,34 +114,39 @@ def return_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.round(c, 3 if c == "annualized" else 5).alias(c) for c in out.columns))
 
 
-_TTM = f"""
-with e as (select *, row_number() over (order by ann_date, seq) as t, period // 100 as y, period % 100 as q from ({panels.FILINGS_SQL})),
-a as (select e.*, p.value as annual from e asof left join e p on e.instrument = p.instrument and p.period = (e.y - 1) * 100 + 4 and e.t >= p.t),
-b as (select a.*, p.value as was from a asof left join e p on a.instrument = p.instrument and p.period = a.period - 100 and a.t >= p.t),
-r as (select instrument, ann_date, seq, period, case when q = 4 then value else value + annual - was end as ttm from b)
+def ttm_ctes(tag: str = "", where: str = "true") -> str:
+    """CTEs that end in r<tag>: the trailing twelve months at each filing of a part of them."""
+    return f"""
+e{tag} as (select *, row_number() over (order by ann_date, seq) as t, period // 100 as y, period % 100 as q from ({panels.FILINGS_SQL}) where {where}),
+a{tag} as (select e.*, p.value as annual from e{tag} e asof left join e{tag} p on e.instrument = p.instrument and p.period = (e.y - 1) * 100 + 4 and e.t >= p.t),
+b{tag} as (select a.*, p.value as was from a{tag} a asof left join e{tag} p on a.instrument = p.instrument and p.period = a.period - 100 and a.t >= p.t),
+r{tag} as (select instrument, ann_date, seq, period, case when q = 4 then value else value + annual - was end as ttm from b{tag})
 """
 
 
+_TTM = "with " + ttm_ctes()
+
+
 @query("pit02_ttm_events", _TTM + " select instrument, ann_date, seq, period, round(ttm, 4) + 0.0 as ttm from r where ttm is not null")
 def ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIT01-PIT02, PIT05-PIT06, TSW46: trailing twelve months as known at each event."""
     return rounded(pit.ttm_events(panels.filings(spark, sf_dir)), 4)
 
 
-@query("pit03_ttm_dense", _TTM + f", d as (select instrument, ann_date, arg_max(ttm, (period, seq)) as ttm from r where ttm is not null group by 1, 2), g as (select distinct l_suppkey % 25 as instrument, cast(date_trunc('month', l_shipdate) as date) as date from lineitem) select g.instrument, g.date, round(d.ttm, 4) + 0.0 as ttm from g asof left join d on g.instrument = d.instrument and g.date >= d.ann_date")
+@query("pit03_ttm_dense", _TTM + f", d as (select instrument, ann_date, arg_max(ttm, (period, seq)) as ttm from r where ttm is not null group by 1, 2), g as (select distinct l_suppkey // 4 as instrument, cast(date_trunc('month', l_shipdate) as date) as date from lineitem) select g.instrument, g.date, round(d.ttm, 4) + 0.0 as ttm from g asof left join d on g.instrument = d.instrument and g.date >= d.ann_date")
 def ttm_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIT03-PIT04, PIT07-PIT08, TSW41: the same on a calendar."""
-    grid = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate").select((F.col("l_suppkey") % 25).cast("int").alias("instrument"), F.to_date(F.trunc(F.to_date("l_shipdate"), "month")).alias("date")).distinct()
+    grid = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate").select(F.floor(F.col("l_suppkey") / 4).alias("instrument"), F.to_date(F.trunc(F.to_date("l_shipdate"), "month")).alias("date")).distinct()
     return rounded(pit.ttm_on_dates(panels.filings(spark, sf_dir), grid), 4)
 
 
 _FY = "year(date) - case when month(date) <= 4 then 2 else 1 end"
-_ANNUAL = f"with a as (select instrument, {_FY} as fy, arg_min(close, date) as value from ({M}) group by 1, 2), r as (select *, row_number() over (partition by instrument order by fy) as rn from a), g as (select instrument, fy, value, case when count(value) over w >= 3 then (covar_samp(value, rn) over w / nullif(var_samp(rn) over w, 0)) / nullif(abs(avg(value) over w), 0) end as growth, case when count(value) over w >= 3 then stddev_samp(value) over w / nullif(avg(value) over w, 0) end as cv from r window w as (partition by instrument order by fy rows between 4 preceding and current row))"
+_ANNUAL = f"with a as (select instrument, {_FY} as fy, arg_min(close, date) as value from ({M}) group by 1, 2), r as (select *, row_number() over (partition by instrument order by fy) as rn from a), g as (select instrument, fy, value, case when count(value) over w >= 3 and abs(avg(value) over w) >= 1e-6 then (covar_samp(value, rn) over w / nullif(var_samp(rn) over w, 0)) / avg(value) over w end as growth, case when count(value) over w >= 3 and abs(avg(value) over w) >= 1e-6 then stddev_samp(value) over w / avg(value) over w end as cv from r window w as (partition by instrument order by fy rows between 4 preceding and current row))"
 
 
 @query("pit12_14_annual_growth", _ANNUAL + " select instrument, fy, round(value, 6) as value, round(growth, 6) + 0.0 as growth, round(cv, 6) as cv from g")
 def annual_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIT12-PIT14, PIT16-PIT18, CNE26-CNE27, CNE31-CNE33, CNE40-CNE42: first value of a fiscal year; slope and variation over five."""
+    """PIT12-PIT14, PIT16-PIT18: first value of a fiscal year; slope and variation over five."""
     return rounded(pit.growth(pit.annual_values(panels.monthly_bars(spark, sf_dir), "close")))
 
 
@@ -195,7 +200,7 @@ def midcap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cne05_16_weighted_styles", f"with r as (select instrument, date, ln(close / nullif(lag(close) over o, 0)) as x, row_number() over o as rn from ({M}) window o as (partition by instrument order by date)), s as (select *, case when rn >= 18 then sum(x * power(2.0, rn / 6.0)) over w / nullif(sum(case when x is not null then power(2.0, rn / 6.0) end) over w, 0) end as m from r window w as (partition by instrument order by date rows between 17 preceding and current row)), t as (select *, avg(m) over (partition by instrument order by date rows between 2 preceding and current row) as sm from s) select instrument, date, round(lag(sm, 2) over (partition by instrument order by date), 6) + 0.0 as strength from t")
 def weighted_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CNE05, CNE11-CNE12, CNE15, CNE24, TSW55: half-life weighted relative strength, smoothed and lagged."""
+    """TSW55: half-life weighted relative strength, smoothed and lagged."""
     own = W.partitionBy("instrument").orderBy("date")
     p = panels.monthly_bars(spark, sf_dir).withColumn("x", F.ln(F.try_divide("close", F.lag("close").over(own)))).select("instrument", "date", "x")
     s = rolling.half_life_stats(p, "x", 18, 6.0).withColumn("sm", F.avg("weighted_mean").over(own.rowsBetween(-2, 0)))
@@ -204,7 +209,7 @@ def weighted_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cne14_industry_momentum", rounded_sql(f"with p as (select instrument, date, industry, sqrt(circ_mv) as w, close / nullif(open, 0) - 1 as rs from ({K}) where circ_mv > 0), g as (select date, industry, sum(rs * w) / sum(w) as ind, sum(w) as sw from p where rs is not null group by 1, 2) select instrument, date, g.ind - p.rs * p.w / g.sw as indmom from p join g using (date, industry)", "indmom", "instrument, date"))
 def industry_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CNE14, CNE43, AGG04: weighted industry mean less the own share."""
+    """CNE43, AGG04: weighted industry mean less the own share."""
     p = panels.classified_bars(spark, sf_dir).where("circ_mv > 0").select("instrument", "date", "industry", F.sqrt("circ_mv").alias("w"), (F.try_divide("close", "open") - 1).alias("rs"))
     g = p.where("rs is not null").groupBy("date", "industry").agg(F.sum("w").alias("sw"), F.sum(F.col("rs") * F.col("w")).alias("s"))
     return rounded(p.join(g, ["date", "industry"]).select("instrument", "date", (F.try_divide("s", "sw") - F.try_divide(F.col("rs") * F.col("w"), F.col("sw"))).alias("indmom")))

@@ -14,11 +14,13 @@ from tidepanel.operators.shaping import upsert
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tidepanel-')).rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
 def write_frame(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, **options: str) -> None:
-    """Write Parquet or CSV; the committer replaces the target only when all is written."""
+    """Write Parquet or CSV.  With "overwrite" the target is emptied before the job ends; results.put keeps the old until the new is complete."""
     out = df.write.mode(mode)
     if partition_by:
         out = out.partitionBy(*partition_by)
