@@ -17,20 +17,29 @@ from tidepanel.llm.quality import quality_rules, train
 from tidepanel.llm.store import written
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and which name each column has."""
+    names = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.  The model is fitted on labelled rows of ``docs``."""
+    """Documents that the quality rules keep, all columns as they are.  The model is fitted on labelled rows of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, train(docs, labels)).where("kept").select(*docs.columns)
+    plain, names = _plain(docs)
+    model = train(docs.select("doc_id", "text"), labels)
+    return quality_rules(plain, model, names["text"]).where("kept").select(*names.values()).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three consecutive lines removed, n_chars counted anew; a document left with no word goes."""
-    done = line_dedup(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    done = done.where(left)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    """Later occurrences of three consecutive lines removed, n_chars counted anew, other columns as they are; a document left with no word goes."""
+    plain, names = _plain(docs)
+    text = names["text"]
+    done = line_dedup(plain, names["doc_id"], text)
+    done = done.where((F.col("n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in names:
+        done = done.withColumn(names["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return done.select(*names.values()).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = jaccard_components(docs).groupBy("doc_id").agg(F.count(F.when(stays, 1)).alias("n"))
     ids = written(ids.where("n <> 1"), "ids")
-    gone = ids.where("n = 0").select(F.col("doc_id").alias("id"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    gone = ids.where("n = 0").select("doc_id")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").limit(1).count() else kept
 
 
@@ -54,7 +63,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and the text read back from them."""
+    """doc_id, n_pieces and ids of every document, and the text read back from them; the last stage, so other columns end here."""
     return encode(docs, decode=True).withColumnRenamed("decoded", "text")
 
 
