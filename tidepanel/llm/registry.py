@@ -149,5 +149,19 @@ from e group by conv_id
 """
 
 
+_JACCARD = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select doc_id, list_sort(case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                                    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from d),
+c as (select min(doc_id) as c, sh, len(sh) as n from s where len(sh) > 0 group by sh),
+u as (select c, n, unnest(sh) as g from c),
+p as (select a.c as x, b.c as y from u a join u b on a.g = b.g and a.c < b.c group by a.c, b.c, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e as (select x, y from p union all select y, x from p),
+r as (select x as c, x as root from e union select e.y, r.root from r join e on r.c = e.x),
+k as (select c, min(root) as root from r group by c)
+select s.doc_id, len(s.sh) as n_shingles, coalesce(k.root, c.c, s.doc_id) as component_id from s left join c on s.sh = c.sh left join k on k.c = c.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING}
+    return {"op2_ngram_jaccard_join": _JACCARD, "op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING}
