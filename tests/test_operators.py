@@ -252,3 +252,25 @@ def test_statement_ratios_are_the_formulas(spark):
     assert len(p)
     np.testing.assert_allclose(p["acf"].astype(float), -(p["close"] - p["open"] + p["volume"]) / p["amount"], atol=1e-5)
     np.testing.assert_allclose(p["gp"].astype(float), (p["circ_mv"] - p["volume"]) / p["amount"], atol=1e-5)
+
+
+def test_running_sums_hold_over_stretches(spark):
+    """Windows that begin in the stretch of weights before, and missing values, against a plain weighted mean."""
+    from tidepanel.operators import rolling
+
+    r = np.random.default_rng(8)
+    v = [None if r.random() < 0.1 else float(r.normal(100, 5)) for _ in range(400)]
+    df = spark.createDataFrame([(1, f"{2000 + i // 300}-{1 + i // 25 % 12:02d}-{1 + i % 25:02d}", x) for i, x in enumerate(v)], "instrument int, date string, x double")
+    reach, rolling._REACH = rolling._REACH, 20
+    try:
+        got = rolling.half_life_stats(df, "x", 50, 2.0).orderBy("date").toPandas()
+    finally:
+        rolling._REACH = reach
+    for i in (48, 49, 60, 99, 100, 120, 149, 250, 399):
+        own = [(x, 2.0 ** (k / 2)) for k, x in enumerate(v[max(0, i - 49) : i + 1]) if x is not None]
+        if i < 49:
+            assert np.isnan(got["weighted_mean"][i])
+            continue
+        x, w = np.array(own).T
+        mean = (x * w).sum() / w.sum()
+        assert abs(got["weighted_mean"][i] - mean) < 1e-8 and abs(got["weighted_std"][i] - np.sqrt((w * (x - mean) ** 2).sum() / w.sum())) < 1e-5

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -137,7 +136,7 @@ def quantile_bins(df: DataFrame, column: str, n: int, by: list[str], name: str =
 
 
 def weighted_regression(y: np.ndarray, x: np.ndarray, w: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
-    """Least squares weights ``w``, under ``a @ beta = 0`` where given (KKT system, pseudo-inverse)."""
+    """Least squares with weights ``w`` of one small cross-section, under ``a @ beta = 0`` for any linear constraint; the industry constraint over many dates is exposure.factor_returns."""
     g = x.T @ (x * w[:, None])
     b = x.T @ (w * y)
     if a is None:
@@ -145,28 +144,3 @@ def weighted_regression(y: np.ndarray, x: np.ndarray, w: np.ndarray, a: np.ndarr
     m = np.atleast_2d(a)
     kkt = np.block([[2 * g, m.T], [m, np.zeros((len(m), len(m)))]])
     return (np.linalg.pinv(kkt) @ np.concatenate([2 * b, np.zeros(len(m))]))[: x.shape[1]]
-
-
-def cross_section_regression(df: DataFrame, y: str, styles: list[str], industry: str, weight: str, by: str = "date") -> DataFrame:
-    """(by, factor, ret): factor returns per date by weighted least squares with the cap-weighted industry returns summing to zero.
-
-    One date is one group of an Arrow-backed map: its rows are one
-    cross-section of instruments, whose number doesn't grow with history.
-    Weights are square roots of ``weight``.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y, weight, *styles])
-        if pdf.empty:
-            return pd.DataFrame({by: [], "factor": [], "ret": []})
-        inds = sorted(pdf[industry].dropna().unique())
-        dummies = np.stack([(pdf[industry] == i).to_numpy(float) for i in inds], 1)
-        x = np.column_stack([np.ones(len(pdf)), dummies, pdf[styles].to_numpy(float)])
-        cap = pdf[weight].to_numpy(float)
-        a = np.concatenate([[0.0], dummies.T @ cap / cap.sum(), np.zeros(len(styles))])
-        beta = weighted_regression(pdf[y].to_numpy(float), x, np.sqrt(cap), a)
-        return pd.DataFrame({by: pdf[by].iloc[0], "factor": ["country", *inds, *styles], "ret": beta})
-
-    kind = df.schema[by].dataType.simpleString()
-    return df.select(by, y, industry, weight, *styles).groupBy(by).applyInPandas(one, f"{by} {kind}, factor string, ret double")
-

@@ -1,8 +1,10 @@
-"""Rolling statistics with half-life weights, as sums over one window frame.
+"""Rolling statistics with half-life weights, as differences of running sums.
 
 A row's weight is 2 ** (row number / half-life): only ratios enter the
 results, so no weight has to be counted back from the current row.  Row numbers
-are taken within stretches short enough for doubles.
+are taken within stretches short enough for doubles.  A window's sum is the running
+sum at its end less the one before its start, so the cost is that of the rows,
+whatever the window's length.
 """
 
 from __future__ import annotations
@@ -20,38 +22,47 @@ def _own():
     return W.partitionBy("instrument").orderBy("date")
 
 
-def _numbered(panel: DataFrame, half_life: float, window: int) -> tuple[DataFrame, Column, Column]:
-    """Panel with the row number, the weight, and the factor between a stretch and the one before.
+def _numbered(panel: DataFrame, half_life: float, window: int) -> tuple[DataFrame, Column]:
+    """Panel with the row number rn, the stretch st and the weight pw in it, and the factor between a stretch and the one before.
 
     Weights restart every ``stretch`` rows, and a frame of ``window`` rows
-    spans two stretches at most; sums over a frame take each stretch's rows
-    in its own scale and then bring the older to the younger one's.
+    spans two stretches at most.
     """
     stretch = max(window, int(_REACH * half_life))
-    rn = F.row_number().over(_own())
-    p = panel.withColumn("rn", rn).withColumn("pw", F.pow(F.lit(2.0), F.pmod(F.col("rn") - 1, F.lit(stretch)) / half_life)).withColumn("par", F.floor((F.col("rn") - 1) / stretch) % 2)
-    return p, F.col("pw"), F.pow(F.lit(2.0), F.lit(-stretch / half_life))
+    p = panel.withColumn("rn", F.row_number().over(_own())).withColumn("st", F.floor((F.col("rn") - 1) / stretch))
+    return p.withColumn("pw", F.pow(F.lit(2.0), F.pmod(F.col("rn") - 1, F.lit(stretch)) / half_life)), F.pow(F.lit(2.0), F.lit(-stretch / half_life))
 
 
-def _weighted(p: DataFrame, terms: dict[str, Column], window: int, older: Column) -> DataFrame:
-    """Weighted sums of ``terms`` over the last ``window`` rows."""
-    w = _own().rowsBetween(-(window - 1), 0)
-    for name, term in terms.items():
-        p = p.withColumn(f"{name}_0", F.sum(F.when(F.col("par") == 0, term * F.col("pw"))).over(w)).withColumn(f"{name}_1", F.sum(F.when(F.col("par") == 1, term * F.col("pw"))).over(w))
-    out = []
-    for name in terms:
-        a, b = F.coalesce(F.col(f"{name}_0"), F.lit(0.0)), F.coalesce(F.col(f"{name}_1"), F.lit(0.0))
-        both = F.when(F.col("par") == 0, a + b * older).otherwise(b + a * older)
-        out.append(F.when(F.col(f"{name}_0").isNotNull() | F.col(f"{name}_1").isNotNull(), both).alias(name))
-    drop = [f"{n}_{i}" for n in terms for i in (0, 1)]
-    return p.select("*", *out).drop(*drop)
+def _sums(p: DataFrame, weighted: dict[str, Column], plain: dict[str, Column], window: int, older: Column) -> DataFrame:
+    """``p`` with the sums of terms over the last ``window`` rows, those of ``weighted`` in the current stretch's scale; missing terms count as 0, a sum of none is NULL.
+
+    Within a stretch a sum is a difference of running sums; where the window
+    began in the stretch before, that one's rest from there on is put to it.
+    """
+    run = W.partitionBy("instrument", "st").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("instrument", "st")
+    terms = {**{k: v * F.col("pw") for k, v in weighted.items()}, **plain}
+    zero = F.lit(0.0)
+    flows = {**{k: F.coalesce(v.cast("double"), zero) for k, v in terms.items()}, **{f"{k}_n": v.isNotNull().cast("double") for k, v in terms.items()}}
+    p = p.select("*", *(v.alias(f"v_{k}") for k, v in flows.items()))
+    p = p.select("*", *(F.sum(f"v_{k}").over(run).alias(f"r_{k}") for k in flows), *(F.sum(f"v_{k}").over(whole).alias(f"t_{k}") for k in flows))
+    before = lambda c: F.lag(c, window).over(_own())
+    p = p.select("*", before("st").alias("st_b"), *(before(f"r_{k}").alias(f"b_{k}") for k in flows), *(before(f"t_{k}").alias(f"e_{k}") for k in flows))
+
+    def total(k: str) -> Column:
+        rest = F.col(f"e_{k}") - F.col(f"b_{k}")
+        apart = F.col(f"r_{k}") + (rest * older if k in weighted else rest)
+        return F.when(F.col("st_b").isNull(), F.col(f"r_{k}")).when(F.col("st_b") == F.col("st"), F.col(f"r_{k}") - F.col(f"b_{k}")).otherwise(apart)
+
+    kept = [c for c in p.columns if c[:2] not in ("v_", "r_", "t_", "b_", "e_") and c != "st_b"]
+    return p.select(*kept, *(F.when(total(f"{k}_n") > 0.5, total(k)).alias(k) for k in terms))
 
 
 def half_life_stats(panel: DataFrame, value: str, window: int, half_life: float) -> DataFrame:
     """``panel`` with weighted_mean and weighted_std (population) over full windows; weights are shared among present values."""
-    p, _, older = _numbered(panel, half_life, window)
+    p, older = _numbered(panel, half_life, window)
     x = F.col(value)
-    p = _weighted(p, {"sw": F.when(x.isNotNull(), F.lit(1.0)), "sx": x, "sxx": x * x}, window, older)
+    p = _sums(p, {"sw": F.when(x.isNotNull(), F.lit(1.0)), "sx": x, "sxx": x * x}, {}, window, older)
     mean = F.try_divide("sx", "sw")
     full = F.col("rn") >= window
     std = F.sqrt(F.greatest(F.try_divide("sxx", "sw") - mean * mean, F.lit(0.0)))
@@ -63,14 +74,13 @@ def rolling_regression(panel: DataFrame, y: str, x: str, window: int, half_life:
 
     NULL before the window is full or where fewer than ``min_valid`` of it has both values.
     """
-    p, _, older = _numbered(panel, half_life, window)
+    p, older = _numbered(panel, half_life, window)
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     p = p.withColumn("xx", F.when(both, F.col(x))).withColumn("yy", F.when(both, F.col(y)))
     u, v = F.col("xx"), F.col("yy")
-    p = _weighted(p, {"sw": F.when(both, F.lit(1.0)), "swx": u, "swy": v, "swxx": u * u, "swxy": u * v}, window, older)
-    w = _own().rowsBetween(-(window - 1), 0)
-    sums = {"n": F.count(v), "sx": F.sum(u), "sy": F.sum(v), "sxx": F.sum(u * u), "sxy": F.sum(u * v), "syy": F.sum(v * v)}
-    p = p.select("*", *(s.over(w).alias(k) for k, s in sums.items()))
+    weighted = {"sw": F.when(both, F.lit(1.0)), "swx": u, "swy": v, "swxx": u * u, "swxy": u * v}
+    plain = {"n": F.when(both, F.lit(1.0)), "sx": u, "sy": v, "sxx": u * u, "sxy": u * v, "syy": v * v}
+    p = _sums(p, weighted, plain, window, older)
     c = F.col
     p = p.withColumn("b", F.try_divide(c("sw") * c("swxy") - c("swx") * c("swy"), c("sw") * c("swxx") - c("swx") * c("swx")))
     p = p.withColumn("a", F.try_divide(c("swy") - c("b") * c("swx"), c("sw")))

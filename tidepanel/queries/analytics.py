@@ -301,11 +301,24 @@ def specific_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.forecast_specific_variance(r, x, ["size", "liquidity"]))
 
 
-@query("rsk18_constrained_regression")
+_WLS = f"""
+with x as (select instrument, date, industry, circ_mv, sqrt(circ_mv) as w, close / open - 1 as r, ln(circ_mv) as s from ({K}) where circ_mv > 0 and open > 0),
+m as (select *, sum(w * r) over g / sum(w) over g as mr, sum(w * s) over g / sum(w) over g as ms from x window g as (partition by date, industry)),
+a as (select *, case when abs(r - mr) <= 1e-12 * abs(r) then 0 else r - mr end as dr, case when abs(s - ms) <= 1e-12 * abs(s) then 0 else s - ms end as ds from m),
+b as (select date, coalesce(sum(w * dr * ds) / nullif(sum(w * ds * ds), 0), 0) as slope from a group by date),
+c as (select date, industry, sum(circ_mv) as cap, any_value(mr - slope * ms) as c from m join b using (date) group by 1, 2),
+t as (select date, sum(cap * c) / sum(cap) as country from c group by date)
+select date, industry as factor, round(c - country, 6) + 0.0 as ret from c join t using (date) union all select date, 'country', round(country, 6) + 0.0 from t union all select date, 'size', round(slope, 6) + 0.0 from b
+"""
+
+
+@query("rsk18_constrained_regression", _WLS)
 def constrained_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RSK17-RSK19, XSN13: factor returns per date under the industry constraint (checked by its normal equations in tests)."""
+    """RSK17-RSK18, XSN13: factor returns per date under the industry constraint."""
+    from tidepanel.operators.exposure import factor_returns
+
     p = panels.classified_bars(spark, sf_dir).where("circ_mv > 0 and open > 0").select("date", "industry", "circ_mv", (F.col("close") / F.col("open") - 1).alias("r"), F.ln("circ_mv").alias("size"))
-    return rounded(cross.cross_section_regression(p, "r", ["size"], "industry", "circ_mv"))
+    return rounded(factor_returns(p, "r", ["size"], "industry", "circ_mv"))
 
 
 @query("alp01_03_alpha", rounded_sql(f"with k as (select instrument, date, close / nullif(open, 0) - 1 as g, 0.1 + volume / 1000 as o from ({K})) select instrument, date, o * 0.05 * (g - avg(g) over w) / nullif(stddev_samp(g) over w, 0) as alpha from k window w as (partition by date)", "alpha", "instrument, date"))
@@ -323,7 +336,7 @@ def residual_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.groupBy("instrument").agg(F.count("u").alias("n"), F.stddev_samp("u").alias("vol")))
 
 
-@query("alp04_pooled_ic")
+@query("alp04_pooled_ic", f"with k as (select instrument, date, close / nullif(open, 0) - 1 as residual, (volume - avg(volume) over (partition by date)) / nullif(stddev_samp(volume) over (partition by date), 0) as z from ({K})), r as (select instrument, date, lead(residual) over (partition by instrument order by date) as nxt from k where residual is not null), p as (select k.date, z, nxt from k join r using (instrument, date) where z is not null and nxt is not null), d as (select count(*) as dates from (select distinct date from k where z is not null) join (select distinct date from r where nxt is not null) using (date)) select dates, (select count(*) from p) as n, round(case when dates >= 60 then (select corr(z, nxt) from p) end, 6) + 0.0 as ic from d")
 def pooled_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALP04: correlation over all rows of the score with the residual ahead; the tables have some 80 dates, so 60 must do."""
     from tidepanel.operators import volatility
@@ -332,7 +345,22 @@ def pooled_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volatility.pooled_ic(k, k, min_dates=60))
 
 
-@query("alp06_10_residual_volatility")
+_VOL = f"""
+with k as ({K}), r as (select instrument, date, close / nullif(open, 0) - 1 as u, row_number() over (partition by instrument order by date desc) as n from k),
+h as (select instrument, count(u) as n, stddev_samp(case when n <= 200 then u end) as sd from r group by 1),
+t as (select instrument, industry, case when circ_mv is not null then ln(greatest(circ_mv, 1)) end as x from k where date = (select max(date) from k)),
+p as (select h.*, t.industry, t.x, h.n >= 60 as old from h left join t using (instrument)),
+f as (select * from p where old and sd is not null and x is not null),
+g as (select industry, count(*) as size, avg(sd) as my, avg(x) as mx, covar_pop(x, sd) * count(*) as sxy, var_pop(x) * count(*) as sxx from f group by 1),
+s as (select coalesce(sum(size), 0) as fitted, coalesce(sum(sxy) / nullif(sum(sxx), 0), 0) as slope, arg_min(my, industry) as by_, arg_min(mx, industry) as bx from g),
+m as (select median(sd) as middle from p where old)
+select instrument, n, method, round(case when method = 'history' then sd when method = 'regression' then greatest(guess, 0.001) else middle end, 6) + 0.0 as omega from (
+  select p.instrument, p.n, p.sd, middle, coalesce(g.my, by_) + slope * (p.x - coalesce(g.mx, bx)) as guess, case when p.old then 'history' when fitted >= 20 and p.x is not null then 'regression' else 'median' end as method
+  from p left join g on g.industry = p.industry, s, m) where case when method = 'history' then sd when method = 'regression' then guess else middle end is not null
+"""
+
+
+@query("alp06_10_residual_volatility", _VOL)
 def old_and_new_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALP06-ALP11: history of 200 rows for old names, regression or median for new ones; 60 dates make a name old here."""
     from tidepanel.operators import volatility
@@ -342,11 +370,18 @@ def old_and_new_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volatility.residual_volatility(r, k, min_days=60, min_old=20))
 
 
-@query("alp12_19_orthogonal_blend")
+_BLEND = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5) / Mean($close, 5)", "c": "Log($volume)", "nxt": "Ref($close, -2) / Ref($close, -1) - 1"}
+
+
+@query(
+    "alp12_19_orthogonal_blend",
+    f"with p as (select * from ({panel_sql(D, _BLEND)}) where a is not null and b is not null and c is not null), s as (select avg(a) as ma, avg(b) as mb, avg(c) as mc, var_samp(a) + 1e-10 as aa, var_samp(b) + 1e-10 as bb, var_samp(c) + 1e-10 as cc, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, c) as bc from p), "
+    "l1 as (select *, sqrt(aa) as l11, ab / sqrt(aa) as l21, ac / sqrt(aa) as l31 from s), l2 as (select *, sqrt(bb - l21 * l21) as l22 from l1), l3 as (select *, (bc - l31 * l21) / l22 as l32 from l2), l4 as (select *, sqrt(cc - l31 * l31 - l32 * l32) as l33 from l3), "
+    "y1 as (select p.*, l4.* exclude (ma, aa, ab, ac), (a - ma) / l11 as u from p, l4), y2 as (select *, (b - mb - l21 * u) / l22 as v from y1), y3 as (select *, (c - mc - l31 * u - l32 * v) / l33 as w from y2), g as (select coalesce(corr(u, nxt), 0) as gu, coalesce(corr(v, nxt), 0) as gv, coalesce(corr(w, nxt), 0) as gw from y3 where nxt is not null) select instrument, date, round(gu * u + gv * v + gw * w, 5) + 0.0 as alpha from y3, g",
+)
 def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALP12-ALP21: whitened signals weighted by their correlation with the return ahead."""
-    exprs = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5) / Mean($close, 5)", "c": "Log($volume)", "next": "Ref($close, -2) / Ref($close, -1) - 1"}
-    return rounded(portfolio.orthogonal_blend(compile_panel(panels.daily_bars(spark, sf_dir), exprs), ["a", "b", "c"], "next"))
+    return rounded(portfolio.orthogonal_blend(compile_panel(panels.daily_bars(spark, sf_dir), _BLEND), ["a", "b", "c"], "nxt"), 5)
 
 
 @query("pfo03_benchmark_neutral", rounded_sql(f"with k as (select instrument, date, close / nullif(open, 0) - 1 as alpha, 1.0 + volume / 1000 as beta, circ_mv / sum(circ_mv) over (partition by date) as b from ({K})) select instrument, date, alpha - beta * sum(b * alpha) over (partition by date) as alpha_n from k", "alpha_n", "instrument, date"))

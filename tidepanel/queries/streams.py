@@ -15,9 +15,17 @@ def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.drain(bars.daily_bars(bars.event_stream(spark, sf_dir)))
 
 
-@query("str02_running_mean")
+@query("str02_running_mean", "with e as (select user_id as instrument, value, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as age from events where value is not null) select instrument, round(sum(value * power(1 - 2.0 / 11, age)) / sum(power(1 - 2.0 / 11, age)), 6) + 0.0 as mean, count(*) as n from e group by 1")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential mean per user with state kept between batches."""
     from tidepanel.queries.base import rounded
 
-    return rounded(bars.drain(bars.running_mean(bars.event_stream(spark, sf_dir)), "update"))
+    return rounded(bars.drain(bars.running_mean(bars.event_stream(spark, sf_dir)), "update", ["instrument"]))
+
+
+@query("str03_distinct_events", "select distinct event_id, user_id, ts, value from events where event_id % 3 = 0")
+def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive twice within the watermark, once."""
+    e = bars.event_stream(spark, sf_dir).where("event_id % 3 = 0").select("event_id", "user_id", "ts", "value")
+    twice = e.unionByName(bars.event_stream(spark, sf_dir).where("event_id % 6 = 0").select("event_id", "user_id", "ts", "value"))
+    return bars.drain(bars.distinct_events(twice, ["event_id"]), "append")

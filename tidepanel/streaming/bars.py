@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidepanel.operators.shaping import keep_last
 from tidepanel.sources.files import scratch
 
 
@@ -39,8 +42,9 @@ def running_mean(events: DataFrame, span: int = 10) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         num, den, n = state.get if state.exists else (0.0, 0.0, 0)
         for pdf in batches:
-            for v in pdf.sort_values(["ts", "event_id"])["value"].dropna():
-                num, den, n = num * keep + v, den * keep + 1, n + 1
+            v = pdf.sort_values(["ts", "event_id"])["value"].dropna().to_numpy(float)
+            fade = keep ** np.arange(len(v) - 1, -1, -1.0)
+            num, den, n = num * keep ** len(v) + float(v @ fade), den * keep ** len(v) + float(fade.sum()), n + len(v)
         state.update((num, den, n))
         yield pd.DataFrame({"instrument": [key[0]], "mean": [num / den if den else None], "n": [n]})
 
@@ -48,17 +52,22 @@ def running_mean(events: DataFrame, span: int = 10) -> DataFrame:
     return named.groupBy("instrument").applyInPandasWithState(step, "instrument long, mean double, n long", "num double, den double, n long", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return what its last batches hold.
+def drain(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return what it said.
 
-    ``complete`` keeps the last batch, ``append`` and ``update`` all of them.
+    ``complete`` keeps the last batch, ``append`` all of them; ``update`` keeps
+    each key's last word.  A batch that is run again after a failure writes over
+    its own folder.
     """
     spark = stream.sparkSession
     out, at = scratch(spark, "stream-out"), scratch(spark, "stream-state")
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(out)
+    said = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(out)
+    return (keep_last(said, keys, [F.col("batch")]) if mode == "update" and keys else said).drop("batch")
