@@ -219,3 +219,35 @@ def test_repair_and_extension(spark):
     s = spark.createDataFrame([(1, "2024-01-01", 2.0), (1, "2024-01-02", None), (1, "2024-01-03", 4.0)], "instrument int, date string, x double")
     out = [r.y for r in styles.settled(s, "x", styles.Strength(1, 1, 2, 1, -1), "y").orderBy("date").collect()]
     assert out == [None, -2.0, -2.0]
+
+
+def test_boosting_goes_on(spark):
+    from tidepanel.operators.models import continued_scores
+
+    r = np.random.default_rng(1)
+    rows = []
+    for d in range(1, 25):
+        for i in range(40):
+            a = float(r.normal())
+            rows.append((i, f"2024-01-{d:02d}", a, a + (2.0 if d > 8 else 0.0) + float(r.normal(0, 0.1))))
+    df = spark.createDataFrame(rows, "instrument int, date string, a double, y double")
+    got = continued_scores(df, ["a"], "y", ("2024-01-01", "2024-01-08"), ("2024-01-09", "2024-01-16"), ("2024-01-17", "2024-01-24"), 5, 5, 3).join(df, ["instrument", "date"]).toPandas()
+    assert len(got) == 320 and ((got["score"] - got["y"]) ** 2).mean() < 0.2 * ((got["base"] - got["y"]) ** 2).mean()
+
+
+def test_a_search_goes_on_from_its_saved_state(spark):
+    from tidepanel.plans.expression import parse
+    from tidepanel.plans.search import Search, complexity
+
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, f"2024-01-{d:02d}", float(r.uniform(1, 2)), float(r.uniform(1, 9))) for i in range(12) for d in range(1, 13)], "instrument int, date string, close double, volume double").withColumn("date", F.to_date("date"))
+    new = lambda: Search(df, "Ref($close, -1) / $close - 1", ["$close", "$volume"], islands=2, size=4, height=3)
+    whole = new().run(2)
+    half = new()
+    half.run(1)
+    at = scratch(spark, "search")
+    half.save(at)
+    rest = new()
+    rest.load(at)
+    assert rest.generation == 1 and rest.run(2) == whole
+    assert [complexity(parse(e)) for e in ("Mean($close, 5)", "Abs(Mean($close, 5))", "Mean(Std($close, 5), 5)", "Div($close, $open)", "Corr($close, $volume, 5)")] == ["simple", "simple", "compound", "compound", "compound"]

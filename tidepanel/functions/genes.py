@@ -64,6 +64,23 @@ FAMILIES = {
     "VSUMN": "Div(Sum(Greater(Sub(Ref($volume, 1), $volume), 0.0), {n}), Add(Sum(Abs(Sub($volume, Ref($volume, 1))), {n}), 1e-12))",
 }
 
+# The rest of the published 158 features, {n} being the window.
+PRICES = {"OPEN0": "Div($open, $close)", "HIGH0": "Div($high, $close)", "LOW0": "Div($low, $close)"}
+MORE_FAMILIES = {
+    "IMXD": "Div(Sub(IdxMax($high, {n}), IdxMin($low, {n})), {n}.0)",
+    "CNTD": "Sub(Mean(Gt($close, Ref($close, 1)), {n}), Mean(Lt($close, Ref($close, 1)), {n}))",
+    "SUMD": "Div(Sub(Sum(Greater(Sub($close, Ref($close, 1)), 0.0), {n}), Sum(Greater(Sub(Ref($close, 1), $close), 0.0), {n})), Add(Sum(Abs(Sub($close, Ref($close, 1))), {n}), 1e-12))",
+    "WVMA": "Div(Std(Mul(Abs(Sub(Div($close, Ref($close, 1)), 1.0)), $volume), {n}), Add(Mean(Mul(Abs(Sub(Div($close, Ref($close, 1)), 1.0)), $volume), {n}), 1e-12))",
+    "VSUMD": "Div(Sub(Sum(Greater(Sub($volume, Ref($volume, 1)), 0.0), {n}), Sum(Greater(Sub(Ref($volume, 1), $volume), 0.0), {n})), Add(Sum(Abs(Sub($volume, Ref($volume, 1))), {n}), 1e-12))",
+}
+
+
+def handler(extra: dict[str, str] | None = None, ref: int = -2, windows: tuple[int, ...] = WINDOWS) -> dict[str, str]:
+    """The features of the published set (less VWAP0, for which a panel needs an average price), ``extra`` ones, and the label over ``ref``."""
+    base = {k: v for k, v in COMPOSITES.items() if k.startswith("K")} | PRICES
+    base |= {f"{k}{n}": e.format(n=n) for k, e in (FAMILIES | MORE_FAMILIES).items() for n in windows}
+    return base | (extra or {}) | {"LABEL0": f"Div(Ref($close, {ref}), Ref($close, -1)) - 1"}
+
 
 def genes(windows: tuple[int, ...] = WINDOWS) -> dict[str, str]:
     """Every composite and every family at every window."""

@@ -35,6 +35,23 @@ def rolling_scores(panel: DataFrame, features: list[str], label: str, windows: l
     return out
 
 
+def continued_scores(panel: DataFrame, features: list[str], label: str, train: tuple[str, str], more: tuple[str, str], test: tuple[str, str], trees: int = 10, more_trees: int = 5, depth: int = 4, seed: int = 0) -> DataFrame:
+    """(instrument, date, score, base) of a model of the train dates boosted further on the later dates ``more``.
+
+    Boosting goes on by fitting further trees to what the first ones leave of the
+    label there; scores are the sum of both parts, ``base`` the first alone.
+    """
+    from pyspark.ml.regression import GBTRegressor
+
+    v = _vectors(panel, features)
+    fit = lambda df, y, n: GBTRegressor(featuresCol="x__", labelCol=y, predictionCol=f"p_{y}", maxIter=n, maxDepth=depth, seed=seed).fit(df)
+    first = fit(v.where(F.col("date").between(*train) & F.col(label).isNotNull()), label, trees)
+    later = first.transform(v.where(F.col("date").between(*more) & F.col(label).isNotNull())).withColumn("rest__", F.col(label) - F.col(f"p_{label}"))
+    second = fit(later.drop(f"p_{label}"), "rest__", more_trees)
+    out = second.transform(first.transform(v.where(F.col("date").between(*test))))
+    return out.select("instrument", "date", (F.col(f"p_{label}") + F.col("p_rest__")).alias("score"), F.col(f"p_{label}").alias("base"))
+
+
 def merge_horizons(scores: dict[int, DataFrame], calendar: DataFrame) -> DataFrame:
     """(instrument, date, horizon, score): each horizon's scores moved to the trading day they speak of.
 

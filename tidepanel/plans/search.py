@@ -7,10 +7,11 @@ parts), are turned long, and get their rank correlations from one grouping.
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.operators.cross import information_coefficients, safe_corr
@@ -28,8 +29,19 @@ def depth(node: Node) -> int:
 
 
 def complexity(node: Node) -> str:
-    """``simple``: one operator over fields and numbers; ``compound``: anything deeper."""
-    return "compound" if depth(node) > 1 else "simple"
+    """``simple``: one field at most, two levels of operators at most and one window at most; ``compound``: anything else."""
+
+    def parts(n: Node) -> tuple[set[str], int]:
+        if not isinstance(n, Call):
+            return ({n.name} if isinstance(n, Field) else set()), 0
+        fields, windows = set(), int(n.op in (*_WINDOW, *_PAIR, "Var", "Skew", "Kurt", "Quantile", "Med", "Mad", "Count", "Rsquare", "Resi"))
+        for arg in n.args:
+            f, w = parts(arg)
+            fields, windows = fields | f, windows + w
+        return fields, windows
+
+    fields, windows = parts(node)
+    return "simple" if len(fields) <= 1 and depth(node) <= 2 and windows <= 1 else "compound"
 
 
 def grow(r: random.Random, terminals: list[Node], levels: int) -> Node:
@@ -100,6 +112,7 @@ class Search:
     penalty: float = 0.005
     seed: int = 0
     known: dict[str, float] = field(default_factory=dict)
+    generation: int = 0
 
     def __post_init__(self) -> None:
         self.random = random.Random(self.seed)
@@ -140,19 +153,34 @@ class Search:
         for i, own in enumerate(self.people):
             self.people[i] = sorted(own, key=self.fitness, reverse=True)[: self.size - n] + best[i - 1]
 
+    def save(self, path: str) -> None:
+        """Write the search's state, one line of text, where any later driver can read it."""
+        state = {"people": [[str(n) for n in own] for own in self.people], "known": self.known, "random": [self.random.getstate()[0], list(self.random.getstate()[1]), self.random.getstate()[2]], "generation": self.generation}
+        self.panel.sparkSession.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def load(self, path: str) -> None:
+        """Go on from what ``save`` wrote."""
+        state = json.loads(self.panel.sparkSession.read.text(path).first()[0])
+        self.people = [[parse(e) for e in own] for own in state["people"]]
+        self.known, self.generation = state["known"], state["generation"]
+        kind, numbers, rest = state["random"]
+        self.random.setstate((kind, tuple(numbers), rest))
+
     def run(self, generations: int = 5, migrate_every: int = 2) -> list[tuple[str, float]]:
-        """(expression, fitness), best first."""
+        """(expression, fitness), best first; a loaded search makes the generations that are left."""
         self.score()
-        for g in range(1, generations + 1):
+        for g in range(self.generation + 1, generations + 1):
+            self.generation = g
             self.step()
             if g % migrate_every == 0:
                 self.migrate()
         return sorted(((e, f) for e, f in self.known.items() if f > 0), key=lambda x: -x[1])
 
 
-def correlations(panel: DataFrame, exprs: list[str]) -> dict[tuple[int, int], float]:
+def correlations(panel: DataFrame, exprs: list[str], where: Column | None = None) -> dict[tuple[int, int], float]:
     """|correlation| of all pairs of expressions, as one row of aggregates."""
     p = compile_panel(panel, {f"e{i}": e for i, e in enumerate(exprs)})
+    p = p if where is None else p.where(where)
     pairs = [(i, j) for i in range(len(exprs)) for j in range(i)]
     if not pairs:
         return {}
@@ -160,9 +188,9 @@ def correlations(panel: DataFrame, exprs: list[str]) -> dict[tuple[int, int], fl
     return {(i, j): abs(row[f"c{i}_{j}"] or 0.0) for i, j in pairs}
 
 
-def uncorrelated(panel: DataFrame, ranked: list[str], most: float = 0.7) -> list[str]:
+def uncorrelated(panel: DataFrame, ranked: list[str], most: float = 0.7, where: Column | None = None) -> list[str]:
     """Go down the ranking and keep what correlates below ``most`` with all kept so far."""
-    c = correlations(panel, ranked)
+    c = correlations(panel, ranked, where)
     kept: list[int] = []
     for i in range(len(ranked)):
         if all(c[(max(i, j), min(i, j))] < most for j in kept):

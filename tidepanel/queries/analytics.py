@@ -410,6 +410,41 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ic.groupBy("expr").agg(F.abs(F.avg("ric")).alias("fitness")))
 
 
+_PENALISED = {"a": "$close / Ref($close, 5) - 1", "b": "Std($close, 5)", "c": "Ref($close, 20) / Ref($close, 25)", "d": "$volume - $volume"}
+_SCREENED = {"a": "$close / Ref($close, 5) - 1", "b": "$close / Ref($close, 6) - 1", "c": "Log($volume)"}
+_AHEAD = {"r": "Ref($close, -2) / Ref($close, -1) - 1"}
+
+
+def _scored(exprs: dict[str, str], where: str) -> str:
+    """CTE c: rank correlation per expression and date."""
+    return f"with p as (select * from ({panel_sql(D, exprs | _AHEAD)}) where {where}), l as ({' union all '.join(f"select '{k}' as expr, instrument, date, {k} as f, r from p" for k in exprs)}), q as (select *, rank() over (partition by expr, date order by f) + (count(*) over (partition by expr, date, f) - 1) / 2.0 as fr, rank() over (partition by expr, date order by r) + (count(*) over (partition by expr, date, r) - 1) / 2.0 as rr from l where f is not null and r is not null), c as (select expr, date, case when stddev_samp(fr) * stddev_samp(rr) > 1e-12 then covar_samp(fr, rr) / (stddev_samp(fr) * stddev_samp(rr)) end as ric from q group by 1, 2)"
+
+
+@query("gps05_08_penalised_fitness", _scored(_PENALISED, "true") + ", s as (select expr, avg(case when f is null then 1.0 else 0 end) as gone, stddev_samp(f) as sd from l group by 1), i as (select expr, abs(avg(ric)) as fit from c group by 1), d as (select * from (values ('a', 3), ('b', 1), ('c', 2), ('d', 1)) v(expr, depth)) select expr, round(case when gone <= 0.5 and coalesce(sd, 0) > 1e-5 and coalesce(fit, 0) > 0 then fit - 0.005 * depth else 0 end, 6) + 0.0 as fitness from s left join i using (expr) join d using (expr)")
+def penalised_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS05-GPS08: a generation scored in one pass, less a penalty per level of the tree; mostly missing or constant values score nothing."""
+    from tidepanel.plans.expression import parse
+    from tidepanel.plans.search import depth, score_batch
+
+    exprs = list(_PENALISED.values())
+    got = score_batch(panels.daily_bars(spark, sf_dir), exprs, _AHEAD["r"])
+    rows = [(k, round(got[e] - 0.005 * depth(parse(e)), 6) if got[e] else 0.0) for k, e in _PENALISED.items()]
+    return spark.createDataFrame(rows, "expr string, fitness double")
+
+
+@query("gps09_29_screening", _scored(_SCREENED, "date >= date '2024-01-15'") + ", i as (select expr, avg(ric) as ric, avg(ric) / nullif(stddev_samp(ric), 0) as ricir from c group by 1), k as (select abs(corr(a, b)) as ab, abs(corr(a, c)) as ac, abs(corr(b, c)) as bc from p), o as (select (select ac from k) < 0.7 as c_a, (select ab from k) < 0.7 as b_a, (select bc from k) < 0.7 as b_c) select expr, round(ric, 6) + 0.0 as ric, round(ricir, 6) + 0.0 as ricir, case when expr = 'a' then true when expr = 'b' then b_a else c_a and (b_c or not b_a) end as kept from i, o")
+def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS09-GPS11, GPS28-GPS29: figures on the test dates, and going down the list what correlates too much with a kept one is left out."""
+    from tidepanel.plans.search import uncorrelated
+
+    bars = panels.daily_bars(spark, sf_dir)
+    p = compile_panel(bars, _SCREENED | _AHEAD).where("date >= date '2024-01-15'")
+    long = p.unpivot(["instrument", "date", "r"], list(_SCREENED), "expr", "f")
+    ic = cross.information_coefficients(long, "f", "r", ["expr", "date"]).groupBy("expr").agg(F.avg("ric").alias("ric"), F.try_divide(F.avg("ric"), F.nullif(F.stddev_samp("ric"), F.lit(0.0))).alias("ricir"))
+    kept = uncorrelated(bars, list(_SCREENED.values()), 0.7, F.col("date") >= "2024-01-15")
+    return rounded(ic.withColumn("kept", F.col("expr").isin([k for k, e in _SCREENED.items() if e in kept])))
+
+
 @query("mlb01_09_sequences", f"with p as (select instrument, date, close, row_number() over (partition by instrument order by date) as rn, list(close) over (partition by instrument order by date rows between 4 preceding and current row) as seq, lead(close, 2) over (partition by instrument order by date) / nullif(lead(close, 1) over (partition by instrument order by date), 0) - 1 as label from ({D})) select instrument, date, case when date < date '2024-01-16' then 'train' when date < date '2024-01-23' then 'valid' else 'test' end as segment, round(list_sum(seq), 6) as total, round(label, 6) + 0.0 as label from p where rn >= 5")
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLB01-MLB09, MLB20-MLB21: fixed-length sequences per row with a label and its segment by date."""
@@ -474,6 +509,16 @@ def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolling_scores(p, ["a", "b", "c"], "y", windows, trees=5, depth=3))
 
 
+@query("mlb11_continued_boosting")
+def continued_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLB11: boosting that goes on with later dates (its error there falls in tests)."""
+    from tidepanel.operators.models import continued_scores
+
+    exprs = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5)", "y": "Ref($close, -2) / Ref($close, -1) - 1"}
+    p = compile_panel(panels.daily_bars(spark, sf_dir), exprs)
+    return rounded(continued_scores(p, ["a", "b"], "y", ("2024-01-01", "2024-01-14"), ("2024-01-15", "2024-01-20"), ("2024-01-21", "2024-01-30"), 5, 3, 3))
+
+
 _SHIFTED = f"with b as ({D}), c as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from b)), h as (select 1 as horizon union all select 5) select instrument, t.date, horizon, close as score from b join c using (date) cross join h join c t on t.idx = c.idx + horizon"
 
 

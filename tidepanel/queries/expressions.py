@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepanel.functions import indicators
-from tidepanel.functions.genes import COMPOSITES, FAMILIES, WINDOWS
+from tidepanel.functions.genes import COMPOSITES, FAMILIES, MORE_FAMILIES, PRICES, WINDOWS, handler
 from tidepanel.plans.expression import compile_panel, panel_sql
 from tidepanel.queries.base import panel_query, query, rounded, rounded_sql
 from tidepanel.sources import panels
@@ -184,4 +184,6 @@ panel_query("exp16_24_candles", "daily", {k.lower(): v for k, v in list(COMPOSIT
 _FAMILY = list(FAMILIES.items())
 panel_query("exp25_34_price_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[:10] for n in WINDOWS}, 9)
 panel_query("exp35_44_position_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[10:20] for n in WINDOWS}, 5)
+_HANDLER = handler({"gap": "$open / Ref($close, 1) - 1"})
+panel_query("mlb02_handler_rest", "daily", {k.lower(): e for k, e in _HANDLER.items() if k in PRICES or k in ("gap", "LABEL0") or k.rstrip("0123456789") in MORE_FAMILIES}, 5)
 panel_query("exp45_48_volume_family", "daily", {f"{k.lower()}{n}": e.format(n=n) for k, e in _FAMILY[20:] for n in WINDOWS}, 5)
