@@ -99,6 +99,14 @@ def test_sampling_follows_the_weights(vocabulary):
         assert abs(got[w] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_pieces_do_not_hang_on_the_batch(vocabulary, spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    seeds = np.arange(len(texts), dtype=np.int64) * 7919
+    together = pieces.sample(vocabulary, texts, seeds)
+    assert together == [pieces.sample(vocabulary, [t], seeds[i : i + 1])[0] for i, t in enumerate(texts)]
+    assert together[::-1] == pieces.sample(vocabulary, texts[::-1], seeds[::-1].copy())
+
+
 def test_encoding_depends_on_key_and_text_alone(spark):
     rows = [(i, "the quick brown fox %d" % (i % 7)) for i in range(200)] + [(500, None), (501, ""), (None, "x y"), (502, "long " * 40_000), (3, "the quick brown fox 3")]
     df = spark.createDataFrame([(k, t, b"i") for k, t in rows], "doc_id long, text string, ids binary")

@@ -35,6 +35,8 @@ ALPHA = 0.8
 _MARK = 0x2581
 _OWN_MARK = 0x110000  # a blank mark of the text itself; no code point
 _TABLE = 20
+#: bits of a draw
+_SHARE = 30
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,7 +176,7 @@ def _edges(v: Vocabulary, points: np.ndarray, length: np.ndarray) -> tuple[np.nd
 
 
 def _shares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, level: np.ndarray, n_nodes: int) -> np.ndarray:
-    """End node plus the running share of each edge's weight there, so that one search draws an edge."""
+    """End node and, in the low bits, the running share of each edge's weight there, so that one search of whole numbers draws an edge."""
     total = np.zeros(n_nodes)  # log of the summed weight of all paths to each node
     deepest = int(level.max())
     order = np.argsort(level.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
@@ -184,15 +186,20 @@ def _shares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, level: np.ndarray,
         to = b[e]
         head = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         total[to[head]] = np.logaddexp.reduceat(total[a[e]] + weight[e], head)
-    share = np.cumsum(np.exp(total[a] + weight - total[b]))
+    share = np.exp(total[a] + weight - total[b])
     first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    last = np.append(first[1:], len(b)) - 1
-    reps = last - first + 1
-    share -= np.repeat(np.append(0.0, share[last[:-1]]), reps)
-    share /= np.repeat(share[last], reps)
-    share += b
-    share[last] = b[last] + 1.0
-    return share
+    size = np.diff(np.append(first, len(b)))
+    last = first + size - 1
+    # running sums node by node, in steps over all nodes: no figure hangs on what else is in the batch
+    place = np.arange(len(b)) - np.repeat(first, size)
+    order = np.argsort(place.astype(np.int16), kind="stable")
+    cut = np.append(0, np.cumsum(np.bincount(place)))
+    for lo, hi in zip(cut[1:-1], cut[2:]):
+        share[order[lo:hi]] += share[order[lo:hi] - 1]
+    share /= np.repeat(share[last], size)
+    out = (b.astype(np.int64) << _SHARE) + (share * (1 << _SHARE)).astype(np.int64)
+    out[last] = (b[last].astype(np.int64) + 1) << _SHARE
+    return out
 
 
 def sample(v: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[bytes | None]:
@@ -233,8 +240,8 @@ def sample(v: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[by
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while len(occ):
-        u = (scan.mix(seed + np.uint64(step * 0xD1B54A32D192ED03 & scan._M64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        pick = np.searchsorted(share, node + u, "right")
+        u = (scan.mix(seed + np.uint64(step * 0xD1B54A32D192ED03 & scan._M64)) >> np.uint64(64 - _SHARE)).astype(np.int64)
+        pick = np.searchsorted(share, (node.astype(np.int64) << _SHARE) + u, "right")
         pick = np.minimum(pick, len(share) - 1)
         taken.append((occ, piece[pick]))
         node = a[pick]
