@@ -140,8 +140,8 @@ def shard_by_size(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text
 
     A null text has size 16, crc 0 and forms one group with the empty text's
     neighbours only by hash; a null key sorts first within its group; keys that
-    aren't integers are ordered by their hash; repeated rows each get a slot; an
-    empty table gives an empty table; fewer rows than shards leave shards
+    aren't integers are ordered by their hash; repeated rows each get a slot, but
+    no boundary can part rows that share both text and key; an empty table gives an empty table; fewer rows than shards leave shards
     empty.  Other columns of ``docs`` play no part.
     """
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long")
