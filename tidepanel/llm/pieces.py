@@ -191,13 +191,19 @@ def _shares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, level: np.ndarray,
     size = np.diff(np.append(first, len(b)))
     last = first + size - 1
     # running sums node by node, in steps over all nodes: no figure hangs on what else is in the batch
-    place = np.arange(len(b)) - np.repeat(first, size)
-    order = np.argsort(place.astype(np.int16), kind="stable")
+    place = (np.arange(len(b), dtype=np.int32) - np.repeat(first.astype(np.int32), size)).astype(np.int16)
     cut = np.append(0, np.cumsum(np.bincount(place)))
+    order = np.argsort(place, kind="stable")
+    del place
     for lo, hi in zip(cut[1:-1], cut[2:]):
-        share[order[lo:hi]] += share[order[lo:hi] - 1]
+        at = order[lo:hi]
+        share[at] += share[at - 1]
+    del order
     share /= np.repeat(share[last], size)
-    out = (b.astype(np.int64) << _SHARE) + (share * (1 << _SHARE)).astype(np.int64)
+    share *= 1 << _SHARE
+    out = share.astype(np.int64)
+    del share
+    out += b.astype(np.int64) << _SHARE
     out[last] = (b[last].astype(np.int64) + 1) << _SHARE
     return out
 
@@ -310,7 +316,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for table in scan.super_batches(batches, "text", 1 << 20):
+        for table in scan.super_batches(batches, "text", 1 << 19):
             ids = sample(v, table["text"].to_pylist(), table["seed"].to_numpy())
             n = [len(x or b"") // v.kind.itemsize for x in ids]
             cols = {"key": table["key"], "n_pieces": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())}
@@ -331,7 +337,7 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str
     at = names[encoded.columns.index(ids)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in scan.super_batches(batches, at, 1 << 20):
+        for table in scan.super_batches(batches, at, 1 << 19):
             yield from table.append_column("out", pa.array(restore(shared.value, table[at].to_pylist()), pa.binary()).cast(pa.string())).to_batches()
 
     done = plain.mapInArrow(go, T.StructType([*plain.schema, T.StructField("out", T.StringType())]))
