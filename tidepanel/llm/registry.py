@@ -95,6 +95,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.alignment import align
+
+    return align(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.lexical import search, write_index
+    from tidepanel.llm.store import fresh_path
+
+    index = write_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "postings"))
+    return search(spark.read.parquet(index), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def op13_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "times", "first_place")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, op10_personal_data, pipeline)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, op10_personal_data, op11_tokenizer_alignment, op12_ranked_lexical_search, op13_fair_queueing_mix, pipeline)}
 
 
 _LINES = """
@@ -163,5 +183,20 @@ select s.doc_id, len(s.sh) as n_shingles, coalesce(k.root, c.c, s.doc_id) as com
 """
 
 
+# equal scores of equal ids have equal rows; logarithms in doubles as asked
+_LEXICAL = """
+with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents where text is not null),
+d as (select row_number() over () as r, doc_id, len(ts)::bigint as n, ts from w where len(ts) > 0),
+s as (select count(*)::bigint as n_docs, sum(n)::bigint as total from d),
+p as (select r, doc_id, n, term, count(*)::bigint as tf from (select r, doc_id, n, unnest(ts) as term from d) group by all),
+i as (select item_id, term, count(*)::bigint as k from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark) group by all),
+f as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s where term in (select term from i) group by term, n_docs),
+m as (select i.item_id, p.r, p.doc_id, sum(i.k * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * s.n_docs) // s.total))))::bigint as score
+      from i join f using (term) join p using (term), s group by all),
+o as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from m where score > 0)
+select item_id, rank::int as rank, doc_id, score from o where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": _JACCARD, "op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING}
+    return {"op2_ngram_jaccard_join": _JACCARD, "op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING, "op12_ranked_lexical_search": _LEXICAL}
