@@ -73,8 +73,8 @@ def _bucket(term: str) -> Column:
     return F.shiftright(term, 64 - BUCKET_BITS).cast("int") + F.lit(1 << (BUCKET_BITS - 1))
 
 
-def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> str:
-    """Write the postings of all documents under ``path``, one folder for each bucket of terms; -1 holds the documents' lengths.
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the postings of all documents under ``path`` and give the index read from there: one folder for each bucket of terms; -1 holds the documents' lengths.
 
     Written in one pass and without a shuffle: each task sorts its own postings
     by bucket and term.  A term that every document holds is spread over all
@@ -84,7 +84,7 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     told = _postings(rows, ["row", "key"], True).withColumn("bucket", F.coalesce(_bucket("term"), F.lit(-1)))
     told.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
-    return path
+    return docs.sparkSession.read.schema(told.schema).parquet(path)
 
 
 def _ranked(index: DataFrame, asked: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:

@@ -106,7 +106,7 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.store import fresh_path
 
     index = write_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "postings"))
-    return search(spark.read.parquet(index), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
 
 
 def op13_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
