@@ -96,3 +96,55 @@ def test_family_queries_cover_every_window():
     sql = named.oracle_sql()
     text = " ".join(sql[q] for q in ("exp25_34_price_family", "exp35_44_position_family", "exp45_48_volume_family"))
     assert [f"{k}{n}" for k in FAMILIES for n in WINDOWS if f"as {k.lower()}{n}," not in text and f"as {k.lower()}{n} " not in text] == []
+
+
+def _plain_order(x, n, q):
+    """(quantile, mean absolute deviation, rank) of the last n values, row by row."""
+    out = []
+    for i in range(len(x)):
+        v = x[max(0, i - n + 1) : i + 1]
+        v = v[~np.isnan(v)]
+        lt, eq = (v < x[i]).sum(), (v == x[i]).sum()
+        out.append((np.quantile(v, q), np.abs(v - v.mean()).mean(), (lt + (eq + 1) / 2) / len(v) if eq else np.nan) if len(v) else (np.nan,) * 3)
+    return np.array(out, float).reshape(-1, 3)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_order_statistics_by_brute_force(spark, monkeypatch, block):
+    """Ties, missing values, windows longer than blocks and histories, large offsets, a hundred instruments in a task."""
+    from tidepanel.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5" if block == 7 else "10000")
+    r = np.random.default_rng(3)
+    parts = []
+    for i in range(12):
+        n = int(r.integers(1, 60))
+        x = np.round(r.normal(size=n) * 3) + (1e7 if i == 5 else 0) + (r.normal(size=n) if i % 2 else 0)
+        x[r.random(n) < 0.2] = np.nan
+        if i == 7:
+            x[:] = np.nan
+        parts.append(pd.DataFrame({"instrument": i, "date": pd.date_range("2024-01-01", periods=n).date, "x": x}))
+    pdf = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(3)
+    windows = (1, 2, 5, 20, 500)
+    exprs = {f"{k}{n}": e.format(n=n) for n in windows for k, e in {"q": "Quantile($x, {n}, 0.3)", "mad": "Mad($x, {n})", "rank": "Rank($x, {n})"}.items()}
+    exprs["nested"] = "Mean(Rank($x - Ref($x, 1), 5), 3) + Med($x, 5)"
+    got = compile_panel(df, exprs).toPandas().sort_values(["instrument", "date"]).reset_index(drop=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for n in windows:
+        want = np.concatenate([_plain_order(p["x"].to_numpy(), n, 0.3) for p in parts])
+        np.testing.assert_allclose(got[[f"q{n}", f"mad{n}", f"rank{n}"]].to_numpy(float), want, rtol=1e-9, atol=1e-9)
+    nested = []
+    for p in parts:
+        x = p["x"].to_numpy()
+        rank = _plain_order(np.append(np.nan, x[1:] - x[:-1]), 5, 0.5)[:, 2]
+        nested.append(pd.Series(rank).rolling(3, min_periods=1).mean().to_numpy() + _plain_order(x, 5, 0.5)[:, 0])
+    np.testing.assert_allclose(got["nested"].to_numpy(float), np.concatenate(nested), rtol=1e-9)
+
+
+def test_order_statistics_share_the_exchange(spark):
+    df = spark.createDataFrame([(1, 1, 1.0)], "instrument int, date int, x double")
+    exprs = {"a": "Med($x, 5)", "b": "Quantile($x, 20, 0.8)", "c": "Rank($x, 60)", "d": "Mad($x, 9)", "e": "Mean(Ref($x, 1), 5)", "f": "Slope($x, 9)"}
+    plan = compile_panel(df, exprs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1 and plan.count("Sort [") == 1

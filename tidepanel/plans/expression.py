@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.operators.ordered import Ordered, rolling_order
+
 
 class ExpressionError(ValueError):
     """The text is no valid expression."""
@@ -172,6 +174,9 @@ def check(node: Node, search: bool = False) -> None:
         check(a, search)
 
 
+_ROW = "row_number() OVER (PARTITION BY instrument ORDER BY date)"
+
+
 def is_bool(node: Node) -> bool:
     return isinstance(node, Call) and node.op in _BOOL
 
@@ -201,13 +206,16 @@ def extent(node: Node) -> tuple[int, int]:
 
 @dataclass
 class _Lowering:
-    """Stages of named SQL columns; the texts hold in Spark SQL and, with ``duck``, in DuckDB."""
+    """Stages of named SQL columns; the texts hold in Spark SQL and, with ``duck``, in DuckDB.
+
+    In Spark, order statistics over so many rows are no SQL but ``Ordered``.
+    """
 
     duck: bool = False
-    stages: list[dict[str, str]] = field(default_factory=list)
-    known: dict[str, tuple[str, int]] = field(default_factory=dict)
+    stages: list[dict[str, str | Ordered]] = field(default_factory=list)
+    known: dict[str | Ordered, tuple[str, int]] = field(default_factory=dict)
 
-    def put(self, sql: str, stage: int) -> tuple[str, int]:
+    def put(self, sql: str | Ordered, stage: int) -> tuple[str, int]:
         """Name ``sql``, worked out in ``stage``; usable from the next one on."""
         if sql not in self.known or self.known[sql][1] > stage + 1:
             while len(self.stages) <= stage:
@@ -283,6 +291,9 @@ class _Lowering:
         if op in plain:
             sql = f"{plain[op]}({a}) {w}"
             return self.put(f"CAST({sql} AS DOUBLE)" if op == "Count" else sql, stage)
+        if op in ("Med", "Quantile", "Mad", "Rank") and n and not self.duck:
+            _, s0 = self.put(_ROW, 0)
+            return self.put(Ordered(op, a, n, lits[1] if op == "Quantile" else 0.5), max(stage, s0))
         if op in ("Med", "Quantile"):
             q = 0.5 if op == "Med" else lits[1]
             return self.put(f"quantile_cont({a}, {q}) {w}" if self.duck else f"percentile({a}, {q}D) {w}", stage)
@@ -303,7 +314,7 @@ class _Lowering:
             sa, _ = self.put(f"stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) {w}", stage)
             sb, _ = self.put(f"stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) {w}", stage)
             return f"(CASE WHEN {sa} * {sb} > 1e-12 THEN {cov} / nullif({sa} * {sb}, 0) END)", s
-        rn, s0 = self.put("row_number() OVER (PARTITION BY instrument ORDER BY date)", 0)
+        rn, s0 = self.put(_ROW, 0)
         at, s = self.put(f"(CASE WHEN {a} IS NOT NULL THEN CAST({rn} AS DOUBLE) END)", max(stage, s0))
         if op in ("IdxMax", "IdxMin"):
             if op == "IdxMax":
@@ -370,7 +381,7 @@ class _Lowering:
         return f"((coalesce({num}, 0) + coalesce({pn}, 0) * {far!r}) / nullif(coalesce({den}, 0) + coalesce({pd}, 0) * {far!r}, 0))", v
 
 
-def _compiled(exprs: dict[str, str], duck: bool) -> tuple[list[dict[str, str]], dict[str, str]]:
+def _compiled(exprs: dict[str, str], duck: bool) -> tuple[_Lowering, dict[str, str]]:
     low = _Lowering(duck)
     final = {}
     for name, text in exprs.items():
@@ -378,7 +389,7 @@ def _compiled(exprs: dict[str, str], duck: bool) -> tuple[list[dict[str, str]],
         check(node)
         sql, _ = low.lower(node)
         final[name] = f"CAST({sql} AS DOUBLE)" if is_bool(node) else sql
-    return low.stages, final
+    return low, final
 
 
 def compile_panel(panel: DataFrame, exprs: dict[str, str], keep: tuple[str, ...] = ("instrument", "date")) -> DataFrame:
@@ -386,22 +397,33 @@ def compile_panel(panel: DataFrame, exprs: dict[str, str], keep: tuple[str, ...]
 
     Only the fields that the expressions name are read.
     """
-    stages, final = _compiled(exprs, False)
+    low, final = _compiled(exprs, False)
     used = sorted(set().union(*(fields(parse(t)) for t in exprs.values())))
     missing = [f for f in used if f not in panel.columns]
     if missing:
         raise ExpressionError(f"no such fields: {missing}")
     df = panel.select(*dict.fromkeys(["instrument", "date", *keep, *used]))
-    for stage in stages:
-        df = df.select("*", *(F.expr(sql).alias(name) for name, sql in stage.items()))
+    # order statistics wait until a window reads one: the windows before share the exchange that they need
+    waiting: dict[str, Ordered] = {}
+    for stage in low.stages:
+        columns = {n: x for n, x in stage.items() if isinstance(x, str)}
+        asked = {n: x for n, x in stage.items() if isinstance(x, Ordered)}
+        read = set(re.findall(r"\bw\d+_\b", " ".join([*columns.values(), *(x.column for x in asked.values())])))
+        if read & waiting.keys():
+            df, waiting = rolling_order(df, waiting, low.known[_ROW][0]), {}
+        if columns:
+            df = df.select("*", *(F.expr(sql).alias(name) for name, sql in columns.items()))
+        waiting |= asked
+    if waiting:
+        df = rolling_order(df, waiting, low.known[_ROW][0])
     return df.select(*keep, *(F.expr(sql).alias(name) for name, sql in final.items()))
 
 
 def panel_sql(source: str, exprs: dict[str, str], digits: int | None = None, keep: tuple[str, ...] = ("instrument", "date")) -> str:
     """The same as DuckDB SQL over the query ``source``, for checks."""
-    stages, final = _compiled(exprs, True)
+    low, final = _compiled(exprs, True)
     sql = f"({source})"
-    for stage in stages:
+    for stage in low.stages:
         sql = f"(select *, {', '.join(f'{s} as {n}' for n, s in stage.items())} from {sql})"
     out = [f"round({s}, {digits}) as {n}" if digits is not None else f"{s} as {n}" for n, s in final.items()]
     return f"select {', '.join([*keep, *out])} from {sql}"
