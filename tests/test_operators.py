@@ -274,3 +274,45 @@ def test_running_sums_hold_over_stretches(spark):
         x, w = np.array(own).T
         mean = (x * w).sum() / w.sum()
         assert abs(got["weighted_mean"][i] - mean) < 1e-8 and abs(got["weighted_std"][i] - np.sqrt((w * (x - mean) ** 2).sum() / w.sum())) < 1e-5
+
+
+def test_blend_as_of_each_date_by_brute_force(spark):
+    """Three signals, missing values, an instrument with gaps, residuals told after the window has passed, and a young history."""
+    from tidepanel.operators.blend import blend_as_of, blend_factors
+
+    r = np.random.default_rng(8)
+    dates = pd.bdate_range("2024-01-01", periods=40).date
+    rows = [(i, d, *r.normal(size=3)) for i in range(12) for d in dates if not (i == 3 and 5 < dates.tolist().index(d) < 32)]
+    sig = pd.DataFrame(rows, columns=["instrument", "date", "a", "b", "c"])
+    sig["b"] += 0.5 * sig["a"]
+    sig.loc[r.random(len(sig)) < 0.05, "c"] = np.nan
+    res = pd.DataFrame([(i, d, r.normal()) for i in range(12) for d in dates if r.random() > 0.1 and not (i == 3 and 5 < dates.tolist().index(d) < 32)], columns=["instrument", "date", "residual"])
+    res.loc[5, "residual"] = np.nan
+    window, least, names = 10, 6, ["a", "b", "c"]
+    history, current = sig[sig["date"] < dates[35]], sig[sig["date"] >= dates[20]]
+    plain = lambda df: spark.createDataFrame(df).replace(float("nan"), None)
+    factors = blend_factors(plain(history), plain(res), names, window, least)
+    got = {(x["instrument"], x["date"]): (x["as_of"], x["alpha"]) for x in blend_as_of(plain(current), factors, names).collect()}
+
+    full = history.dropna()
+    nxt = res.dropna().sort_values(["instrument", "date"])
+    nxt = nxt.assign(next=nxt.groupby("instrument")["residual"].shift(-1), told=nxt.groupby("instrument")["date"].shift(-1)).dropna()
+    days = sorted(full["date"].unique())
+    want = {}
+    for d in sorted(current["date"].unique()):
+        for as_of in [x for x in reversed(days) if x <= d]:
+            last = [x for x in days if x <= as_of][-window:]
+            m = full[full["date"].isin(last)]
+            p = m.merge(nxt, on=["instrument", "date"])
+            p = p[p["told"] <= as_of]
+            if p["date"].nunique() < least:
+                continue
+            mean, lower = m[names].mean().to_numpy(), np.linalg.cholesky(np.cov(m[names].to_numpy(), rowvar=False) + 1e-10 * np.eye(3))
+            y = np.linalg.solve(lower, (p[names].to_numpy() - mean).T)
+            ic = np.array([np.corrcoef(v, p["next"])[0, 1] for v in y])
+            today = current[current["date"] == d].dropna()
+            alpha = np.linalg.solve(lower, (today[names].to_numpy() - mean).T).T @ ic
+            want |= {(i, d): (as_of, a) for i, a in zip(today["instrument"], alpha)}
+            break
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

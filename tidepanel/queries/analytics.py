@@ -384,6 +384,36 @@ def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.orthogonal_blend(compile_panel(panels.daily_bars(spark, sf_dir), _BLEND), ["a", "b", "c"], "nxt"), 5)
 
 
+_AS_OF = {"a": "$close / Ref($close, 3) - 1", "b": "Std($close, 5) / Mean($close, 5)"}
+_AS_OF_RESIDUAL = {"residual": "$close / Ref($close, 1) - 1"}
+
+
+@query(
+    "alp12_19_blend_as_of",
+    f"""
+with p as (select * from ({panel_sql(K, _AS_OF)}) where a is not null and b is not null),
+h as (select * from p where date < date '1998-06-01'),
+e as (select instrument, date, lead(residual) over o as next, lead(date) over o as told from ({panel_sql(K, _AS_OF_RESIDUAL)}) where residual is not null window o as (partition by instrument order by date)),
+d as (select date, row_number() over (order by date) as i from (select distinct date from h)),
+w as (select x.date as as_of, x.i, y.date from d x join d y on y.i > x.i - 24 and y.i <= x.i),
+s as (select as_of, avg(a) as ma, avg(b) as mb, sqrt(var_samp(a) + 1e-10) as l11, covar_samp(a, b) / sqrt(var_samp(a) + 1e-10) as l21, var_samp(b) + 1e-10 as bb from w join h using (date) group by as_of),
+f as (select *, sqrt(bb - l21 * l21) as l22 from s),
+y as (select as_of, h.date, next, (a - ma) / l11 as u, (b - mb - l21 * (a - ma) / l11) / l22 as v from w join h using (date) join e using (instrument, date) join f using (as_of) where next is not null and told <= as_of),
+g as (select as_of, corr(u, next) as gu, corr(v, next) as gv, count(distinct date) as n from y group by as_of having count(distinct date) >= 12),
+c as (select p.instrument, p.date, p.a, p.b, max(g.as_of) as as_of from p join g on g.as_of <= p.date group by all)
+select instrument, date, as_of, round(gu * (a - ma) / l11 + gv * (b - mb - l21 * (a - ma) / l11) / l22, 5) + 0.0 as alpha from c join f using (as_of) join g using (as_of)
+""",
+)
+def blend_of_each_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALP12-ALP19: factor and weights of each date from 24 dates up to it; the history ends before the current days do, which take its newest factor."""
+    from tidepanel.operators.blend import blend_as_of, blend_factors
+
+    k = panels.classified_bars(spark, sf_dir)
+    signals = compile_panel(k, _AS_OF)
+    factors = blend_factors(signals.where("date < date '1998-06-01'"), compile_panel(k, _AS_OF_RESIDUAL), ["a", "b"], window=24, min_dates=12)
+    return rounded(blend_as_of(signals, factors, ["a", "b"]), 5)
+
+
 @query("pfo03_benchmark_neutral", rounded_sql(f"with k as (select instrument, date, close / nullif(open, 0) - 1 as alpha, 1.0 + volume / 1000 as beta, circ_mv / sum(circ_mv) over (partition by date) as b from ({K})) select instrument, date, alpha - beta * sum(b * alpha) over (partition by date) as alpha_n from k", "alpha_n", "instrument, date"))
 def benchmark_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PFO03: alpha without the benchmark's own."""

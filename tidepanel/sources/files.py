@@ -47,3 +47,10 @@ def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str])
     version = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     write_frame(upsert(read_frame(spark, path), new, keys), version)
     return version
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` by way of Parquet in the shared scratch folder: worked out once, however often it is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
