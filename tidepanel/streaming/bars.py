@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,3 +71,21 @@ def drain(stream: DataFrame, mode: str = "complete", keys: list[str] | None = No
         return spark.read.schema(schema).parquet(out)
     said = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(out)
     return (keep_last(said, keys, [F.col("batch")]) if mode == "update" and keys else said).drop("batch")
+
+
+def drain_in_parts(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """The last word for each key of an updating stream whose input comes in ``parts``.
+
+    The query ends after each part and goes on from its checkpoint with the next,
+    as after a restart.  A batch that is run again writes over its own folder.
+    """
+    spark = parts[0].sparkSession
+    into, out, at = scratch(spark, "stream-in"), scratch(spark, "stream-out"), scratch(spark, "stream-state")
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{into}/part={i}")
+        told = make(spark.readStream.schema(parts[0].schema).parquet(f"{into}/part=*"))
+        schema = told.schema
+        put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        told.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    said = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(out)
+    return keep_last(said, keys, [F.col("batch")]).drop("batch")
