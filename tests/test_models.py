@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import cross, desk, exposure, report, research, shaping, styles
+from tidepanel.operators import cross, desk, exposure, report, research, shaping, structured, styles
 from tidepanel.sources import results, vendor
 from tidepanel.sources.files import scratch
 
@@ -72,30 +72,76 @@ def test_risk_models_agree_in_shape(spark):
         assert all(x.d > 0 for x in d.where("d is not null").collect()) and e.groupBy("instrument").count().where("count <> 4").count() == 0
 
 
-def test_optimum_meets_its_conditions():
+def factor_book(spark, sizes, k=4, seed=2):
+    """Books of several portfolios with NumPy's view of each: (frames, {portfolio: (alpha, V, current, benchmark, instruments)})."""
+    r = np.random.default_rng(seed)
+    root = r.normal(size=(k, k))
+    f = 0.02 * root @ root.T
+    rows, xs, plain = [], [], {}
+    for p, n in sizes.items():
+        x, alpha, d, held = r.normal(size=(n, k)), r.normal(0, 0.05, n), r.uniform(0.02, 0.1, n), r.uniform(0, 0.02, n)
+        held -= held.mean()
+        ids = [f"{p}{i}" for i in range(n)]
+        rows += [(p, i, float(a), float(v), float(c), 1 / n) for i, a, v, c in zip(ids, alpha, d, held)]
+        xs += [(i, f"f{j}", float(x[m, j])) for m, i in enumerate(ids) for j in range(k)]
+        plain[p] = alpha, x @ f @ x.T + np.diag(d), held, np.full(n, 1 / n), ids
+    book = spark.createDataFrame(rows, "portfolio string, instrument string, alpha double, d double, current double, benchmark double").repartition(3)
+    cov = spark.createDataFrame([(f"f{i}", f"f{j}", float(f[i, j])) for i in range(k) for j in range(k)], "i string, j string, v double")
+    return (book, spark.createDataFrame(xs, "instrument string, factor string, x double"), cov), plain
+
+
+def by_portfolio(df, plain):
+    got = {(x["portfolio"], x["instrument"]): x["h"] for x in df.collect()}
+    assert len(got) == sum(len(v[-1]) for v in plain.values())
+    return {p: np.array([got[p, i] for i in v[-1]]) for p, v in plain.items()}
+
+
+@pytest.mark.parametrize("buy, sell, cap, turn", [(0.0, 0.0, 1.0, 10.0), (0.002, 0.003, 0.06, 10.0), (0.002, 0.003, 0.06, 0.2), (0.5, 0.5, 0.06, 10.0)])
+def test_optimum_meets_its_conditions(spark, buy, sell, cap, turn):
+    """Two portfolios: limits kept, and no feasible move between two names is better; with high costs nothing moves."""
     r = np.random.default_rng(2)
-    n = 25
-    x = r.normal(size=(n, 4))
-    v = desk.well_conditioned(x @ np.diag([0.04, 0.02, 0.01, 0.01]) @ x.T + np.diag(r.uniform(0.02, 0.1, n)))
-    alpha, b = r.normal(0, 0.05, n), np.full(n, 1 / n)
-    held = r.uniform(0, 0.02, n)
-    held -= held.mean()
-    for buy, sell, cap, turn in ((0.0, 0.0, 1.0, 10.0), (0.002, 0.003, 0.06, 10.0), (0.002, 0.003, 0.06, 0.2)):
-        h = desk.optimise_active(alpha, v, held, b, 5.0, buy, sell, cap, turn)
-        assert abs(h.sum()) < 1e-6 and (h >= -b - 1e-6).all() and (h <= cap + 1e-6).all() and np.abs(h - held).sum() <= turn + 1e-5
+    frames, plain = factor_book(spark, {"a": 25, "b": 60})
+    for p, h in by_portfolio(structured.optimised(*frames, "portfolio", 5.0, buy, sell, cap, turn), plain).items():
+        alpha, v, held, b, _ = plain[p]
+        assert abs(h.sum()) < 1e-7 and (h >= -b - 1e-12).all() and (h <= cap + 1e-12).all() and np.abs(h - held).sum() <= turn + 1e-7
+        assert np.allclose(h, held, atol=1e-12) == (buy == 0.5)
         cost = lambda z: 5 * z @ v @ z - alpha @ z + buy * np.maximum(z - held, 0).sum() + sell * np.maximum(held - z, 0).sum()  # noqa: B023, E731
         best = cost(h)
-        for _ in range(3000):  # no feasible move between two names or towards another point is better
-            i, j = r.integers(0, n, 2)
+        for _ in range(3000):
+            i, j = r.integers(0, len(h), 2)
             z = h.copy()
             step = r.uniform(0, 0.01)
             z[i] += step
             z[j] -= step
             if (z >= -b).all() and (z <= cap).all() and np.abs(z - held).sum() <= turn:
-                assert cost(z) >= best - 1e-7
+                assert cost(z) >= best - 1e-9
+
+
+def test_optimum_by_equations(spark):
+    """Without costs and limits that bind, the optimum solves the linear system of its multiplier."""
+    frames, plain = factor_book(spark, {"a": 40})
+    h = by_portfolio(structured.optimised(frames[0].withColumn("benchmark", F.lit(99.0)), *frames[1:], "portfolio", 5.0, 0.0, 0.0, 99.0, 1e6), plain)["a"]
+    alpha, v, *_ = plain["a"]
+    x, one = np.linalg.solve(10 * v, alpha), np.linalg.solve(10 * v, np.ones(40))
+    assert np.allclose(h, x - one * x.sum() / one.sum(), atol=1e-9)
+
+
+def test_factor_structure_is_checked(spark):
+    (book, x, cov), _ = factor_book(spark, {"a": 5}, k=2)
     with pytest.raises(ValueError, match="eigenvalue"):
-        desk.well_conditioned(np.diag([1.0, -0.1]))
-    assert np.linalg.cond(desk.well_conditioned(np.diag([1.0, 1e-12]))) < 1e7
+        structured.optimised(book, x, cov.withColumn("v", -F.col("v")), "portfolio")
+    with pytest.raises(ValueError, match="met"):
+        structured.optimised(book.withColumn("current", F.lit(0.5)), x, cov, "portfolio", turnover=0.01, cap=1.0)
+
+
+def test_inverse_by_identity(spark):
+    frames, plain = factor_book(spark, {"a": 12, "b": 30})
+    least = by_portfolio(structured.minimum_variance(*frames, "portfolio"), plain)
+    best = by_portfolio(structured.tangency(*frames, "portfolio", "alpha"), plain)
+    for p, (alpha, v, *_) in plain.items():
+        for got, rhs in ((least[p], np.ones(len(alpha))), (best[p], alpha)):
+            x = np.linalg.solve(v, rhs)
+            assert np.allclose(got, x / x.sum(), rtol=1e-7)
 
 
 def test_factor_neutral_alpha_matches_the_plain_form(spark):

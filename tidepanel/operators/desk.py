@@ -1,9 +1,8 @@
-"""From signals to positions: the alpha engine, the aligned book, the optimiser with costs, and what is stored of them."""
+"""From signals to positions: the alpha engine, the aligned book, and what is stored of them."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,87 +102,6 @@ def factor_neutral(alpha: DataFrame, exposure: DataFrame, specific: DataFrame, r
     return left, factors
 
 
-def well_conditioned(v: np.ndarray, most: float = 1e8, least: float = 1e-6) -> np.ndarray:
-    """``v`` with a ridge where its condition number or smallest eigenvalue asks for one; an error where an eigenvalue is below zero."""
-    vals = np.linalg.eigvalsh(v)
-    if vals[0] < -1e-12 * max(1.0, vals[-1]):
-        raise ValueError(f"the smallest eigenvalue is {vals[0]:.2e}")
-    if vals[-1] / max(vals[0], 1e-15) > most or vals[0] < least:
-        v = v + max(least - vals[0], least) * np.eye(len(v))
-    return v
-
-
-def optimise_active(alpha: np.ndarray, v: np.ndarray, current: np.ndarray, benchmark: np.ndarray, risk_aversion: float, buy: float, sell: float, cap: float, turnover: float, rounds: int = 20_000, tolerance: float = 1e-9) -> np.ndarray:
-    """argmin risk_aversion h'Vh - a'h + buy b + sell s over active weights h = current + b - s.
-
-    h sums to zero, lies between -benchmark and ``cap``, and b + s stays within
-    ``turnover``.  Alternating directions over (h, trade): the quadratic step is one factorised
-    system, the rest are projections and a shrinkage of trades.
-    """
-    n = len(alpha)
-    rho = max(2 * risk_aversion * float(np.trace(v)) / n, 1e-6)
-    ones = np.ones(n)
-    inv = np.linalg.inv(2 * risk_aversion * v + 2 * rho * np.eye(n))
-    along = inv @ ones
-    low, high = -benchmark, np.full(n, cap)
-    z1 = z2 = current.copy()
-    u1 = u2 = np.zeros(n)
-
-    def traded(x: np.ndarray) -> np.ndarray:
-        """Closest point of x to costs of trades, with their sum bounded."""
-        d = x - current
-
-        def shrunk(extra: float) -> np.ndarray:
-            return np.maximum(d - (buy + extra) / rho, 0) - np.maximum(-d - (sell + extra) / rho, 0)
-
-        t = shrunk(0.0)
-        if np.abs(t).sum() > turnover:
-            a, b = 0.0, rho * float(np.abs(d).max())
-            for _ in range(80):
-                mid = (a + b) / 2
-                a, b = (mid, b) if np.abs(shrunk(mid)).sum() > turnover else (a, mid)
-            t = shrunk(b)
-        return current + t
-
-    for _ in range(rounds):
-        q = alpha + rho * (z1 - u1 + z2 - u2)
-        h = inv @ q
-        h -= along * (h.sum() / along.sum())
-        old1, old2 = z1, z2
-        z1 = np.clip(h + u1, low, high)
-        z2 = traded(h + u2)
-        u1, u2 = u1 + h - z1, u2 + h - z2
-        if max(np.abs(h - z1).max(), np.abs(h - z2).max(), np.abs(z1 - old1).max(), np.abs(z2 - old2).max()) < tolerance:
-            break
-    return h
-
-
-def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float = 5.0, buy: float = 0.001, sell: float = 0.002, cap: float = 0.05, turnover: float = 0.5) -> DataFrame:
-    """(by, instrument, h) of active weights, one optimisation per portfolio ``by`` in a task of its own.
-
-    ``book`` is (by, instrument, alpha, d, current, benchmark).  A portfolio's names
-    are hundreds or thousands, its covariance is made in the task from exposures and
-    the factors' covariance (tens of rows, sent along).
-    """
-    names = sorted({r["i"] for r in cov.select("i").distinct().collect()})
-    place = {f: k for k, f in enumerate(names)}
-    f = np.zeros((len(names), len(names)))
-    for r in cov.collect():
-        f[place[r["i"]], place[r["j"]]] = r["v"]
-    x = exposure.where(F.col("factor").isin(names)).groupBy("instrument").agg(F.map_from_entries(F.collect_list(F.struct("factor", "x"))).alias("xs"))
-    rows = book.join(x, "instrument")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("instrument").reset_index(drop=True)
-        e = np.array([[float(dict(m).get(k) or 0.0) for k in names] for m in pdf["xs"]])
-        v = well_conditioned(e @ f @ e.T + np.diag(pdf["d"].to_numpy(float)))
-        h = optimise_active(pdf["alpha"].to_numpy(float), v, pdf["current"].to_numpy(float), pdf["benchmark"].to_numpy(float), risk_aversion, buy, sell, cap, turnover)
-        return pd.DataFrame({by: pdf[by], "instrument": pdf["instrument"], "h": h})
-
-    kinds = {k: book.schema[k].dataType.simpleString() for k in (by, "instrument")}
-    return rows.select(by, "instrument", "alpha", "d", "current", "benchmark", "xs").groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, instrument {kinds['instrument']}, h double")
-
-
 def booked(orders: DataFrame, position: DataFrame, total_value: Column | float) -> DataFrame:
     """``orders`` (portfolio, instrument, side, shares, price) as they are stored: sells capped at the holding and negative, the new holding, and the portfolio's cash."""
     held = F.coalesce("held", F.lit(0))

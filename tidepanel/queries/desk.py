@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.operators import cross, desk, rolling
+from tidepanel.operators import cross, desk, rolling, structured
 from tidepanel.queries.analytics import _BOOK, _book
 from tidepanel.queries.base import query, rounded, rounded_sql
 from tidepanel.sources import panels, results
@@ -100,11 +100,42 @@ def optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _today(spark, sf_dir).withColumn("portfolio", F.when(F.col("instrument") % 2 == 0, "even").otherwise("odd"))
     share = F.try_divide("circ_mv", F.sum("circ_mv").over(W.partitionBy("portfolio")))
     book = t.join(d, "instrument").select("portfolio", "instrument", F.col("close").alias("price"), (F.try_divide("close", "open") - 1).alias("alpha"), "d", F.lit(0.0).alias("current"), share.alias("benchmark"))
-    h = desk.optimised(book, e, f, "portfolio")
+    h = structured.optimised(book, e, f, "portfolio")
     out = desk.trades_from(book.join(h, ["portfolio", "instrument"]).select("portfolio", "instrument", "price", "h", "current"), 1e7)
     return out.select("instrument", F.round("target", 6).alias("h"), "side", "shares")
 
 
+_TWO = f"""
+with b as ({K}), t as (select industry as portfolio, instrument, ln(circ_mv) as x, 0.04 + circ_mv / 1e6 as d, 0.02 + volume / 1000 as excess from b where date = (select max(date) from b) and circ_mv > 0),
+r as (select t.*, RHS as r from t),
+s as (select portfolio, sum(1 / d) + 11.25 as m11, sum(x / d) - 1.25 as m12, sum(x * x / d) + 11.25 as m22, sum(r / d) as b1, sum(x * r / d) as b2 from r group by 1),
+u as (select portfolio, (m22 * b1 - m12 * b2) / (m11 * m22 - m12 * m12) as c1, (m11 * b2 - m12 * b1) / (m11 * m22 - m12 * m12) as c2 from s),
+v as (select portfolio, instrument, (r - c1 - x * c2) / d as v from r join u using (portfolio))
+select portfolio, instrument, round(v / sum(v) over (partition by portfolio), 6) + 0.0 as h from v
+"""
+
+
+def _two_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Books by industry on the last date, under a market and a size factor."""
+    t = _today(spark, sf_dir).where("circ_mv > 0")
+    book = t.select(F.col("industry").alias("portfolio"), "instrument", (0.04 + F.col("circ_mv") / 1e6).alias("d"), (0.02 + F.col("volume") / 1000).alias("excess"))
+    e = t.select("instrument", F.lit("market").alias("factor"), F.lit(1.0).alias("x")).unionByName(t.select("instrument", F.lit("size").alias("factor"), F.ln("circ_mv").alias("x")))
+    cov = spark.createDataFrame([(a, b, 0.09 if a == b else 0.01) for a in ("market", "size") for b in ("market", "size")], "i string, j string, v double")
+    return book, e, cov
+
+
+@query("ops19_minimum_variance", _TWO.replace("RHS", "1.0"))
+def minimum_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OPS19: fully invested weights of least variance for each industry's names, by Woodbury's identity."""
+    return rounded(structured.minimum_variance(*_two_factors(spark, sf_dir), "portfolio"))
+
+
+@query("ops20_tangency", _TWO.replace("RHS", "excess"))
+def tangency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OPS20: fully invested weights of the best ratio of excess return to risk for each industry's names."""
+    return rounded(structured.tangency(*_two_factors(spark, sf_dir), "portfolio", "excess"))
+
+
 @query(
     "src53_booked_orders",
     f"with k as (select instrument, date, close, row_number() over (partition by date order by instrument) as n from ({M})), o as (select cast(date as varchar) as portfolio, instrument, close as price, case when n % 2 = 0 then 'sell' else 'buy' end as side, cast(n * 10 as bigint) as shares, cast(case when n % 3 = 0 then 15 when n % 3 = 1 then 1000 end as bigint) as held from k), t as (select *, case when side = 'sell' then -least(shares, coalesce(held, 0)) else shares end as trade_shares from o) select portfolio, instrument, side, round(price, 8) as price, trade_shares, coalesce(held, 0) + trade_shares as hold_shares, round(1e8 - sum((coalesce(held, 0) + trade_shares) * price) over (partition by portfolio), 2) + 0.0 as cash from t",
