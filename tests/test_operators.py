@@ -316,3 +316,31 @@ def test_blend_as_of_each_date_by_brute_force(spark):
             break
     assert got.keys() == want.keys() and len(want) > 100
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("tile", [3, 128])
+def test_correlations_of_all_pairs_by_brute_force(spark, monkeypatch, tile):
+    """Missing values, constants, a pair without common rows, large offsets; tiles smaller than the columns."""
+    from tidepanel.operators import gram
+
+    monkeypatch.setattr(gram, "TILE", tile)
+    monkeypatch.setattr(gram, "FANS", (3, 2))
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 8))
+    x[:, 1] += x[:, 0]
+    x[:, 2] = 1e7 + 0.1 * x[:, 2] - 0.1 * x[:, 0]
+    x[:, 3] = 5.0
+    x[r.random(x.shape) < 0.2] = np.nan
+    x[::2, 4] = np.nan
+    x[1::2, 5] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdefgh"))).replace(float("nan"), None).repartition(7)
+    got = {(p["a"], p["b"]): (p["n"], p["corr"]) for p in gram.correlation_pairs(df, list("abcdefgh")).collect()}
+    assert len(got) == 28
+    for (i, j), (n, corr) in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert n == both.sum()
+        if n < 2 or 3 in (i, j):
+            assert corr is None
+        else:
+            assert abs(corr - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    assert gram.correlation_pairs(df.limit(0), ["a", "b"]).count() == 0

@@ -11,10 +11,12 @@ import json
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators.cross import information_coefficients, safe_corr
+from tidepanel.operators.cross import information_coefficients
+from tidepanel.operators.gram import correlation_pairs
 from tidepanel.plans.expression import Call, ExpressionError, Field, Node, Num, check, compile_panel, parse
 
 _UNARY = ("Abs", "Sign")
@@ -177,15 +179,14 @@ class Search:
         return sorted(((e, f) for e, f in self.known.items() if f > 0), key=lambda x: -x[1])
 
 
-def correlations(panel: DataFrame, exprs: list[str], where: Column | None = None) -> dict[tuple[int, int], float]:
-    """|correlation| of all pairs of expressions, as one row of aggregates."""
-    p = compile_panel(panel, {f"e{i}": e for i, e in enumerate(exprs)})
-    p = p if where is None else p.where(where)
-    pairs = [(i, j) for i in range(len(exprs)) for j in range(i)]
-    if not pairs:
-        return {}
-    row = p.agg(*(safe_corr(F.col(f"e{i}"), F.col(f"e{j}")).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    return {(i, j): abs(row[f"c{i}_{j}"] or 0.0) for i, j in pairs}
+def correlations(panel: DataFrame, exprs: list[str], where: Column | None = None) -> np.ndarray:
+    """|correlation| of all pairs of expressions, from one pass over the panel; 0 where there is none.  A number for each pair is the driver's."""
+    out = np.zeros((len(exprs), len(exprs)))
+    if len(exprs) > 1:
+        p = compile_panel(panel, {f"e{i}": e for i, e in enumerate(exprs)})
+        told = correlation_pairs(p if where is None else p.where(where), [f"e{i}" for i in range(len(exprs))]).where("corr is not null").toPandas()
+        out[told["a"], told["b"]] = out[told["b"], told["a"]] = told["corr"].abs()
+    return out
 
 
 def uncorrelated(panel: DataFrame, ranked: list[str], most: float = 0.7, where: Column | None = None) -> list[str]:
@@ -193,6 +194,6 @@ def uncorrelated(panel: DataFrame, ranked: list[str], most: float = 0.7, where:
     c = correlations(panel, ranked, where)
     kept: list[int] = []
     for i in range(len(ranked)):
-        if all(c[(max(i, j), min(i, j))] < most for j in kept):
+        if all(c[i, j] < most for j in kept):
             kept.append(i)
     return [ranked[i] for i in kept]

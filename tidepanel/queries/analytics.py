@@ -475,6 +475,20 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ic.withColumn("kept", F.col("expr").isin([k for k, e in _SCREENED.items() if e in kept])))
 
 
+_MANY = {f"m{n}": f"$close / Mean($close, {n}) - 1" for n in (3, 5, 10)} | {f"v{n}": f"Std($volume, {n})" for n in (5, 10)} | {f"r{n}": f"If($close > $open, Ref($close, {n}), Ref($close, {n}) / ($volume - $volume))" for n in (1, 4)}
+
+
+@query(
+    "gps28_correlation_matrix",
+    f"with p as ({panel_sql(D, _MANY)}), k as ({' union all '.join(f'''select {i} as a, {j} as b, count(*) filter (where {a} is not null and {b} is not null) as n, case when stddev_samp(case when {b} is not null then {a} end) * stddev_samp(case when {a} is not null then {b} end) > 1e-12 then corr({a}, {b}) end as corr from p''' for i, a in enumerate(_MANY) for j, b in enumerate(_MANY) if i > j)}) select a::int as a, b::int as b, n, round(corr, 6) + 0.0 as corr from k",
+)
+def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS28-GPS29: correlations of all pairs of expressions over the rows that have both, by blocked matrix products."""
+    from tidepanel.operators.gram import correlation_pairs
+
+    return rounded(correlation_pairs(compile_panel(panels.daily_bars(spark, sf_dir), _MANY), list(_MANY)))
+
+
 @query("mlb01_09_sequences", f"with p as (select instrument, date, close, row_number() over (partition by instrument order by date) as rn, list(close) over (partition by instrument order by date rows between 4 preceding and current row) as seq, lead(close, 2) over (partition by instrument order by date) / nullif(lead(close, 1) over (partition by instrument order by date), 0) - 1 as label from ({D})) select instrument, date, case when date < date '2024-01-16' then 'train' when date < date '2024-01-23' then 'valid' else 'test' end as segment, round(list_sum(seq), 6) as total, round(label, 6) + 0.0 as label from p where rn >= 5")
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLB01-MLB09, MLB20-MLB21: fixed-length sequences per row with a label and its segment by date."""
