@@ -344,3 +344,29 @@ def test_correlations_of_all_pairs_by_brute_force(spark, monkeypatch, tile):
         else:
             assert abs(corr - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
     assert gram.correlation_pairs(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_many_series_against_one_by_one(spark):
+    """Unit roots, orders, coefficients and next values of series of several lengths and levels, as the NumPy form gives them one by one."""
+    from tidepanel.operators import arma
+
+    r = np.random.default_rng(12)
+    made = {}
+    for k, n in enumerate((80, 100, 150, 260, 90, 70)):
+        e, y = r.normal(size=n), np.zeros(n)
+        for t in range(1, n):
+            y[t] = [0.6, 0.0, 0.9, 1.0, -0.4, 0.3][k] * y[t - 1] + e[t] + [0.0, 0.5, 0.3, 0.0, 0.2, -0.5][k] * e[t - 1]
+        made[f"s{k}"] = y + 100.0 * k
+    rows = [(k, i, float(v)) for k, y in made.items() for i, v in enumerate(y)] + [("s0", -1, None), ("short", 0, 1.0), ("short", 1, 3.0), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "key string, date int, y double").repartition(4)
+    roots = {x["key"]: x for x in arma.unit_roots(df, "key").collect()}
+    models = {x["key"]: x for x in arma.arma_models(df, "key").collect()}
+    levels = {x["key"]: x["level"] for x in arma.next_levels(df, "key").collect()}
+    for k, y in made.items():
+        t, lags, critical = series.adf(y)
+        assert roots[k]["lags"] == lags and abs(roots[k]["t"] - t) < 1e-6 and abs(roots[k]["critical_5"] - critical[0.05]) < 1e-12
+        m = series.select_arma(y)
+        assert (models[k]["ar"], models[k]["ma"]) == (len(m.ar), len(m.ma)) and abs(models[k]["bic"] - m.bic) < 1e-8
+        np.testing.assert_allclose([models[k]["const"], *models[k]["ar_coefs"], *models[k]["ma_coefs"]], [m.const, *m.ar, *m.ma], rtol=1e-6, atol=1e-6)
+        assert abs(models[k]["forecast"] - m.forecast(1)[0]) < 1e-6 and abs(levels[k] - series.next_level(y)) < 1e-6
+    assert models["short"]["ar"] is None and levels["short"] == 2.0 and models["none"]["n"] == 0 and "none" not in levels

@@ -21,6 +21,11 @@ def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return beta, np.sqrt(np.diag(np.linalg.pinv(x.T @ x)) * s2), float(e @ e)
 
 
+def critical_values(n: int) -> dict[float, float]:
+    """Critical values of the t statistic by level, for n changes."""
+    return {p: a + b / n + c / n**2 for p, (a, b, c) in _CRITICAL.items()}
+
+
 def adf(y: np.ndarray, most_lags: int | None = None) -> tuple[float, int, dict[float, float]]:
     """(t statistic, lags by BIC, critical values) with a constant."""
     y = np.asarray(y, float)
@@ -35,8 +40,7 @@ def adf(y: np.ndarray, most_lags: int | None = None) -> tuple[float, int, dict[f
         bic = len(rows) * np.log(max(rss, 1e-300) / len(rows)) + x.shape[1] * np.log(len(rows))
         if best is None or bic < best[0]:
             best = (bic, lags, float(beta[1] / se[1]) if se[1] > 0 else 0.0)
-    n = len(d)
-    return best[2], best[1], {p: a + b / n + c / n**2 for p, (a, b, c) in _CRITICAL.items()}
+    return best[2], best[1], critical_values(len(d))
 
 
 @dataclass(frozen=True)

@@ -301,6 +301,28 @@ def specific_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.forecast_specific_variance(r, x, ["size", "liquidity"]))
 
 
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.monthly_bars(spark, sf_dir).select("instrument", "date", F.try_divide("close", "open").alias("y"))
+
+
+@query("rsk29_unit_roots", f"with p as (select instrument, date, close / nullif(open, 0) as y from ({M})), d as (select instrument, y - lag(y) over o as d, lag(y) over o as x from p where y is not null window o as (partition by instrument order by date)), s as (select instrument, count(*) as m, regr_slope(d, x) as b, regr_sxx(d, x) as sxx, regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x) as rss from d where x is not null group by 1) select instrument, m + 1 as n, 0 as lags, round(b / sqrt(rss / (m - 2) / sxx), 5) + 0.0 as t, round(-2.86154 - 2.8903 / m - 4.234 / (m * m), 5) + 0.0 as critical_5 from s where m >= 3")
+def unit_root_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSK29: Dickey-Fuller t of every instrument's series, from cross moments by key (lags by BIC: rsk27_32_series_models)."""
+    from tidepanel.operators import arma
+
+    return rounded(arma.unit_roots(_moves(spark, sf_dir), "instrument", 0).where("t is not null"), 5)
+
+
+@query("rsk27_32_series_models")
+def series_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSK27, RSK29-RSK32: lags, order, coefficients and next value of every instrument's series (checked against the form for one series in tests)."""
+    from tidepanel.operators import arma
+
+    p = _moves(spark, sf_dir)
+    models = arma.arma_models(p, "instrument").join(arma.unit_roots(p, "instrument").drop("n"), "instrument", "left")
+    return rounded(models.drop("ar_coefs", "ma_coefs").join(arma.next_levels(p, "instrument"), "instrument", "left"))
+
+
 _WLS = f"""
 with x as (select instrument, date, industry, circ_mv, sqrt(circ_mv) as w, close / open - 1 as r, ln(circ_mv) as s from ({K}) where circ_mv > 0 and open > 0),
 m as (select *, sum(w * r) over g / sum(w) over g as mr, sum(w * s) over g / sum(w) over g as ms from x window g as (partition by date, industry)),
