@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -136,6 +138,53 @@ ARITY = {
 _BOOL = {"Gt", "Lt", "Ge", "Le", "Eq", "Ne", "And", "Or", "Not"}
 
 
+@dataclass(frozen=True)
+class Operator:
+    """A user's operator: so many series arguments and literal whole numbers or fractions behind them.
+
+    ``lower(series, literals, duck)`` gives SQL over columns for Spark or, with ``duck``, DuckDB.  A
+    ``windowed`` one is a window expression by instrument and date (``frame`` makes its OVER clause) and may not nest, a plain one is a scalar.
+    ``back`` and ``ahead`` say from the literals how many rows before and behind the
+    current one it reads (-1 back: all); ``condition``: it gives a truth value; ``conditions``: it takes them.
+    """
+
+    series: int
+    literals: int
+    lower: Callable[[list[str], list[float], bool], str]
+    windowed: bool = True
+    back: Callable[[list[float]], int] = lambda lits: 0
+    ahead: Callable[[list[float]], int] = lambda lits: 0
+    condition: bool = False
+    conditions: bool = False
+
+
+_OWN: dict[str, Operator] = {}
+
+
+def frame(before: int | None, after: int = 0) -> str:
+    """OVER clause of the rows from ``before`` rows back (None: the first) to ``after`` rows ahead, for windowed operators."""
+    low = "UNBOUNDED PRECEDING" if before is None else f"{before} PRECEDING"
+    return f"OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN {low} AND {f'{after} FOLLOWING' if after else 'CURRENT ROW'})"
+
+
+@contextmanager
+def operators(**own: Operator) -> Iterator[None]:
+    """User's operators by name, known to parsing, checks, extents and both lowerings within the block."""
+    taken = own.keys() & (ARITY.keys() | _OWN.keys())
+    if taken:
+        raise ExpressionError(f"operators are known already: {sorted(taken)}")
+    _OWN.update(own)
+    try:
+        yield
+    finally:
+        for name in own:
+            del _OWN[name]
+
+
+def _arity(op: str) -> tuple[int, int]:
+    return (_OWN[op].series, _OWN[op].literals) if op in _OWN else ARITY[op]
+
+
 def check(node: Node, search: bool = False) -> None:
     """Arity, literals and types; with ``search`` also the rules for generated expressions.
 
@@ -144,15 +193,18 @@ def check(node: Node, search: bool = False) -> None:
     """
     if not isinstance(node, Call):
         return
-    if node.op not in ARITY:
+    if node.op not in ARITY and node.op not in _OWN:
         raise ExpressionError(f"unknown operator {node.op}")
-    series, literals = ARITY[node.op]
+    series, literals = _arity(node.op)
     if len(node.args) != series + literals:
         raise ExpressionError(f"{node.op} takes {series + literals} arguments, not {len(node.args)}")
     tail = node.args[series:]
     if not all(isinstance(a, Num) for a in tail):
         raise ExpressionError(f"{node.op}: window and quantile must be numbers")
-    if literals:
+    if node.op in _OWN:
+        if _OWN[node.op].conditions != all(map(is_bool, node.args[:series])) and _OWN[node.op].conditions:
+            raise ExpressionError(f"{node.op} takes conditions")
+    elif literals:
         n = tail[0].value
         if n != int(n) or (n < 0 and node.op != "Ref"):
             raise ExpressionError(f"{node.op}: window {n} must be a whole number of 0 or more")
@@ -178,7 +230,7 @@ _ROW = "row_number() OVER (PARTITION BY instrument ORDER BY date)"
 
 
 def is_bool(node: Node) -> bool:
-    return isinstance(node, Call) and node.op in _BOOL
+    return isinstance(node, Call) and (node.op in _BOOL or node.op in _OWN and _OWN[node.op].condition)
 
 
 def fields(node: Node) -> set[str]:
@@ -195,6 +247,11 @@ def extent(node: Node) -> tuple[int, int]:
     back, ahead = (-1 if any(b < 0 for b, _ in inner) else max(b for b, _ in inner)), max(a for _, a in inner)
     if node.op in ("CMean", "CStd", "LastValue", "EMA"):
         return -1, ahead
+    if node.op in _OWN:
+        own = _OWN[node.op]
+        lits = [a.value for a in node.args[own.series :]]
+        more = own.back(lits)
+        return (-1 if back < 0 or more < 0 else back + more), ahead + own.ahead(lits)
     series, literals = ARITY[node.op]
     if not literals:
         return back, ahead
@@ -235,20 +292,23 @@ class _Lowering:
             return f"CAST({node.value!r} AS DOUBLE)", 0
         if isinstance(node, Field):
             return node.name, 0
-        series, literals = ARITY[node.op]
+        series, literals = _arity(node.op)
+        own = _OWN.get(node.op)
         parts = [self.lower(a) for a in node.args[:series]]
         stage = max(s for _, s in parts)
         x = [sql for sql, _ in parts]
         for i, a in enumerate(node.args[:series]):
-            if is_bool(a) and node.op not in ("And", "Or", "Not") and not (node.op == "If" and i == 0):
+            if is_bool(a) and node.op not in ("And", "Or", "Not") and not (own and own.conditions) and not (node.op == "If" and i == 0):
                 x[i] = f"CAST({x[i]} AS DOUBLE)"
-        if not literals and node.op not in ("CMean", "CStd", "LastValue"):
+        if own and not own.windowed:
+            return f"({own.lower(x, [a.value for a in node.args[series:]], self.duck)})", stage
+        if not literals and not own and node.op not in ("CMean", "CStd", "LastValue"):
             return self.scalar(node.op, *x), stage
         lits = [a.value for a in node.args[series:]]
         if not all(isinstance(a, Field) for a in node.args[:series]):
             named = [self.put(sql, s) for sql, (_, s) in zip(x, parts)]
             x, stage = [n for n, _ in named], max(s for _, s in named)
-        return self.window(node.op, x, lits, stage)
+        return self.put(own.lower(x, lits, self.duck), stage) if own else self.window(node.op, x, lits, stage)
 
     @staticmethod
     def scalar(op: str, x: str, y: str = "", z: str = "") -> str:

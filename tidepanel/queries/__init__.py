@@ -6,7 +6,7 @@ import importlib
 
 from tidepanel.queries.base import ORACLES, QUERIES, Query
 
-_MODULES = ("expressions", "relational", "analytics", "streams", "styles", "models", "desk", "ingest", "research")
+_MODULES = ("expressions", "relational", "analytics", "streams", "styles", "models", "desk", "ingest", "research", "stores")
 
 
 def queries() -> dict[str, Query]:
