@@ -43,18 +43,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest doc_id.
+    """One document of each group of near duplicates: the one of the smallest doc_id, missing ones last.
 
-    Of rows that share both doc_id and text one stays; of rows that share the
-    smallest doc_id of a group with different texts all stay.  Texts meet the ids
-    that go, which are the fewer.
+    Rows are told apart by doc_id and the text's hash: of rows that share both one
+    stays, of a group's rows that share the smallest doc_id the one whose text's
+    hash is smallest.  Texts meet the rows that go, which are the fewer.
     """
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = jaccard_components(docs).groupBy("doc_id").agg(F.count(F.when(stays, 1)).alias("n"))
-    ids = written(ids.where("n <> 1"), "ids")
-    gone = ids.where("n = 0").select("doc_id")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").limit(1).count() else kept
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = jaccard_components(docs.select(own.alias("row"), "text"), "row")
+    stays = F.col("row") == F.col("component_id")
+    rows = found.groupBy("row").agg(F.count("*").alias("n"), F.first(stays).alias("stays"))
+    rows = written(rows.where("not stays or n > 1"), "rows")
+    gone = rows.where("not stays").select("row.id", "row.h")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["h"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if rows.where("stays").limit(1).count() else kept
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
