@@ -40,6 +40,16 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """A near copy goes though its id has another text too, and of one id's near copies one stays."""
+    text = lambda k: " ".join("w%d" % (i * k) for i in range(1, 90))
+    rows = [(1, text(3) + " x"), (5, text(3)), (5, text(7)), (9, text(11)), (9, text(11) + " y"), (None, text(13)), (None, text(13) + " z"), (2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 2, 2, 5, 9, None]
+    assert {r.text for r in got if r.doc_id in (1, 5)} == {text(3) + " x", text(7)}
+
+
 def plain_run(docs, items):
     """(doc_id, text) that the five stages leave, without labels: rules, three-line windows, near copies, leaks, round trip."""
     kept = []
