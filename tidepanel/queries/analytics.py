@@ -511,6 +511,21 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(correlation_pairs(compile_panel(panels.daily_bars(spark, sf_dir), _MANY), list(_MANY)))
 
 
+@query("gps01_27_search")
+def expression_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS01-GPS04, GPS12-GPS21, GPS25-GPS27, GPS48: two islands bred for two generations, saved after the first and taken up again (same seed, same result; the parts are checked in tests)."""
+    from tidepanel.plans.search import Search
+    from tidepanel.sources.files import scratch, written
+
+    bars = written(panels.daily_bars(spark, sf_dir), "bars")
+    make = lambda: Search(bars, "Ref($close, -2) / Ref($close, -1) - 1", ["$close", "$open", "$volume", "$high / $low"], islands=2, size=8, height=4, seed=3)
+    at, first, second = scratch(spark, "search"), make(), make()
+    first.run(1)
+    first.save(at)
+    second.load(at)
+    return rounded(spark.createDataFrame(second.run(2), "expr string, fitness double"))
+
+
 @query("mlb01_09_sequences", f"with p as (select instrument, date, close, row_number() over (partition by instrument order by date) as rn, list(close) over (partition by instrument order by date rows between 4 preceding and current row) as seq, lead(close, 2) over (partition by instrument order by date) / nullif(lead(close, 1) over (partition by instrument order by date), 0) - 1 as label from ({D})) select instrument, date, case when date < date '2024-01-16' then 'train' when date < date '2024-01-23' then 'valid' else 'test' end as segment, round(list_sum(seq), 6) as total, round(label, 6) + 0.0 as label from p where rn >= 5")
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLB01-MLB09, MLB20-MLB21: fixed-length sequences per row with a label and its segment by date."""

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.operators import cross, desk, rolling, structured
-from tidepanel.queries.analytics import _BOOK, _book
+from tidepanel.operators import cross, desk, rolling, structured, volatility
+from tidepanel.queries.analytics import _BOOK, _VOL, _book
 from tidepanel.queries.base import query, rounded, rounded_sql
 from tidepanel.sources import panels, results
-from tidepanel.sources.files import scratch
+from tidepanel.sources.files import scratch, written
 
 K, M = panels.CLASSIFIED_SQL, panels.MONTHLY_BARS_SQL
 #: dates of history that the tables can give
@@ -55,6 +55,33 @@ def alpha_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+# every fourth name is young, every eighth has no industry
+_YOUNG = f"select * replace (case when instrument % 8 = 0 then null else industry end as industry) from ({K}) where (instrument % 4 <> 0 or date >= date '1999-01-01') and circ_mv > 0 and open > 0 and volume > 0"
+_YOUNG_ENGINE = f"""
+with k as ({_YOUNG}), r as (select instrument, date, ln(volume) as g, close / open - 1 as residual from k),
+o as ({_VOL.replace(K, _YOUNG).replace("n <= 200", f"n <= {_DAYS}").replace("when circ_mv is not null", "when circ_mv is not null and industry is not null")}),
+d as (select date, row_number() over (order by date desc) as n from (select distinct date from r)),
+sd as (select instrument, stddev_samp(g) as sd from r join d using (date) where n <= {_DAYS} group by 1),
+f as (select count(*) as names, regr_r2(sd, omega) as r2 from sd join o using (instrument) where sd is not null),
+c as (select case when (select count(*) from d) < {_DAYS} or names < 30 then 2 when r2 > 0.2 then 2 else 1 end as scenario from f),
+z as (select instrument, date, (g - avg(g) over (partition by date)) / nullif(stddev_samp(g) over (partition by date), 0) as z, lead(residual) over (partition by instrument order by date) as nxt from r),
+i as (select corr(z, nxt) as ic from z where z is not null and nxt is not null),
+l as (select *, max(date) over () as last from z where z is not null)
+select instrument, date, method, round(case when c.scenario = 1 then omega * ic * z else ic * z end, 4) + 0.0 as alpha, round(omega, 4) + 0.0 as omega, c.scenario from l left join o using (instrument), i, c where date = last and (c.scenario = 2 or omega is not null)
+"""
+
+
+@query("alp20_engine_young_names", _YOUNG_ENGINE)
+def alpha_engine_with_young_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALP06-ALP11, ALP20-ALP22: the engine over old and young names alike; a young one's volatility comes from its industry and cap, or is the median."""
+    k = panels.classified_bars(spark, sf_dir).where("(instrument % 4 <> 0 or date >= date '1999-01-01') and circ_mv > 0 and open > 0 and volume > 0")
+    k = written(k.withColumn("industry", F.when(F.col("instrument") % 8 != 0, F.col("industry"))).select("instrument", "date", "industry", "circ_mv", F.ln("volume").alias("g"), F.expr("close / open - 1").alias("residual")), "panel")
+    r = k.select("instrument", "date", "residual")
+    out = desk.alpha_engine(k.select("instrument", "date", "g"), r, k.select("instrument", "date", "industry", "circ_mv"), None, _DAYS, _DAYS, 20)
+    how = volatility.residual_volatility(r, k, None, _DAYS, _DAYS, 20).select("instrument", "method")
+    return rounded(out.join(how, "instrument", "left").select("instrument", "date", "method", "alpha", "omega", "scenario"), 4)
+
+
 _AL = _BOOK.replace(", f as (select i, j,", ", al as (select instrument, close / nullif(open, 0) - 1 as alpha, close as price, 1.0 + volume / 1000 as beta, circ_mv as cap from t where instrument % 3 <> 0), f as (select i, j,")
 
 
