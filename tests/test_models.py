@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import cross, desk, exposure, report, research, shaping, structured, styles
+from tidepanel.operators import cross, desk, exposure, portfolio, report, research, shaping, structured, styles
 from tidepanel.sources import results, vendor
 from tidepanel.sources.files import scratch
 
@@ -134,6 +134,22 @@ def test_factor_structure_is_checked(spark):
         structured.optimised(book.withColumn("current", F.lit(0.5)), x, cov, "portfolio", turnover=0.01, cap=1.0)
 
 
+@pytest.mark.parametrize("buy, sell, cap", [(0.002, 0.003, 0.06), (0.0, 0.0, 9.0), (0.5, 0.5, 0.06)])
+def test_dead_band_is_where_single_sweeps_end(spark, buy, sell, cap):
+    """Two portfolios against sweeps over one name after another with the whole covariance; with high costs nothing moves."""
+    frames, plain = factor_book(spark, {"a": 25, "b": 60})
+    out = structured.dead_band(*frames, "portfolio", 5.0, buy, sell, cap)
+    flags = {(x["portfolio"], x["instrument"]): (x["value"], x["in_band"]) for x in out.collect()}
+    for p, h in by_portfolio(out, plain).items():
+        alpha, v, held, b, ids = plain[p]
+        swept = portfolio.no_trade_zone(alpha + 10 * v @ b, v, held + b, 5.0, buy, sell, b + cap, sweeps=3000, tolerance=1e-13) - b
+        assert np.allclose(h, swept, atol=1e-7) and np.allclose(h, held, atol=1e-12) == (buy == 0.5)
+        value = alpha - 10 * v @ h
+        assert np.allclose([flags[p, i][0] for i in ids], value, atol=1e-7)
+        edge = (np.abs(h + b) < 1e-9) | (np.abs(h - cap) < 1e-9)
+        assert all(flags[p, i][1] or e for i, e in zip(ids, edge)) and all(flags[p, i][1] == (-sell - 1e-7 <= x <= buy + 1e-7) for i, x in zip(ids, value))
+
+
 def test_inverse_by_identity(spark):
     frames, plain = factor_book(spark, {"a": 12, "b": 30})
     least = by_portfolio(structured.minimum_variance(*frames, "portfolio"), plain)

@@ -14,6 +14,7 @@ driver are K-by-K figures for each portfolio.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -113,18 +114,13 @@ def _best(z: np.ndarray, price: np.ndarray, own: dict[str, np.ndarray], risk: fl
     return h, h - own["current"], inside & ~held
 
 
-def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float = 5.0, buy: float = 0.001, sell: float = 0.002, cap: float = 0.05, turnover: float = 0.5, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """(by, instrument, h): argmin risk_aversion h'Vh - alpha'h + buy b + sell s over active weights h = current + b - s of each portfolio.
-
-    h sums to zero, lies between -benchmark and ``cap``, and b + s stays within
-    ``turnover``.  ``book`` is (by, instrument, alpha, d, current, benchmark), without
-    missing values.  Specific variances ``d`` under 1e-6, or under 1e-8 of the
-    largest factor's part of V, get a ridge, as bounds of V's eigenvalues (its own would need
-    V); an eigenvalue of the factors' covariance below zero is an error, and so
-    is a portfolio whose limits can't be met or that isn't solved in ``rounds`` steps.
-    """
+def _dual(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float, costs: tuple[float, float], cap: float, turnover: float | None, cash: bool, rounds: int, tolerance: float) -> DataFrame:
+    """(by, instrument, h, value): each portfolio's best holdings, and alpha - 2 risk_aversion V h there; with ``cash``, h sums to zero, with ``turnover``, b + s stays within it."""
+    buy, sell = costs
     names, root = rooted(cov)
     k = len(names)
+    live = np.array([True] * k + [cash, turnover is not None])
+    room = turnover or 0.0
     rows = written(with_exposures(book.select(by, "instrument", "alpha", "d", "current", "benchmark"), exposure, names), "book")
     columns = ("alpha", "d", "current", "benchmark")
 
@@ -146,7 +142,7 @@ def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, ris
             v["d"] = ridge(v["d"], name)
             out = {}
             for i, price in enumerate(points[name]):
-                h, t, moves = _best(z, price, v, risk_aversion, (buy, sell), cap)
+                h, t, moves = _best(z, price, v, risk_aversion, costs, cap)
                 cost = (buy + price[-1]) * np.maximum(t, 0) + (sell + price[-1]) * np.maximum(-t, 0)
                 value = (risk_aversion * v["d"] * h * h - v["alpha"] * h + cost + h * (z @ price[:-2] + price[-2])).sum()
                 u = np.column_stack([z, np.ones(len(h)), np.sign(t)])[moves]
@@ -157,18 +153,22 @@ def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, ris
         told = {}
         for (name, i), s in _summed(rows, by, parts, root).items():
             price = points[name][i]
-            s[0] -= price[:-2] @ price[:-2] / (4 * risk_aversion) + price[-1] * turnover
+            s[0] -= price[:-2] @ price[:-2] / (4 * risk_aversion) + price[-1] * room
             s[1 : k + 1] -= price[:-2] / (2 * risk_aversion)
-            s[k + 2] -= turnover
+            s[k + 2] -= room
             curve = s[k + 3 :].reshape(k + 2, k + 2)
             curve[range(k), range(k)] += 1 / (2 * risk_aversion)
             told[name, i] = s
         return told
 
+    def binding(price: np.ndarray, s: np.ndarray) -> np.ndarray:
+        out = live.copy()
+        out[-1] &= price[-1] > 0 or s[k + 2] > 0
+        return out
+
     def off(price: np.ndarray, s: np.ndarray) -> float:
         """The largest condition not met: factors, cash, and turnover where it binds or is over."""
-        g = s[1 : k + 3]
-        return float(np.abs(g if price[-1] > 0 or g[-1] > 0 else g[:-1]).max())
+        return float(np.abs(s[1 : k + 3][binding(price, s)]).max(initial=0.0))
 
     start = {n: np.zeros(k + 2) for n, _ in sizes}
     now = {n: (p, s) for (n, _), s in at({n: [p] for n, p in start.items()}).items() for p in [start[n]]}
@@ -178,8 +178,8 @@ def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, ris
         for n in sorted(open_, key=str):
             price, s = now[n]
             g, curve = s[1 : k + 3].copy(), s[k + 3 :].reshape(k + 2, k + 2)
-            free = np.ones(k + 2, bool)
-            free[-1] = price[-1] > 0 or g[-1] > 0
+            free = binding(price, s)
+            g[~live] = 0.0
             if off(price, s) < tolerance:
                 open_.discard(n)
                 continue
@@ -212,7 +212,35 @@ def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, ris
                 v = {c: own[c].to_numpy(float) for c in columns}
                 v["d"] = ridge(v["d"], name)
                 z = np.stack(own["xs"].to_numpy()) @ root if k else np.zeros((len(own), 0))
-                yield pd.DataFrame({by: own[by], "instrument": own["instrument"], "h": _best(z, prices[name], v, risk_aversion, (buy, sell), cap)[0]})
+                h = _best(z, prices[name], v, risk_aversion, costs, cap)[0]
+                yield pd.DataFrame({by: own[by], "instrument": own["instrument"], "h": h, "value": v["alpha"] - z @ prices[name][:-2] - 2 * risk_aversion * v["d"] * h})
 
     kinds = {c: book.schema[c].dataType.simpleString() for c in (by, "instrument")}
-    return rows.mapInPandas(holdings, f"{by} {kinds[by]}, instrument {kinds['instrument']}, h double")
+    return rows.mapInPandas(holdings, f"{by} {kinds[by]}, instrument {kinds['instrument']}, h double, value double")
+
+
+def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float = 5.0, buy: float = 0.001, sell: float = 0.002, cap: float = 0.05, turnover: float = 0.5, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """(by, instrument, h): argmin risk_aversion h'Vh - alpha'h + buy b + sell s over active weights h = current + b - s of each portfolio.
+
+    h sums to zero, lies between -benchmark and ``cap``, and b + s stays within
+    ``turnover``.  ``book`` is (by, instrument, alpha, d, current, benchmark), without
+    missing values.  Specific variances ``d`` under 1e-6, or under 1e-8 of the
+    largest factor's part of V, get a ridge, as bounds of V's eigenvalues (its own would need
+    V); an eigenvalue of the factors' covariance below zero is an error, and so
+    is a portfolio whose limits can't be met or that isn't solved in ``rounds`` steps.
+    """
+    return _dual(book, exposure, cov, by, risk_aversion, (buy, sell), cap, turnover, True, rounds, tolerance).drop("value")
+
+
+def dead_band(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float = 5.0, buy: float = 0.001, sell: float = 0.002, cap: float = math.inf, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """(by, instrument, h, value, in_band): active weights where no name's marginal value pays for a trade.
+
+    ``value`` is alpha - 2 risk_aversion V h.  A name whose value at its present weight lies in
+    [-sell, buy] isn't traded; others move until their value reaches the band's edge, or
+    to -benchmark or ``cap``, where value may stay outside (``in_band`` false).  That
+    is where sweeps over single names end up in whatever order they go, as the
+    problem is convex; here it is found for all names at once through the factors'
+    prices.  ``book`` and the ridge are as in ``optimised``; there is no cash or turnover limit.
+    """
+    h = _dual(book, exposure, cov, by, risk_aversion, (buy, sell), cap, None, False, rounds, tolerance)
+    return h.withColumn("in_band", F.col("value").between(-sell - 1e-7, buy + 1e-7))

@@ -163,6 +163,32 @@ def tangency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(structured.tangency(*_two_factors(spark, sf_dir), "portfolio", "excess"))
 
 
+_BAND = f"""
+with recursive b as ({K}), t0 as (select industry as portfolio, instrument, 0.3 * ln(circ_mv) as z, 0.04 + circ_mv / 1e6 as d, close / nullif(open, 0) - 1 as alpha, circ_mv / sum(circ_mv) over (partition by industry) as benchmark from b where date = (select max(date) from b) and circ_mv > 0),
+t as (select *, case when instrument % 3 = 0 then -benchmark / 2 when instrument % 3 = 1 then 0.01 else 0.0 end as held from t0 where alpha is not null),
+p as (select distinct portfolio, -1e4::double as lo, 1e4::double as hi, 0 as n from t
+  union all select portfolio, case when g > 0 then (lo + hi) / 2 else lo end, case when g > 0 then hi else (lo + hi) / 2 end, n + 1 from (
+    select p.portfolio, lo, hi, n, sum(z * HOLD) - (lo + hi) / 20 as g from p join t on t.portfolio is not distinct from p.portfolio where n < 90 group by p.portfolio, lo, hi, n)),
+h as (select p.portfolio, instrument, z, d, alpha, held, (lo + hi) / 2 as price, HOLD as h from p join t on t.portfolio is not distinct from p.portfolio where n = 90)
+select portfolio, instrument, round(h, 6) + 0.0 as h, round(alpha - z * price - 10 * d * h, 6) + 0.0 as value, alpha - z * price - 10 * d * h between -0.0600001 and 0.0400001 as in_band, abs(h - held) < 1e-9 as untraded from h
+""".replace("HOLD", "least(0.2, greatest(-benchmark, least((alpha - z * (lo + hi) / 2 + 0.06) / (10 * d), greatest((alpha - z * (lo + hi) / 2 - 0.04) / (10 * d), held))))")
+
+
+@query("pfo09_dead_band", _BAND)
+def dead_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PFO09: books by industry on the last date, moved to where no name's marginal value pays for a trade; the SQL bisects the size factor's price."""
+    t = _today(spark, sf_dir).where("circ_mv > 0")
+    b = F.try_divide("circ_mv", F.sum("circ_mv").over(W.partitionBy("industry")))
+    t = t.select(F.col("industry").alias("portfolio"), "instrument", "circ_mv", (F.try_divide("close", "open") - 1).alias("alpha"), (0.04 + F.col("circ_mv") / 1e6).alias("d"), b.alias("benchmark"))
+    m = F.col("instrument") % 3
+    book = t.where("alpha is not null").withColumn("current", F.when(m == 0, -F.col("benchmark") / 2).when(m == 1, 0.01).otherwise(0.0))
+    e = t.select("instrument", F.lit("size").alias("factor"), F.ln("circ_mv").alias("x"))
+    cov = spark.createDataFrame([("size", "size", 0.09)], "i string, j string, v double")
+    h = structured.dead_band(book, e, cov, "portfolio", buy=0.04, sell=0.06, cap=0.2).withColumnRenamed("portfolio", "of")
+    out = book.join(h, ["instrument"]).where(F.col("portfolio").eqNullSafe(F.col("of")))
+    return rounded(out.select("portfolio", "instrument", "h", "value", "in_band", (F.abs(F.col("h") - F.col("current")) < 1e-9).alias("untraded")))
+
+
 @query(
     "src53_booked_orders",
     f"with k as (select instrument, date, close, row_number() over (partition by date order by instrument) as n from ({M})), o as (select cast(date as varchar) as portfolio, instrument, close as price, case when n % 2 = 0 then 'sell' else 'buy' end as side, cast(n * 10 as bigint) as shares, cast(case when n % 3 = 0 then 15 when n % 3 = 1 then 1000 end as bigint) as held from k), t as (select *, case when side = 'sell' then -least(shares, coalesce(held, 0)) else shares end as trade_shares from o) select portfolio, instrument, side, round(price, 8) as price, trade_shares, coalesce(held, 0) + trade_shares as hold_shares, round(1e8 - sum((coalesce(held, 0) + trade_shares) * price) over (partition by portfolio), 2) + 0.0 as cash from t",
