@@ -70,9 +70,8 @@ class Booster:
         return f"(1D / (1D + exp(-({self.slope!r}D * ({z}) + {self.shift!r}D))))"
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, l2: float = 1.0) -> Booster:
-    """Fit on four rows of five and calibrate on the fifth (Platt, by Newton's steps)."""
-    held = np.arange(len(y)) % 5 == 4
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, l2: float = 1.0) -> Booster:
+    """Fit on the rows that aren't ``held`` and calibrate on those that are (Platt, by Newton's steps)."""
     xt, yt = x[~held], y[~held].astype(float)
     cuts = []
     for f in range(x.shape[1]):
