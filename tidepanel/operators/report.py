@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepanel.operators.cross import information_coefficients, quantile_bins
+from tidepanel.sources.files import written
 
 
 def forward_returns(prices: DataFrame, lags: list[int], rate: DataFrame | None = None) -> DataFrame:
@@ -86,17 +87,17 @@ def report(factors: DataFrame, prices: DataFrame, bench: DataFrame, lags: list[i
     icir, ricir, long_short, avg_return (means), half_life, monotonic_t (group
     returns on group number over all dates), ls_alpha, ls_t_alpha, ls_beta (on
     the benchmark's return; zeros under ten dates), ls_ir, ls_cum (252 dates).
-    Factors are rows of one long table: their number adds no pass.
+    Factors are rows of one long table, written once with their returns: their number adds no pass.
     """
     first = lags[0]
-    pairs = factors.join(forward_returns(prices, lags, rate), ["instrument", "date"])
+    pairs = factors.where("value is not null").join(forward_returns(prices, lags, rate).where("ret is not null"), ["instrument", "date"])
+    pairs = written(pairs, "pairs")
     near = pairs.where(F.col("lag") == first)
     ic = information_coefficients(near, "value", "ret", ["name", "date"])
     coef = ic.groupBy("name").agg(
         F.max_by("ic", F.when(F.col("ic").isNotNull(), F.col("date"))).alias("ic"), ratio(F.col("ic"), 1).alias("icir"), F.max_by("ric", F.when(F.col("ric").isNotNull(), F.col("date"))).alias("ric"), ratio(F.col("ric"), 1).alias("ricir")
     )
-    both = near.where("value is not null and ret is not null")
-    strata = quantile_bins(both, "value", groups, ["name", "date"]).where("bin is not null").groupBy("name", "date", "bin").agg(F.avg("ret").alias("ret"))
+    strata = quantile_bins(near, "value", groups, ["name", "date"]).where("bin is not null").groupBy("name", "date", "bin").agg(F.avg("ret").alias("ret"))
     mono = strata.groupBy("name").agg(*fitted("ret", "bin", "m_")).select("name", F.when(F.col("m_n") >= 3, F.col("m_t_beta")).otherwise(0.0).alias("monotonic_t"))
     ls = long_short(near, ["name", "date"], "value", "ret", groups)
     w = W.orderBy("date")  # one row per date

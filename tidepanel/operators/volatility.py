@@ -34,9 +34,10 @@ def residual_volatility(residuals: DataFrame, traits: DataFrame, as_of: str | No
     Every new name has its own industry's coefficient, whichever others are new.
     """
     r, t = residuals.select("instrument", "date", "residual"), traits.select("instrument", "date", "industry", "circ_mv")
-    until = r.agg(F.max("date")).first()[0] if as_of is None else as_of
-    r, t = (x.where(F.col("date") <= F.lit(until).cast("date")) for x in (r, t))
-    days = r.select("date").distinct().count()
+    if as_of is not None:
+        r = r.where(F.col("date") <= F.lit(as_of).cast("date"))
+    until, days = r.agg(F.max("date"), F.countDistinct("date")).first()
+    t = t.where(F.col("date") <= F.lit(until if as_of is None else as_of).cast("date"))
     if days < min_days:
         raise ValueError(f"residuals of {days} dates; {min_days} are needed")
     k = F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("date")))

@@ -18,11 +18,11 @@ _DAYS = 60
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instruments with enough history: signal g, residual and traits."""
+    """Instruments with enough history: signal g, residual and traits, worked out once."""
     k = panels.classified_bars(spark, sf_dir).where("circ_mv > 0 and open > 0 and volume > 0")
     k = k.join(k.groupBy("instrument").agg(F.count("*").alias("n")).where(F.col("n") >= _DAYS).select("instrument"), "instrument", "left_semi")
     move = F.expr("close / open - 1")
-    return k.select("instrument", "date", "industry", "circ_mv", F.ln("volume").alias("g"), (move - F.avg(move).over(W.partitionBy("date"))).alias("residual"))
+    return written(k.select("instrument", "date", "industry", "circ_mv", F.ln("volume").alias("g"), (move - F.avg(move).over(W.partitionBy("date"))).alias("residual")), "panel")
 
 
 _SIG = f"""
