@@ -86,6 +86,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op9 alone, which SQL can say."""
+    from tidepanel.llm.quality import quality_rules
+
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), None).drop("text", "probability")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.pii import detect
 
@@ -122,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, op10_personal_data, op11_tokenizer_alignment, op12_ranked_lexical_search, op13_fair_queueing_mix, pipeline)}
+    return {f.__name__: f for f in (op1_size_balanced_sharding, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_warc_range_reads, op6_chat_formatting, op7_piece_sampling, op8_substring_dedup, op9_quality_rules, op10_personal_data, op11_tokenizer_alignment, op12_ranked_lexical_search, op13_fair_queueing_mix, pipeline, quality_base_rules)}
 
 
 _LINES = """
@@ -198,5 +205,19 @@ select item_id, rank::int as rank, doc_id, score from o where rank <= 10
 """
 
 
+_QUALITY = """
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws from d),
+x as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as pos, len(ws) as n from w),
+t as (select r, pos, n, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o as win from x window o as (partition by r order by pos)),
+f as (select r, pos, count(*) over (partition by r, win) > 1 as twice from t where pos + 2 <= n),
+c as (select r, count(*) as n_repeat_words from (select distinct r, unnest([pos, pos + 1, pos + 2]) as pos from f where twice) group by r),
+l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+k as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+             coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join c using (r) left join l using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as kept from k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": _JACCARD, "op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING, "op12_ranked_lexical_search": _LEXICAL}
+    return {"quality_base_rules": _QUALITY, "op2_ngram_jaccard_join": _JACCARD, "op6_chat_formatting": _CHAT, "op4_line_dedup": _LINES, "op8_substring_dedup": _SUBSTRING, "op12_ranked_lexical_search": _LEXICAL}
