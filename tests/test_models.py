@@ -61,6 +61,13 @@ def test_exposures_are_scored_and_free(spark):
         exposure.exposure_matrix(df, {"a": F.when(F.col("a") > 5, F.col("a"))}, least_valid=0.5)
 
 
+def test_too_many_industries_are_an_error(spark, monkeypatch):
+    df, _ = panel(spark)
+    monkeypatch.setattr(exposure, "MOST_INDUSTRIES", 1)
+    with pytest.raises(ValueError, match="industry"):
+        exposure.industry_dummies(df)
+
+
 def test_risk_models_agree_in_shape(spark):
     df, _ = panel(spark, 30, 28)
     for kinds in (("sample", "history"), ("barra", "panel")):
