@@ -120,3 +120,19 @@ def test_a_batch_that_broke_off_is_taken_up_again(spark, history, monkeypatch):
     monkeypatch.setattr(append.FeatureStore, "put", whole)
     follow()
     assert sorted(map(tuple, store.features().collect()), key=str) == sorted(map(tuple, compile_panel(history, EXPRS).collect()), key=str)
+
+
+def test_a_users_rows_that_come_in_pieces_are_put_in_order(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 2), 7, float(i % 13)) for i in range(200)]
+    random.Random(5).shuffle(rows)
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9")
+    try:
+        (got,) = bars.drain(bars.running_mean(bars.event_stream(spark, str(tmp_path))), "update", ["instrument"]).collect()
+    finally:
+        spark.conf.set(key, before)
+    v = np.array([r[3] for r in sorted(rows)])
+    w = (1 - 2 / 11) ** np.arange(len(v) - 1, -1, -1.0)
+    assert got["n"] == 200 and abs(got["mean"] - v @ w / w.sum()) < 1e-9

@@ -36,19 +36,23 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "2 days") ->
 
 
 def running_mean(events: DataFrame, span: int = 10) -> DataFrame:
-    """Exponential mean of each user's values in order of arrival, with state per user."""
+    """Exponential mean of each user's values in order of arrival, with state per user.
+
+    A user's rows of one batch of the stream come to the step in pieces of any
+    order, so they are put in order (ts, event_id) together.
+    """
     keep = 1 - 2 / (span + 1)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         num, den, n = state.get if state.exists else (0.0, 0.0, 0)
-        for pdf in batches:
-            v = pdf.sort_values(["ts", "event_id"])["value"].dropna().to_numpy(float)
-            fade = keep ** np.arange(len(v) - 1, -1, -1.0)
-            num, den, n = num * keep ** len(v) + float(v @ fade), den * keep ** len(v) + float(fade.sum()), n + len(v)
+        own = pd.concat([pdf.loc[pdf["value"].notna(), ["ts", "event_id", "value"]] for pdf in batches])
+        v = own.sort_values(["ts", "event_id"])["value"].to_numpy(float)
+        fade = keep ** np.arange(len(v) - 1, -1, -1.0)
+        num, den, n = num * keep ** len(v) + float(v @ fade), den * keep ** len(v) + float(fade.sum()), n + len(v)
         state.update((num, den, n))
         yield pd.DataFrame({"instrument": [key[0]], "mean": [num / den if den else None], "n": [n]})
 
-    named = events.withColumnRenamed("user_id", "instrument")
+    named = events.select(F.col("user_id").alias("instrument"), "ts", "event_id", "value")
     return named.groupBy("instrument").applyInPandasWithState(step, "instrument long, mean double, n long", "num double, den double, n long", "update", "NoTimeout")
 
 
