@@ -320,3 +320,17 @@ def test_a_search_goes_on_from_its_saved_state(spark):
     rest.load(at)
     assert rest.generation == 1 and rest.run(2) == whole
     assert [complexity(parse(e)) for e in ("Mean($close, 5)", "Abs(Mean($close, 5))", "Mean(Std($close, 5), 5)", "Div($close, $open)", "Corr($close, $volume, 5)")] == ["simple", "simple", "compound", "compound", "compound"]
+
+
+def test_parts_whose_codes_repeat_are_judged_one_by_one(spark, tmp_path):
+    import duckdb
+
+    from tidepanel import queries as named
+
+    # from a million on a code has room for six of seven digits
+    rows = [(k, "bolt", size) for k, size in [(100002, 1), (1000020, 20), (1000023, 20), (1000026, 50), (3, 20), (4, 45), (5, 20)]]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(r["code"] for r in named.queries()["mlb33_tradable"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in con.sql(named.oracle_sql()["mlb33_tradable"]).fetchall()) and len(got) == 3

@@ -39,10 +39,13 @@ def trimmed(df: DataFrame, column: str, by: list[str], share: float = 0.025) ->
     return some.where((F.col("k__") > cut) & (F.col("k__") <= F.col("n__") - cut)).drop("k__", "n__")
 
 
-def tradable(universe: DataFrame, info: DataFrame, before: str, rule: str = "^[A-Za-z]{2}(60|00)") -> DataFrame:
-    """Codes of ``universe`` (code) that fit ``rule`` and aren't special-treatment, delisted or listed after ``before`` by ``info`` (code, name, list_date)."""
+def tradable(universe: DataFrame, info: DataFrame, before: str, rule: str = "^[A-Za-z]{2}(60|00)", key: str = "code") -> DataFrame:
+    """Rows of ``universe`` (code) that fit ``rule`` and aren't special-treatment, delisted or listed after ``before`` by ``info`` (code, name, list_date).
+
+    Both meet on ``key``, which is another column than ``code`` where one code stands for several names.
+    """
     out = info.where(F.contains("name", F.lit("ST")) | F.contains("name", F.lit("退")) | (F.col("list_date") > F.lit(before).cast("date")))
-    return universe.where(F.col("code").rlike(rule)).join(out.select("code"), "code", "left_anti")
+    return universe.where(F.col("code").rlike(rule)).join(out.select(key), key, "left_anti")
 
 
 def preprocessed(df: DataFrame, columns: list[str], k: float = 3.0, fit: Column | None = None) -> DataFrame:

@@ -35,12 +35,12 @@ _INFO = "select case when p_partkey % 3 = 0 then 'SH60' when p_partkey % 3 = 1 t
 
 @query("mlb33_tradable", f"with i as ({_INFO}) select code from i where regexp_matches(code, '^[A-Za-z]{{2}}(60|00)') and not (contains(name, 'ST') or contains(name, '退') or list_date > date '2024-06-01')")
 def tradable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLB33: main-board codes less special-treatment, delisted and newly listed ones."""
+    """MLB33: main-board codes less special-treatment, delisted and newly listed ones; from a million parts on codes repeat, so each part is judged by its own key."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
     board = F.when(F.col("p_partkey") % 3 == 0, "SH60").when(F.col("p_partkey") % 3 == 1, "sz00").otherwise("SZ30")
     name = F.when(F.col("p_size") < 5, F.concat(F.lit("ST "), "p_name")).when(F.col("p_size") > 45, F.concat("p_name", F.lit("退"))).otherwise(F.col("p_name"))
-    info = p.select(F.concat(board, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("code"), name.alias("name"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_size") * 40).cast("int")).alias("list_date"))
-    return research.tradable(info.select("code"), info, "2024-06-01")
+    info = p.select("p_partkey", F.concat(board, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("code"), name.alias("name"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_size") * 40).cast("int")).alias("list_date"))
+    return research.tradable(info.select("p_partkey", "code"), info, "2024-06-01", key="p_partkey").select("code")
 
 
 @query("mlb06_merged_factors", rounded_sql(f"with b as ({M}), x as (select instrument, date, ln(close) as a from b where instrument % 2 = 0), y as (select instrument, date, close / nullif(open, 0) - 1 as b from b where instrument % 3 = 0), z as (select instrument, date, volume as c from b where instrument % 5 = 0) select instrument, date, a, b, c from x full join y using (instrument, date) full join z using (instrument, date)", "a b c", "instrument, date"))
