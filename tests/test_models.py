@@ -334,3 +334,27 @@ def test_parts_whose_codes_repeat_are_judged_one_by_one(spark, tmp_path):
     con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(r["code"] for r in named.queries()["mlb33_tradable"](spark, str(tmp_path)).collect())
     assert got == sorted(r[0] for r in con.sql(named.oracle_sql()["mlb33_tradable"]).fetchall()) and len(got) == 3
+
+
+def test_an_optimum_of_far_apart_alphas_is_found(spark):
+    """Alphas from -1 to some hundreds, in copies: prices move names only over a small part of that range."""
+    r = np.random.default_rng(8)
+    (book, x, cov), plain = factor_book(spark, {"a": 240})
+    far = np.tile(np.clip(np.exp(r.normal(0, 2.2, 40)) - 1, -1, 270), 6)
+    held, ids = np.zeros(240), plain["a"][4]
+    alphas = spark.createDataFrame([(i, float(a)) for i, a in zip(ids, far)], "instrument string, alpha double")
+    frames = (book.drop("alpha").withColumn("current", F.lit(0.0)).join(alphas, "instrument"), x, cov)
+    h = by_portfolio(structured.optimised(*frames, "portfolio", 5.0, 0.001, 0.002, 0.05, 0.5), plain)["a"]
+    _, v, _, b, _ = plain["a"]
+    assert abs(h.sum()) < 1e-7 and (h >= -b - 1e-12).all() and (h <= 0.05 + 1e-12).all() and np.abs(h).sum() <= 0.5 + 1e-7
+    cost = lambda z: 5 * z @ v @ z - far @ z + 0.001 * np.maximum(z - held, 0).sum() + 0.002 * np.maximum(held - z, 0).sum()
+    best, moves = cost(h), 0
+    for _ in range(40_000):
+        i, j = r.integers(0, 240, 2)
+        z, step = h.copy(), r.choice([1e-4, 1e-3, 1e-2])
+        z[i] += step
+        z[j] -= step
+        if (z >= -b).all() and (z <= 0.05).all() and np.abs(z).sum() <= 0.5:
+            moves += 1
+            assert cost(z) >= best - 1e-8
+    assert moves > 100

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from tidepanel.sources.files import written
 
-#: lengths of a Newton step that are tried in one pass
-STEPS = (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)
+#: Newton steps that are tried in one pass: the curvature's damping, in units of its mean, and lengths of the least damped one
+DAMPING = (1e-12, 1e-9, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 1e2, 1e3, 1e4, 1e6)
+LENGTHS = (0.5, 0.2, 0.05)
+#: by how much specific variances fall from one stage to the next, and what a stage but the last is solved to
+STAGE, ROUGHLY = 10.0, 1e-3
 
 
 def rooted(cov: DataFrame) -> tuple[list, np.ndarray]:
@@ -115,7 +118,12 @@ def _best(z: np.ndarray, price: np.ndarray, own: dict[str, np.ndarray], risk: fl
 
 
 def _dual(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_aversion: float, costs: tuple[float, float], cap: float, turnover: float | None, cash: bool, rounds: int, tolerance: float) -> DataFrame:
-    """(by, instrument, h, value): each portfolio's best holdings, and alpha - 2 risk_aversion V h there; with ``cash``, h sums to zero, with ``turnover``, b + s stays within it."""
+    """(by, instrument, h, value): each portfolio's best holdings, and alpha - 2 risk_aversion V h there; with ``cash``, h sums to zero, with ``turnover``, b + s stays within it.
+
+    A name moves with the prices only while they are within 2 risk_aversion d times its room of its alpha.
+    Where alphas are wider apart than that, the first stages multiply d so that names move all
+    over that range, and each later one, a tenth as wide, begins at the prices of the one before; the last has d itself.
+    """
     buy, sell = costs
     names, root = rooted(cov)
     k = len(names)
@@ -131,6 +139,10 @@ def _dual(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_av
     least = {n: max(1e-6, 1e-8 * float(np.linalg.eigvalsh(s.reshape(k, k))[-1])) if k else 1e-6 for (n, _), s in sizes.items()}
     ridge = lambda d, name: np.where(d < least[name], d + least[name], d)
 
+    room_most = F.lit(float(cap)) + F.max("benchmark")
+    reach = rows.groupBy(by).agg((F.max("alpha") - F.min("alpha")).alias("span"), F.avg("d").alias("d"), room_most.alias("room")).collect()  # a row for each portfolio
+    soft = {r[by]: max(1.0, r["span"] / (2 * risk_aversion * max(r["d"], least[r[by]]) * r["room"])) if r["room"] > 0 else 1.0 for r in reach}
+
     def at(points: dict[object, list[np.ndarray]]) -> dict[tuple, np.ndarray]:
         """Value, gradient and curvature of the dual at each point."""
 
@@ -139,7 +151,7 @@ def _dual(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_av
             name = own[by].iloc[0]
             if name not in points:
                 return {}
-            v["d"] = ridge(v["d"], name)
+            v["d"] = ridge(v["d"], name) * soft[name]
             out = {}
             for i, price in enumerate(points[name]):
                 h, t, moves = _best(z, price, v, risk_aversion, costs, cap)
@@ -172,38 +184,43 @@ def _dual(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, risk_av
 
     start = {n: np.zeros(k + 2) for n, _ in sizes}
     now = {n: (p, s) for (n, _), s in at({n: [p] for n, p in start.items()}).items() for p in [start[n]]}
-    open_ = set(now)
-    for _ in range(rounds):
-        tries = {}
+    open_, used = set(now), dict.fromkeys(now, 0)
+    while open_:
+        tries, next_ = {}, []
         for n in sorted(open_, key=str):
             price, s = now[n]
+            if off(price, s) < (tolerance if soft[n] == 1.0 else ROUGHLY):
+                next_.append(n)
+                continue
+            if used[n] == rounds:
+                raise ValueError(f"not solved in {rounds} steps, as where limits can't be met: {n}")
             g, curve = s[1 : k + 3].copy(), s[k + 3 :].reshape(k + 2, k + 2)
             free = binding(price, s)
-            g[~live] = 0.0
-            if off(price, s) < tolerance:
-                open_.discard(n)
-                continue
-            part = curve[np.ix_(free, free)]
-            step = np.zeros(k + 2)
-            step[free] = np.linalg.solve(part + 1e-10 * (1 + np.trace(part)) * np.eye(free.sum()), g[free])
-            tries[n] = [price + a * step for a in STEPS] + [price + a * g / np.abs(g).max() for a in (1e-1, 1e-3)]
+            part, size = curve[np.ix_(free, free)], np.trace(curve[np.ix_(free, free)]) / free.sum() or 1.0
+            steps = np.zeros((len(DAMPING), k + 2))
+            steps[:, free] = [np.linalg.solve(part + a * size * np.eye(free.sum()), g[free]) for a in DAMPING]
+            tries[n] = [price + x for x in (*steps, *(a * steps[0] for a in LENGTHS))]
             for p in tries[n]:
                 p[-1] = max(p[-1], 0.0)
-        if not open_:
-            break
-        told = at(tries)
+        told = at(tries) if tries else {}
         for n, points in tries.items():
+            used[n] += 1
             slack = 1e-14 * (1 + abs(now[n][1][0]))
             most = max(told[n, i][0] for i in range(len(points)))
             best = min((i for i in range(len(points)) if told[n, i][0] >= most - slack), key=lambda i: off(points[i], told[n, i]))
             if most > now[n][1][0] + slack or off(points[best], told[n, best]) < off(*now[n]):
                 now[n] = points[best], told[n, best]
-            elif off(*now[n]) < 1e-6:  # the optimum, as far as doubles tell
-                open_.discard(n)
+            elif soft[n] > 1.0 or off(*now[n]) < 1e-6:  # the optimum, as far as doubles tell
+                next_.append(n)
             else:
                 raise ValueError(f"the limits of portfolio {n} can't be met")
-    if open_:
-        raise ValueError(f"not solved in {rounds} steps, as where limits can't be met: {sorted(map(str, open_))}")
+        done = {n for n in next_ if soft[n] == 1.0}
+        open_ -= done
+        again = [n for n in next_ if n not in done]
+        for n in again:
+            soft[n], used[n] = max(1.0, soft[n] / STAGE), 0
+        if again:
+            now |= {n: (now[n][0], s) for (n, _), s in at({n: [now[n][0]] for n in again}).items()}
     prices = {n: p for n, (p, _) in now.items()}
 
     def holdings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +244,7 @@ def optimised(book: DataFrame, exposure: DataFrame, cov: DataFrame, by: str, ris
     missing values.  Specific variances ``d`` under 1e-6, or under 1e-8 of the
     largest factor's part of V, get a ridge, as bounds of V's eigenvalues (its own would need
     V); an eigenvalue of the factors' covariance below zero is an error, and so
-    is a portfolio whose limits can't be met or that isn't solved in ``rounds`` steps.
+    is a portfolio whose limits can't be met or that isn't solved in ``rounds`` steps of a stage (see ``_dual``).
     """
     return _dual(book, exposure, cov, by, risk_aversion, (buy, sell), cap, turnover, True, rounds, tolerance).drop("value")
 
