@@ -358,3 +358,20 @@ def test_an_optimum_of_far_apart_alphas_is_found(spark):
             moves += 1
             assert cost(z) >= best - 1e-8
     assert moves > 100
+
+
+def test_asset_covariance_shuffles_no_pairs(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(30, 3))
+    x[5, 1] = 0.0
+    f = np.array([[0.09, 0.01, 0.0], [0.01, 0.04, 0.02], [0.0, 0.02, 0.05]])
+    e = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(30) for j in range(3) if x[i, j]], "instrument long, factor string, x double")
+    cov = spark.createDataFrame([(f"f{i}", f"f{j}", float(f[i, j])) for i in range(3) for j in range(3)], "i string, j string, v double")
+    d = spark.createDataFrame([(i, 0.1 + i) for i in range(30)], "instrument long, d double")
+    out = exposure.asset_covariance(e, cov, d, 0.5)
+    got = np.zeros((30, 30))
+    for p in out.collect():
+        got[p["a"], p["b"]] = p["v"]
+    assert np.allclose(got, x @ f @ x.T + np.diag(0.6 + np.arange(30)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # what is left above the blocks is a product and columns
