@@ -113,3 +113,13 @@ def test_own_operators_work_out(spark):
     with operators(**own):
         got = compile_panel(df, {"a": "Top($x, 2)", "b": "Half(Sum(Up($x), 3))", "c": "If(Up($x), Top(Half($x), 1), 0)"}).orderBy("date").collect()
     assert [tuple(r)[2:] for r in got] == [(3.0, 0.5, 1.5), (3.0, 0.5, 0.0), (5.0, 0.5, 0.0), (5.0, 0.5, 2.5), (5.0, 1.0, 2.0)]
+
+
+def test_short_ranges_share_a_task(spark):
+    at = scratch(spark, "records")
+    rows = [(i % 40, dt.date(2020, 1, 1), 202001, float(i), i) for i in range(8000)]
+    records.write_records(spark.createDataFrame(rows, "instrument long, ann_date date, period int, value double, seq long"), at)
+    reader = records.PitRecords({"path": at, "split": "100"}).reader(records.read_records(spark, at).schema)
+    parts = reader.partitions()
+    assert len(parts) < 5 and max(p[4] - p[3] for x in parts for p in x.parts) <= 100
+    assert sorted(r["value"] for r in records.read_records(spark, at, 100).collect()) == [float(i) for i in range(8000)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 RECORD = np.dtype([("ann_date", "<u4"), ("period", "<u4"), ("value", "<f8"), ("next", "<u4")])
 NONE = 0xFFFFFFFF
 SPLIT = 8 << 20
+#: bytes of ranges that a task reads, at least one range
+TASK = 1 << 20
 _SCHEMA = "instrument string, field string, ann_date date, period int, value double, start long, next long"
 
 
@@ -106,7 +109,7 @@ class _Reader(DataSourceReader):
             self.instruments = asked if self.instruments is None else self.instruments & asked
 
     def partitions(self) -> list[Ranges]:
-        """Files cut at whole records into ranges of about ``split`` bytes, small files together."""
+        """Files cut at whole records into ranges of about ``split`` bytes; a task reads ``TASK`` bytes of them, or one range, so that tasks grow with the bytes and not with the number of short ranges."""
         fs, base = _open(self.path)
         roots = [base] if self.instruments is None else [f"{base}/{i}" for i in sorted(self.instruments)]
         files = sorted((f.path, f.size) for r in roots for f in fs.get_file_info(pafs.FileSelector(r, recursive=True, allow_not_found=True)) if f.is_file and f.path.endswith(".data"))
@@ -117,19 +120,25 @@ class _Reader(DataSourceReader):
             instrument, field = path.removesuffix(".data").rsplit("/", 2)[-2:]
             for start in range(0, n, step):
                 end = min(start + step, n)
-                if held and size + end - start > step:
+                if held and size + end - start > max(step, TASK):
                     out.append(Ranges(held))
                     held, size = [], 0
                 held.append((instrument, field, path, start, end))
                 size += end - start
         return [*out, Ranges(held)]
 
+    @staticmethod
+    def _ranges(fs: pafs.FileSystem, parts: list) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Each range and its records; a file is opened once for ranges that follow each other."""
+        for path, own in groupby(parts, key=lambda p: p[2]):
+            with fs.open_input_file(path) as f:
+                for part in own:
+                    f.seek(part[3])
+                    yield part, np.frombuffer(f.read(part[4] - part[3]), RECORD)
+
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
-        for instrument, field, path, start, end in partition.parts:
-            with fs.open_input_file(path) as f:
-                f.seek(start)
-                raw = np.frombuffer(f.read(end - start), RECORD)
+        for (instrument, field, path, start, end), raw in self._ranges(fs, partition.parts):
             at = np.arange(start, end, RECORD.itemsize)[raw["ann_date"] > 0]
             raw = raw[raw["ann_date"] > 0]
             day = raw["ann_date"].astype(np.int64)
