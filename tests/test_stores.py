@@ -123,3 +123,22 @@ def test_short_ranges_share_a_task(spark):
     parts = reader.partitions()
     assert len(parts) < 5 and max(p[4] - p[3] for x in parts for p in x.parts) <= 100
     assert sorted(r["value"] for r in records.read_records(spark, at, 100).collect()) == [float(i) for i in range(8000)]
+
+
+def test_a_folder_for_each_value_and_only_the_asked_ones_read(spark):
+    from pathlib import Path
+
+    from tidepanel.sources.files import opened, read_folders, write_folders
+
+    at = scratch(spark, "codes")
+    rows = [(i % 50 or None, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "code long, date date, x double")
+    assert write_folders(df, at, "code") == 50
+    local = Path(opened(at)[1])
+    assert len(list(local.glob("code=*/*.parquet"))) == 50
+    assert sorted(map(tuple, spark.read.schema(df.schema).parquet(at).select("code", "date", "x").collect()), key=lambda r: r[2]) == rows
+    next(local.glob("code=7/*.parquet")).write_text("broken")
+    assert sorted(map(tuple, read_folders(spark, at, "code", [1, 3, 99], df.schema).collect()), key=str) == sorted((r for r in rows if r[0] in (1, 3)), key=str)
+    assert read_folders(spark, at, "code", [99], df.schema).count() == 0
+    with pytest.raises(ValueError):
+        read_folders(spark, at, "code", ["a/b"], df.schema)

@@ -268,11 +268,12 @@ def book_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg23_dql24_split_by_code", f"select instrument, count(*) as n, round(sum(close), 4) as total from ({M}) where instrument in (1, 3) group by 1")
 def split_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23, DQL24: a folder per code, two of them read back; the others aren't touched."""
-    from tidepanel.sources.files import read_frame, write_frame
+    from tidepanel.sources.files import read_folders, write_folders
 
     at = scratch(spark, "codes")
-    write_frame(panels.monthly_bars(spark, sf_dir).select("instrument", "date", "close").repartition("instrument"), at, partition_by=["instrument"])
-    got = read_frame(spark, at).where("instrument in (1, 3)")
+    bars = panels.monthly_bars(spark, sf_dir).select("instrument", "date", "close")
+    write_folders(bars, at, "instrument")
+    got = read_folders(spark, at, "instrument", [1, 3], bars.schema)
     return got.groupBy(F.col("instrument").cast("long").alias("instrument")).agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 

@@ -7,7 +7,6 @@ period (4; all ones where there is none).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -21,6 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from tidepanel.sources.files import opened
+
 #: fixed values: the record's layout and its sign for "no next record"
 RECORD = np.dtype([("ann_date", "<u4"), ("period", "<u4"), ("value", "<f8"), ("next", "<u4")])
 NONE = 0xFFFFFFFF
@@ -30,12 +31,6 @@ TASK = 1 << 20
 _SCHEMA = "instrument string, field string, ann_date date, period int, value double, start long, next long"
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return (pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
-
-
 def write_records(events: DataFrame, path: str, field: str = "value") -> DataFrame:
     """Write events (instrument, ann_date, period, value, seq) as ``path/<instrument>/<field>.data``; (file, records) of what was written.
 
@@ -53,7 +48,7 @@ def write_records(events: DataFrame, path: str, field: str = "value") -> DataFra
     rows = rows.repartition("instrument").sortWithinPartitions("instrument", "place")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(path)
+        fs, base = opened(path)
         out, name, n = None, None, 0
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -110,7 +105,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         """Files cut at whole records into ranges of about ``split`` bytes; a task reads ``TASK`` bytes of them, or one range, so that tasks grow with the bytes and not with the number of short ranges."""
-        fs, base = _open(self.path)
+        fs, base = opened(self.path)
         roots = [base] if self.instruments is None else [f"{base}/{i}" for i in sorted(self.instruments)]
         files = sorted((f.path, f.size) for r in roots for f in fs.get_file_info(pafs.FileSelector(r, recursive=True, allow_not_found=True)) if f.is_file and f.path.endswith(".data"))
         step = max(self.split // RECORD.itemsize, 1) * RECORD.itemsize
@@ -137,7 +132,7 @@ class _Reader(DataSourceReader):
                     yield part, np.frombuffer(f.read(part[4] - part[3]), RECORD)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        fs, _ = _open(self.path)
+        fs, _ = opened(self.path)
         for (instrument, field, path, start, end), raw in self._ranges(fs, partition.parts):
             at = np.arange(start, end, RECORD.itemsize)[raw["ann_date"] > 0]
             raw = raw[raw["ann_date"] > 0]
