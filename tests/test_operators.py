@@ -370,3 +370,23 @@ def test_many_series_against_one_by_one(spark):
         np.testing.assert_allclose([models[k]["const"], *models[k]["ar_coefs"], *models[k]["ma_coefs"]], [m.const, *m.ar, *m.ma], rtol=1e-6, atol=1e-6)
         assert abs(models[k]["forecast"] - m.forecast(1)[0]) < 1e-6 and abs(levels[k] - series.next_level(y)) < 1e-6
     assert models["short"]["ar"] is None and levels["short"] == 2.0 and models["none"]["n"] == 0 and "none" not in levels
+
+
+def test_keys_of_a_batch_are_solved_together():
+    """Each key's coefficients are those of its own least squares, singular ones among them."""
+    from tidepanel.operators import arma
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6, 40, 4))
+    x[2, :, 3] = 0.0
+    beta, rss, _ = arma._least_squares(np.einsum("kni,knj->kij", x, x), 0, [1, 2, 3])
+    for k in range(6):
+        want = np.linalg.lstsq(x[k][:, 1:], x[k][:, 0])[0]
+        np.testing.assert_allclose(beta[k], want, atol=1e-9)
+        assert abs(rss[k] - ((x[k][:, 0] - x[k][:, 1:] @ want) ** 2).sum()) < 1e-9
+
+
+def test_series_models_work_out_their_panel_once(spark):
+    from tidepanel.queries import queries
+
+    assert "lineitem" not in queries()["rsk27_32_series_models"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -12,10 +12,11 @@ same sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,19 +33,20 @@ def _products(columns: list[str]) -> list[Column]:
     return [F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for i, a in enumerate(columns) for b in columns[: i + 1]]
 
 
-def _gram(row: pd.Series, columns: list[str]) -> np.ndarray:
-    out = np.empty((len(columns), len(columns)))
+def _filled(rows: int, columns: list[str], of: Callable[[str], np.ndarray]) -> np.ndarray:
+    """The matrix of all products for each of ``rows`` keys; ``of`` tells a product's values by its name."""
+    out = np.empty((rows, len(columns), len(columns)))
     for i, a in enumerate(columns):
         for j, b in enumerate(columns[: i + 1]):
-            out[i, j] = out[j, i] = row[f"{a}*{b}"]
+            out[:, i, j] = out[:, j, i] = of(f"{a}*{b}")
     return out
 
 
-def _least_squares(g: np.ndarray, y: int, xs: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
-    """(coefficients, sum of squares left, inverse) of column y on columns xs, given all products."""
-    inverse = np.linalg.pinv(g[np.ix_(xs, xs)], hermitian=True)
-    beta = inverse @ g[xs, y]
-    return beta, max(float(g[y, y] - beta @ g[xs, y]), 0.0), inverse
+def _least_squares(g: np.ndarray, y: int, xs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, sum of squares left, inverse) of column y on columns xs for each key, given all products."""
+    inverse = np.linalg.pinv(g[:, xs][:, :, xs], hermitian=True)
+    beta = (inverse @ g[:, xs, y][:, :, None])[:, :, 0]
+    return beta, np.maximum(g[:, y, y] - (beta * g[:, xs, y]).sum(1), 0.0), inverse
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
@@ -83,20 +85,20 @@ def unit_roots(df: DataFrame, key: str, most_lags: int | None = None) -> DataFra
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                g, best = _gram(row, columns), None
-                m = g[1, 1]
-                for k in range(int(row["most"]) + 1):
-                    xs = list(range(1, 3 + k))
-                    beta, rss, inverse = _least_squares(g, 0, xs)
-                    bic = m * np.log(max(rss, 1e-300) / m) + len(xs) * np.log(m)
-                    if best is None or bic < best[0]:
-                        spread = np.sqrt(inverse[1, 1] * rss / max(m - len(xs), 1))
-                        best = bic, k, beta[1] / spread if spread > 0 else 0.0
-                n = int(row["n"]) - 1
-                out.append((row[key], int(row["n"]), best[2], best[1], critical_values(n)[0.05]) if n >= 3 else (row[key], int(row["n"]), None, None, None))
-            yield pd.DataFrame(out, columns=[key, "n", "t", "lags", "critical_5"]).astype({"t": float, "lags": "Int32", "critical_5": float})
+            g, n, most = _filled(len(pdf), columns, lambda c: pdf[c].to_numpy(float)), pdf["n"].to_numpy(), pdf["most"].to_numpy()
+            best, t, told = np.full(len(pdf), np.inf), np.zeros(len(pdf)), np.zeros(len(pdf), int)
+            for k in range(most.max(initial=-1) + 1):  # all keys that try k lags at once
+                own = np.flatnonzero(most >= k)
+                xs, m = list(range(1, 3 + k)), g[own, 1, 1]
+                beta, rss, inverse = _least_squares(g[own], 0, xs)
+                bic = m * np.log(np.maximum(rss, 1e-300) / m) + len(xs) * np.log(m)
+                spread = np.sqrt(inverse[:, 1, 1] * rss / np.maximum(m - len(xs), 1))
+                ratio = np.divide(beta[:, 1], spread, out=np.zeros(len(own)), where=spread > 0)
+                less = bic < best[own]
+                best[own[less]], t[own[less]], told[own[less]] = bic[less], ratio[less], k
+            enough = pdf["n"] > 3
+            out = pd.DataFrame({key: pdf[key], "n": n, "t": t, "lags": told, "critical_5": critical_values(np.maximum(n - 1, 1))[0.05]}).astype({"lags": "Int32"})
+            yield out.assign(**{c: out[c].where(enough) for c in ("t", "lags", "critical_5")})
 
     return sums.mapInPandas(solve, f"{key} {df.schema[key].dataType.simpleString()}, n long, t double, lags int, critical_5 double")
 
@@ -122,8 +124,8 @@ def arma_models(df: DataFrame, key: str, most_ar: int = 4, most_ma: int = 2) ->
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            beta = [_least_squares(_gram(row, long), 0, list(range(1, len(long))))[0].tolist() for _, row in pdf.iterrows()]
-            yield pd.DataFrame({key: pdf[key], "beta": beta})
+            beta = _least_squares(_filled(len(pdf), long, lambda c: pdf[c].to_numpy(float)), 0, list(range(1, len(long))))[0]
+            yield pd.DataFrame({key: pdf[key], "beta": list(beta)})
 
     kind = df.schema[key].dataType.simpleString()
     betas = sums.mapInPandas(first, f"{key} {kind}, beta array<double>")
@@ -131,38 +133,46 @@ def arma_models(df: DataFrame, key: str, most_ar: int = 4, most_ma: int = 2) ->
     p = _lags(p.join(betas, key).select(key, "i", "n", "mean", "far", "y0", "one", *(f"y{k}" for k in range(1, most_ar + 1)), e.alias("e0")), key, "e0", "e", most_ma)
     columns = ["y0", "one", *(f"y{k}" for k in range(1, most_ar + 1)), *(f"e{k}" for k in range(1, most_ma + 1))]
     p = p.na.fill(0.0, [f"e{k}" for k in range(1, most_ma + 1)])
-    # sums by the place up to which orders begin: suffixes give each order's rows
-    place = F.least(F.col("i"), F.greatest(F.col("far") + most_ma, F.lit(most_ar)))
+    # sums by the place up to which orders begin: suffixes give each order's rows; orders with innovations begin past far, which is more than most_ar
+    place = F.when(F.col("i") > F.col("far"), F.least(F.col("i") - F.col("far"), F.lit(most_ma)) + most_ar).otherwise(F.least(F.col("i"), F.lit(most_ar))).cast("int")
     parts = p.groupBy(key, place.alias("place")).agg(*_products(columns))
     ends = p.where(F.col("i") >= F.col("n") - max(most_ma, 1)).groupBy(key).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("far").alias("far"), F.sort_array(F.collect_list(F.struct("i", F.array("y0", "e0", *columns[1:]).alias("x")))).alias("last"))  # the last one or two rows
-    asked = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", F.array(*parts.columns[2:]).alias("sums")))).alias("parts")).join(ends, key)  # sqrt(n) rows at most
+    asked = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", F.array(*parts.columns[2:]).alias("sums")))).alias("parts")).join(ends, key)  # most_ar + most_ma + 1 parts at most
     names = parts.columns[2:]
 
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                places = np.array([x["place"] for x in row["parts"]])
-                grams = np.stack([_gram(dict(zip(names, x["sums"])), columns) for x in row["parts"]])
-                best = None
-                for ar in range(most_ar + 1):
-                    for ma in range(most_ma + 1):
-                        g = grams[places >= (max(row["far"] + ma, ar) if ma else ar)].sum(0)
-                        xs = [1, *range(2, 2 + ar), *range(2 + most_ar, 2 + most_ar + ma)]
-                        beta, rss, _ = _least_squares(g, 0, xs)
-                        m = g[1, 1]
-                        bic = np.log(max(rss, 1e-300) / m) + len(xs) * np.log(m) / m
-                        if best is None or bic < best[0]:
-                            best = bic, ar, ma, beta, xs
-                bic, ar, ma, beta, xs = best
-                last = [np.array(x["x"]) for x in row["last"]]  # y0, e0, then the regressors
-                left = [x[0] - beta @ np.array([x[1:][j] if j else 0.0 for j in xs]) for x in last]
-                ahead = beta[0] + sum(beta[1 + k] * (last[-1][0] if k == 0 else last[-1][2 + k]) for k in range(ar)) + sum(beta[1 + ar + k] * left[-1 - k] for k in range(ma))
-                shift = row["mean"]
-                out.append((row[key], int(row["n"]), ar, ma, beta[0] + shift * (1 - beta[1 : 1 + ar].sum()), beta[1 : 1 + ar].tolist(), beta[1 + ar :].tolist(), bic, ahead + shift))
-            yield pd.DataFrame(out, columns=[key, "n", "ar", "ma", "const", "ar_coefs", "ma_coefs", "bic", "forecast"])
-
-    done = asked.mapInPandas(second, f"{key} {kind}, n long, ar int, ma int, const double, ar_coefs array<double>, ma_coefs array<double>, bic double, forecast double")
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, rows = batch.column("parts"), batch.num_rows
+            flat, begin = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])[:-1]
+            places, sums = flat.field("place").to_numpy(), flat.field("sums").flatten().to_numpy().reshape(len(flat), len(names))
+            last = batch.column("last").flatten().field("x").flatten().to_numpy().reshape(rows, -1, len(columns) + 1)  # y0, e0, then the regressors
+            best, order, ahead, coefs = np.full(rows, np.inf), np.zeros((rows, 2), int), np.full(rows, np.nan), np.zeros((rows, 1 + most_ar + most_ma))
+            for start in range(most_ar + most_ma + 1):
+                total = np.add.reduceat(np.where((places >= start)[:, None], sums, 0.0), begin)
+                g = _filled(rows, columns, lambda c: total[:, names.index(c)])
+                m = g[:, 1, 1]
+                for ar, ma in [(start, 0)] if start <= most_ar else [(k, start - most_ar) for k in range(most_ar + 1)]:
+                    xs = [1, *range(2, 2 + ar), *range(2 + most_ar, 2 + most_ar + ma)]
+                    beta, rss, _ = _least_squares(g, 0, xs)
+                    bic = np.log(np.maximum(rss, 1e-300) / m) + len(xs) * np.log(m) / m
+                    left = last[:, :, 0] - (last[:, :, 1:][:, :, xs] * beta[:, None, :]).sum(2)
+                    known = np.column_stack([last[:, -1, 0], last[:, -1, 3 : 2 + ar]])[:, :ar] if ar else np.zeros((rows, 0))
+                    value = beta[:, 0] + (beta[:, 1 : 1 + ar] * known).sum(1) + (beta[:, 1 + ar :] * left[:, ::-1][:, :ma]).sum(1)
+                    less = (bic < best) | ((bic == best) & ((ar < order[:, 0]) | ((ar == order[:, 0]) & (ma < order[:, 1]))))
+                    best[less], order[less], ahead[less] = bic[less], (ar, ma), value[less]
+                    coefs[less, : len(xs)] = beta[less]
+            mean = batch.column("mean").to_numpy()
+            ars, mas = order[:, 0], order[:, 1]
+            own = [c[1 : 1 + a] for c, a in zip(coefs, ars)]
+            doubles = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_pydict({
+                key: batch.column(key), "n": batch.column("n"), "ar": pa.array(ars, pa.int32()), "ma": pa.array(mas, pa.int32()), "const": doubles(coefs[:, 0] + mean * (1 - np.array([c.sum() for c in own]))),
+                "ar_coefs": pa.array(own, pa.list_(pa.float64())), "ma_coefs": pa.array([c[1 + a : 1 + a + b] for c, a, b in zip(coefs, ars, mas)], pa.list_(pa.float64())), "bic": doubles(best), "forecast": doubles(ahead + mean),
+            })
+
+    done = asked.mapInArrow(second, f"{key} {kind}, n long, ar int, ma int, const double, ar_coefs array<double>, ma_coefs array<double>, bic double, forecast double")
     every = df.groupBy(key).agg(F.count("y").alias("n"))
     return every.join(done.drop("n"), key, "left")
 
