@@ -47,6 +47,22 @@ def test_state_of_old_statements_goes(spark):
     assert kept[3] <= kept[1] * 1.5
 
 
+def test_statements_of_an_instrument_share_one_state(spark):
+    """Thirty periods of an instrument are one row of state, and an instrument's row goes once all it holds is too old."""
+    into, at = scratch(spark, "in"), scratch(spark, "state")
+    schema = "instrument long, period int, ann_date date, flag long, seq long, value double"
+    kept, said = [], []
+    for i in range(3):
+        rows = [(10 * i + j, 200001 + p, DAY + dt.timedelta(days=200 * i + p % 5), 0, p, None if p == 7 else float(p)) for j in range(4) for p in range(30)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{into}/part={i}")
+        told = filings.restated(spark.readStream.schema(schema).parquet(f"{into}/part=*"), "10 days", 30)
+        q = told.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda b, n: said.extend(map(tuple, b.collect()))).start()
+        q.awaitTermination()
+        kept.append(json.loads(q.recentProgress[-1].json)["stateOperators"][0]["numRowsTotal"])
+    assert kept == [4, 4, 4]
+    assert len(said) == 360 and not any(x[-1] for x in said) and {x[5] for x in said if x[4] == 7} == {None}
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_trailing_values_in_any_order(spark, parts):
     r = random.Random(parts)
