@@ -390,3 +390,28 @@ def test_series_models_work_out_their_panel_once(spark):
     from tidepanel.queries import queries
 
     assert "lineitem" not in queries()["rsk27_32_series_models"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_a_generation_reads_its_panel_once(spark):
+    from tidepanel.plans.search import score_batch
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(60).select((F.col("id") % 6).alias("instrument"), F.floor(F.col("id") / 6).alias("date"), told(F.col("id") * 5).alias("close"))
+    fit = score_batch(rows, ["$close", "Abs($close)"], "Ref($close, -2) / Ref($close, -1) - 1")
+    assert fit["$close"] == fit["Abs($close)"] and seen.value == 60
+
+
+def test_rank_correlations_hold_no_group_to_count_what_is_missing(spark):
+    from tidepanel.operators.cross import information_coefficients
+
+    df = spark.createDataFrame([(0, float(x), float(y)) for x, y in [(1, 2), (1, 1), (2, 2), (3, 5), (3, 5)]] + [(0, None, 1.0), (0, 1.0, None), (1, None, None)], "date int, f double, r double")
+    ic = information_coefficients(df, "f", "r", ["date"])
+    assert ic._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 4
+    (row,) = ic.collect()
+    assert row["n"] == 5 and abs(row["ric"] - np.corrcoef([1.5, 1.5, 3, 4.5, 4.5], [2.5, 1, 2.5, 4.5, 4.5])[0, 1]) < 1e-12
