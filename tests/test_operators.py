@@ -415,3 +415,13 @@ def test_rank_correlations_hold_no_group_to_count_what_is_missing(spark):
     assert ic._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 4
     (row,) = ic.collect()
     assert row["n"] == 5 and abs(row["ric"] - np.corrcoef([1.5, 1.5, 3, 4.5, 4.5], [2.5, 1, 2.5, 4.5, 4.5])[0, 1]) < 1e-12
+
+
+def test_spread_groups_of_rank_correlations(spark):
+    """Small groups stay dealt over the session's partitions, a few to a task, with the same figures."""
+    rows = spark.range(4000).select((F.col("id") % 40).alias("date"), (F.col("id") * 7919 % 101).cast("double").alias("f"), (F.col("id") * 104729 % 97).cast("double").alias("r"))
+    plain, spread = (cross.information_coefficients(rows, "f", "r", ["date"], spread=s) for s in (False, True))
+    figures = lambda ic: np.array(sorted(map(tuple, ic.collect())))
+    np.testing.assert_allclose(figures(plain), figures(spread), atol=1e-12)
+    held = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(held) == 40 and max(held) <= 10

@@ -93,7 +93,7 @@ def report(factors: DataFrame, prices: DataFrame, bench: DataFrame, lags: list[i
     pairs = factors.where("value is not null").join(forward_returns(prices, lags, rate).where("ret is not null"), ["instrument", "date"])
     pairs = written(pairs, "pairs")
     near = pairs.where(F.col("lag") == first)
-    ic = information_coefficients(near, "value", "ret", ["name", "date"])
+    ic = information_coefficients(near, "value", "ret", ["name", "date"], spread=True)
     coef = ic.groupBy("name").agg(
         F.max_by("ic", F.when(F.col("ic").isNotNull(), F.col("date"))).alias("ic"), ratio(F.col("ic"), 1).alias("icir"), F.max_by("ric", F.when(F.col("ric").isNotNull(), F.col("date"))).alias("ric"), ratio(F.col("ric"), 1).alias("ricir")
     )
@@ -108,7 +108,7 @@ def report(factors: DataFrame, prices: DataFrame, bench: DataFrame, lags: list[i
     jensen = jensen.select("name", "long_short", "avg_return", "ls_ir", *(F.when(enough, F.col(c)).otherwise(0.0).alias(f"ls_{c}") for c in ("alpha", "t_alpha", "beta")))
     out = coef.join(mono, "name").join(jensen, "name").join(compounded(ls, "long_short", ["name"]).withColumnRenamed("cum", "ls_cum"), "name")
     if decay:
-        far = information_coefficients(pairs.where(F.col("name").isin(*decay)), "value", "ret", ["name", "lag", "date"])
+        far = information_coefficients(pairs.where(F.col("name").isin(*decay)), "value", "ret", ["name", "lag", "date"], spread=True)
         hl = half_life(far.groupBy("name", "lag").agg(F.avg("ric").alias("ric")), ["name"])
         return out.join(hl, "name", "left")
     return out.withColumn("half_life", F.lit(None).cast("double"))
