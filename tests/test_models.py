@@ -61,6 +61,18 @@ def test_exposures_are_scored_and_free(spark):
         exposure.exposure_matrix(df, {"a": F.when(F.col("a") > 5, F.col("a"))}, least_valid=0.5)
 
 
+def test_exposures_are_dealt_by_rows(spark, monkeypatch):
+    """Cross-sections go to as many tasks as their rows ask for, by one exchange, and no join or aggregate holds their values."""
+    monkeypatch.setattr(cross, "TASK_ROWS", 300, raising=False)
+    i = F.col("id")
+    df = spark.range(6000).select((i % 100).alias("instrument"), F.expr("date_add(date '2024-01-01', int(id div 100))").alias("date"), F.concat(F.lit("g"), i % 3).alias("industry"), (i * 7919 % 101 + 1).cast("double").alias("circ_mv"), (i * 104729 % 997).cast("double").alias("a"))
+    m = exposure.exposure_matrix(df, {"a": F.col("a"), "b": F.col("a") * F.col("circ_mv")})
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [date" in plan and ", 41" in plan.split("RepartitionByExpression", 1)[1].split("\n")[0]
+    assert "Join" not in plan and plan.count("Repartition") == 1 and "percentile" not in "".join(x for x in plan.split("\n") if "Aggregate [" in x)
+    assert m.count() == 6000 and m.select("instrument", "date").distinct().count() == 6000
+
+
 def test_too_many_industries_are_an_error(spark, monkeypatch):
     df, _ = panel(spark)
     monkeypatch.setattr(exposure, "MOST_INDUSTRIES", 1)

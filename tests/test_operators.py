@@ -66,6 +66,25 @@ def test_neutralised_residual_is_orthogonal(spark):
     np.testing.assert_allclose(out["e"], out["y"] - design @ beta, atol=1e-9)
 
 
+def test_median_bounds_move_rows_once(spark):
+    """Bounds by median deviation are windows: one exchange, no join; rows without a key are left as they are."""
+    r = np.random.default_rng(4)
+    rows = [(day(k), float(x)) for k in range(3) for x in r.standard_t(2, 41 + k)] + [(day(0), None), (None, 1e6), (None, 1.0), (None, 2.0), (day(9), None)]
+    df = spark.createDataFrame(rows, "date date, x double")
+    out = cross.winsorize(df, "x", ["date"], "mad")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = {}
+    for row in out.collect():
+        got.setdefault(row.date, []).append(row.x)
+    assert sorted(got[None]) == [1.0, 2.0, 1e6] and got[day(9)] == [None] and None in got[day(0)]
+    for k in range(3):
+        x = np.array([v for d, v in rows if d == day(k) and v is not None])
+        m = np.median(x)
+        room = 3 * 1.4826 * np.median(np.abs(x - m))
+        np.testing.assert_allclose(sorted(v for v in got[day(k)] if v is not None), np.sort(np.clip(x, m - room, m + room)), rtol=1e-12)
+
+
 def test_bins_with_ties(spark):
     pdf = pd.DataFrame({"date": [day(0)] * 9 + [day(1)] * 3, "x": [1, 1, 1, 1, 2, 3, 4, 5, 6, 7, 7, 7]}).astype({"x": float})
     got = cross.quantile_bins(spark.createDataFrame(pdf), "x", 4, ["date"]).toPandas()
