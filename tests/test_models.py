@@ -387,3 +387,41 @@ def test_asset_covariance_shuffles_no_pairs(spark):
     assert np.allclose(got, x @ f @ x.T + np.diag(0.6 + np.arange(30)))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # what is left above the blocks is a product and columns
+
+
+def test_asset_covariance_keeps_pairs_short_in_a_file(spark, tmp_path, monkeypatch):
+    """Several blocks on both sides; names that share exposures, in any order, take no bytes a pair for their products."""
+    monkeypatch.setattr(exposure, "LEFT_ROWS", 400)
+    monkeypatch.setattr(exposure, "RIGHT_ROWS", 700)
+    n, r = 1500, np.random.default_rng(7)
+    x = np.exp(r.normal(size=(12, 2)))[r.integers(0, 12, n)]
+    f = np.array([[0.09, 0.01], [0.01, 0.04]])
+    e = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(n) for j in range(2)], "instrument long, factor string, x double")
+    cov = spark.createDataFrame([(f"f{i}", f"f{j}", float(f[i, j])) for i in range(2) for j in range(2)], "i string, j string, v double")
+    d = spark.createDataFrame([(i, 0.1 + i) for i in range(n)], "instrument long, d double")
+    exposure.asset_covariance(e, cov, d, 0.5).write.parquet(f"{tmp_path}/pairs")
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * n * n
+    got = spark.read.parquet(f"{tmp_path}/pairs").toPandas().sort_values(["a", "b"])
+    assert (got["a"].to_numpy() == np.repeat(np.arange(n), n)).all() and (got["b"].to_numpy() == np.tile(np.arange(n), n)).all()
+    assert np.allclose(got["v"].to_numpy().reshape(n, n), x @ f @ x.T + np.diag(0.6 + np.arange(n)))
+
+
+def test_the_book_of_the_last_date_makes_no_other_bars(spark, tmp_path):
+    """A later month of no known supplier is none; what comes of the book reads its few rows, not lineitem."""
+    import datetime
+
+    from tidepanel.queries import analytics
+    from tidepanel.sources import panels
+
+    at = lambda *d: datetime.datetime(*d)
+    lines = [(1, 1, 7, at(2001, 4, 30), 10.0, 2.0), (2, 1, 7, at(2001, 5, 2), 12.0, 2.0), (3, 1, 8, at(2001, 5, 31), 9.0, 3.0), (4, 1, 8, None, 9.0, 3.0), (5, 1, 99, at(2001, 6, 1), 5.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, 3, 100.0), (8, 9, 200.0), (9, 1, 300.0)], "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    b = panels.classified_bars(spark, str(tmp_path))
+    want = b.join(b.agg(F.max("date").alias("date")), "date", "left_semi").select(*b.columns).collect()
+    assert sorted(panels.last_bars(spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 2
+    assert not [p for df in analytics._book(spark, str(tmp_path)) for p in df.inputFiles() if "lineitem" in p]
+    empty = b.limit(0)
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").where("l_shipdate is null").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    spark.read.parquet(f"{tmp_path}/supplier.parquet").write.parquet(f"{tmp_path}/none/supplier.parquet")
+    assert panels.last_bars(spark, f"{tmp_path}/none").collect() == empty.collect() == []

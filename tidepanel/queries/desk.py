@@ -86,8 +86,7 @@ _AL = _BOOK.replace(", f as (select i, j,", ", al as (select instrument, close /
 
 
 def _today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = panels.classified_bars(spark, sf_dir)
-    return b.join(b.agg(F.max("date").alias("date")), "date", "left_semi")
+    return written(panels.last_bars(spark, sf_dir), "today")
 
 
 @query(
